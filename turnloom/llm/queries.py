@@ -32,6 +32,14 @@ def op3_addressable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1)).drop("path", "place")
 
 
+def op4_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among documents: fingerprints of three-word shingles at three differing bits or fewer."""
+    from .simhash import near_duplicates
+
+    rows = near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in sequences of 2048 tokens by dominance reduction and best fit."""
     from .packing import pack_documents
