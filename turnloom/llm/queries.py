@@ -40,6 +40,14 @@ def op4_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_family_then_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document: family, then one-versus-one SVMs."""
+    from .language import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs))
+
+
 def op9_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in sequences of 2048 tokens by dominance reduction and best fit."""
     from .packing import pack_documents
