@@ -74,7 +74,7 @@ def filesystem(path: str):
 def write_file(path: str, data: bytes) -> str:
     fs, at = filesystem(path)
     fs.create_dir(os.path.dirname(at), recursive=True)
-    with fs.open_output_stream(at) as f:
+    with fs.open_output_stream(at, compression=None) as f:
         f.write(data)
     return path
 

@@ -40,6 +40,13 @@ def op4_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for every page, in files with a dictionary, read back."""
+    from .warc import read_warcs, write_warcs
+
+    return read_warcs(write_warcs(table(spark, sf_dir, "pages")))
+
+
 def op7_family_then_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document: family, then one-versus-one SVMs."""
     from .language import identify, learn
