@@ -40,6 +40,13 @@ def op4_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_composite_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A WARC record for every page, in files with a dictionary, read back."""
     from .warc import read_warcs, write_warcs
