@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 
 
 def vocabulary(name: str) -> str:
@@ -62,6 +62,27 @@ def op7_family_then_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, learn(docs))
 
 
+def op8_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited copies of the images whose id is divisible by 20, searched for among all images.
+
+    No table holds images, so each row of `embeddings` is drawn. Images of equal pixels are one
+    class: rows of kind "link" pair classes (by their least ids), rows of kind "copy" give the
+    other members of each class.
+    """
+    from .image_copies import classes, drawn, features, link
+
+    vectors = table(spark, sf_dir, "embeddings")
+    of = materialise(classes(drawn(vectors)), "classes")
+    first = of.filter("image_id = class_id").select(F.col("class_id").alias("vec_id")).distinct()
+    alone = vectors.join(first, "vec_id", "left_semi").dropDuplicates(["vec_id"])
+    # Queries of one class are drawn from its first row, so that a large class is searched for once.
+    asked = of.filter("image_id % 20 = 0").select(F.col("class_id").alias("vec_id")).distinct()
+    queries_ = drawn(alone.join(asked, "vec_id", "left_semi"), edited=True)
+    links = link(features(queries_), features(drawn(alone))).withColumn("kind", F.lit("link"))
+    copies = of.filter("image_id <> class_id").select(F.lit("copy").alias("kind"), F.col("class_id").alias("query_id"), "image_id")
+    return links.unionByName(copies, allowMissingColumns=True)
+
+
 def op9_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in sequences of 2048 tokens by dominance reduction and best fit."""
     from .packing import pack_documents
