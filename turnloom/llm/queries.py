@@ -25,6 +25,13 @@ def op1_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op2_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by context-tree weighting over bytes, and by word counts."""
+    from .tree_weighting import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op3_addressable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as token files of directly addressable codes, read back."""
     from .token_files import read_tokens, write_tokens
