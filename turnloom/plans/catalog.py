@@ -37,7 +37,7 @@ INPUTS = {
     "tiles": """SELECT c.conv_id, concat('t', c.turn) AS turn_id, CAST(c.turn AS int) AS turn_ordinal, CAST(k.n AS int) AS tile, concat('Turno ', c.turn, ' vista ', k.n) AS label, CAST(3000 - 300 * k.n AS int) AS bottom, CAST(700 AS int) AS height
         FROM {conversations} c JOIN (SELECT DISTINCT turn + 1 AS n FROM {conversations}) k ON k.n <= (c.turn * 3 + c.conv_id) % 15 + 1""",
     "entries": """SELECT conv_id, concat('turns/', lpad(CAST(turn AS string), 4, '0'), '.md') AS path, text AS data FROM {conversations}""",
-    "changes": """SELECT event_id, CAST(ts AS timestamp) AS ts, CAST(user_id AS string) AS turn_id, concat(event_type, ':', CAST(floor(value) AS string)) AS signature, event_type = 'view' AS empty FROM {events}""",
+    "changes": """SELECT event_id, CAST(ts AS timestamp) AS ts, CAST(user_id AS string) AS turn_id, event_type AS signature, event_type = 'view' AS empty FROM {events}""",
 }
 
 

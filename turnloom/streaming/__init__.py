@@ -1,0 +1 @@
+"""Streaming: live changes of turns."""
