@@ -33,6 +33,9 @@ class Ids(dict):
         super().__init__()
         self.tokenizer, self.spaced, self.most = Tokenizer.from_file(path), spaced, most
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -43,15 +46,29 @@ class Ids(dict):
         return part[1:].decode() if part[:1] == b"\x1f" else " " + part.decode()
 
     def learn(self, parts: set[bytes]) -> None:
-        new = list(parts - self.keys())
+        new = [p for p in parts if p not in self]
         if len(self) + len(new) > self.most and self:
             self.clear()
             new = list(parts)
         for at in range(0, len(new), 5_000):
             some = new[at : at + 5_000]
+            if not self.spaced:
+                some = self._learn_letters(some)
             for p, e in zip(some, self.tokenizer.encode_batch_fast([self.text_of(p) for p in some], add_special_tokens=False), strict=True):
                 self[p] = np.array(e.ids, "<u4").tobytes()
 
+    def _learn_letters(self, parts: list[bytes]) -> list[bytes]:
+        """Learn the parts that are letters only, encoded as one line and cut after each word's last token; returns the others."""
+        line = [p for p in parts if p.decode().isalpha()]
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(p.decode() for p in line)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(line):  # a letter whose lower case is cut in two
+            return parts
+        every, at = ids.tobytes(), 0
+        for p, end in zip(line, (4 * ends).tolist(), strict=True):
+            self[p] = every[at:end]
+            at = end
+        return [p for p in parts if p not in self]
 
 @lru_cache(maxsize=4)
 def kept(path: str, spaced: bool) -> Ids:
