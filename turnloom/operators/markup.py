@@ -290,13 +290,17 @@ def _lists(rows: DataFrame, name: str) -> DataFrame:
     return got.select(*X.TURN, F.transform("l", lambda x: x["f"]).alias(name))
 
 
-def turn_snapshots(nodes: DataFrame, platforms: DataFrame, base: Column) -> DataFrame:
-    """A record per turn of each page: identity, role, texts, and arrays of its facts."""
-    turns = U.turn_elements(nodes, platforms)
+def turn_snapshots(nodes: DataFrame, platforms: DataFrame, base: Column, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """A record per turn of each page: identity, role, texts, and arrays of its facts.
+
+    Nodes, turns and tool runs are each read many times: `keep` may write them as tables.
+    """
+    nodes = keep(nodes)
+    turns = keep(U.turn_elements(nodes, platforms))
     named = U.stable_turn_id(U.detect_role(turns, nodes).join(platforms, "doc_id"), nodes, F.col("platform"))
-    named = U.with_material(U.model_slug(named, nodes), nodes).filter("has_material")
-    placed = U.nearest_turn(nodes, turns)
-    runs = X.tool_executions(placed)
+    named = keep(U.with_material(U.model_slug(named, nodes), nodes).filter("has_material"))
+    placed = keep(U.nearest_turn(nodes, turns))
+    runs = keep(X.tool_executions(placed))
     parts = {
         "code_blocks": X.code_blocks(placed, runs), "tool_executions": runs.drop("command_node", "output_nodes"), "expandables": X.expandables(placed), "activities": X.activities(placed),
         "links": X.links(placed.filter("turn_node IS NOT NULL"), base), "files": X.linked_files(placed, base), "media": X.media(placed, base), "interactive": X.interactive(placed),
@@ -304,7 +308,7 @@ def turn_snapshots(nodes: DataFrame, platforms: DataFrame, base: Column) -> Data
     text, every = clean_text(F.col("inner_text")), clean_text(F.col("text"))
     out = named.select("doc_id", F.col("node_id").alias("turn_node"), "turn_id", "role", "model", U.order_hint().alias("order_hint"), text.alias("text"), F.when(text != every, every).alias("all_text"), every.alias("_every"), "mounted")
     for name, rows in parts.items():
-        got = _lists(rows, name)
+        got = keep(_lists(rows, name))
         out = out.join(got, list(X.TURN), "left").withColumn(name, F.coalesce(name, F.array().cast(got.schema[name].dataType)))
     states = F.array_join(F.transform("expandables", lambda e: F.concat(F.coalesce(e["label"], F.lit("null")), F.lit(":"), e["expanded"].cast("string"))), "|")
     print_ = F.concat_ws("|", "role", "_every", F.array_join(F.transform("code_blocks", lambda b: b["hash"]), ","), states)

@@ -21,6 +21,12 @@ def shared(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared folder, read again."""
+    df.write.parquet(to := shared(df.sparkSession, "kept"))
+    return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
 @query(
     "live_debounce",
     """SELECT turn_id, min(ts) AS began, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, arg_max(signature, (ts, event_id)) AS signature, arg_max(empty, (ts, event_id)) AS empty, count(*) AS changes FROM

@@ -11,6 +11,7 @@ from ..operators import extract as X
 from ..operators import markup as K
 from ..operators import turns as U
 from .catalog import given, query
+from .live import kept
 
 FNV_OF = "printf('%08x', CAST(list_reduce(list_transform(string_split({0}, ''), lambda x: CAST(unicode(x) AS bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS bigint)) AS bigint))"
 BASE = "https://chatgpt.com/c/x"
@@ -255,8 +256,8 @@ def disclosure_candidates(spark, sf_dir):
 
 
 def snapshots(spark, sf_dir) -> DataFrame:
-    n = nodes(spark, sf_dir)
-    return K.turn_snapshots(n, n.select("doc_id", F.lit("chatgpt").alias("platform")).distinct(), F.lit(BASE))
+    ids = given(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("chatgpt").alias("platform")).distinct()
+    return K.turn_snapshots(nodes(spark, sf_dir), ids, F.lit(BASE), kept)
 
 
 @query(
