@@ -70,24 +70,28 @@ def op7_family_then_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edited copies of the images whose id is divisible by 20, searched for among all images.
+    """Edited copies of the images whose id is divisible by 20, searched for among all images: a row per image.
 
-    No table holds images, so each row of `embeddings` is drawn. Images of equal pixels are one
-    class: rows of kind "link" pair classes (by their least ids), rows of kind "copy" give the
-    other members of each class.
+    No table holds images, so each row of `embeddings` is drawn. class_id: the least image of equal
+    pixels or near copies. links: how many query classes, as edited, show this image's class; the
+    best of them, its inliers, scale and turn. An edited query is that of its class's least image.
     """
-    from .image_copies import classes, drawn, features, link
+    from .image_copies import classes, drawn, features, link, near_classes
 
     vectors = table(spark, sf_dir, "embeddings")
-    of = materialise(classes(drawn(vectors)), "classes")
-    first = of.filter("image_id = class_id").select(F.col("class_id").alias("vec_id")).distinct()
-    alone = vectors.join(first, "vec_id", "left_semi").dropDuplicates(["vec_id"])
-    # Queries of one class are drawn from its first row, so that a large class is searched for once.
+    equal = materialise(classes(drawn(vectors)), "classes")
+    alone = vectors.dropDuplicates(["vec_id"]).join(equal.filter("image_id = class_id").select(F.col("class_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    described = materialise(features(drawn(alone)), "features")
+    near = near_classes(described)
+    of = equal.join(near.select(F.col("image_id").alias("class_id"), "near_id"), "class_id", "left")
+    of = materialise(of.select("image_id", F.coalesce("near_id", "class_id").alias("class_id")), "classes")
+    least = of.filter("image_id = class_id").select("image_id").distinct()
     asked = of.filter("image_id % 20 = 0").select(F.col("class_id").alias("vec_id")).distinct()
-    queries_ = drawn(alone.join(asked, "vec_id", "left_semi"), edited=True)
-    links = link(features(queries_), features(drawn(alone))).withColumn("kind", F.lit("link"))
-    copies = of.filter("image_id <> class_id").select(F.lit("copy").alias("kind"), F.col("class_id").alias("query_id"), "image_id")
-    return links.unionByName(copies, allowMissingColumns=True)
+    edited = features(drawn(alone.join(asked, "vec_id", "left_semi"), edited=True))
+    links = link(materialise(edited, "edited"), described.join(least, "image_id", "left_semi"))
+    best = F.max_by(F.struct("query_id", "inliers", "scale", "degrees"), F.struct("inliers", -F.col("query_id")))
+    found = links.groupBy(F.col("image_id").alias("class_id")).agg(F.count("*").alias("links"), best.alias("best"))
+    return of.join(found, "class_id", "left").select("image_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "best.*")
 
 
 def op9_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
