@@ -77,9 +77,11 @@ def running_merge(captures: DataFrame) -> DataFrame:
 def stream_dedupe(changes: DataFrame, keep: str = "1 hour") -> DataFrame:
     """`live_dedupe` of a stream: a turn's state is its last signature, dropped when the turn has been silent for `keep`.
 
-    Changes of a micro-batch are taken in order of time; `changes` needs a watermark for what is late.
+    Changes of a micro-batch are taken in order of time; `changes` needs a watermark on `ts`, which
+    also tells how long a turn has been silent.
     """
     silent = int(pd.Timedelta(keep).total_seconds() * 1000)
+    zone = changes.sparkSession.conf.get("spark.sql.session.timeZone")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -89,10 +91,11 @@ def stream_dedupe(changes: DataFrame, keep: str = "1 hour") -> DataFrame:
         last = state.get[0] if state.exists else None
         kept = rows["signature"] != rows["signature"].shift(fill_value=last)
         state.update((rows["signature"].iloc[-1],))
-        state.setTimeoutDuration(silent)
+        last_ms = int(rows["ts"].iloc[-1].tz_localize(zone, ambiguous=False, nonexistent="shift_forward").timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + silent)
         yield rows[kept][["turn_id", "event_id", "ts", "signature", "empty"]]
 
-    return changes.groupBy("turn_id").applyInPandasWithState(run, "turn_id string, event_id long, ts timestamp, signature string, empty boolean", "signature string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return changes.groupBy("turn_id").applyInPandasWithState(run, "turn_id string, event_id long, ts timestamp, signature string, empty boolean", "signature string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_of_updates(written: DataFrame, key: str = "turn_id", batch: str = "batch") -> DataFrame:
