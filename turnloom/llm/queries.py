@@ -112,5 +112,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+#: Bare base32 of a SHA-1: each five hex digits are four of its digits.
+BASE32 = """array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + (CAST('0x' || substr(sha1({0}), CAST(5 * (i // 4) + 1 AS int), 5) AS bigint) >> CAST(15 - 5 * (i % 4) AS int)) % 32 AS int), 1)), '')"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the same rows, for the one query that SQL can express."""
+    last = "max(page_id) OVER (PARTITION BY coalesce(html, ''))"
+    return {
+        "op6_dictionary_warc": f"""SELECT page_id, url, CAST(octet_length(encode(coalesce(html, ''))) AS bigint) AS payload_bytes, {BASE32.format("coalesce(html, '')")} AS payload_digest,
+            CASE WHEN page_id = {last} THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < {last} THEN {last} END AS refers_to FROM pages"""
+    }
