@@ -58,8 +58,9 @@ def keyed(rows: DataFrame, n: DataFrame, *columns: str) -> DataFrame:
 
 
 def facts(spark, sf_dir, f, *columns: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
-    return keyed(f(U.nearest_turn(n, U.turn_shells(n))), n, *columns)
+    """The facts that f finds in nodes under their turns; pages are parsed once, into a table that is read many times."""
+    n = kept(nodes(spark, sf_dir))
+    return keyed(f(kept(U.nearest_turn(n, U.turn_shells(n)))), n, *columns)
 
 
 @query("dom_nodes", "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(regexp_replace(html, '<(script|style|title)>[^<]*', '<\\1>', 'g'), '<p>')) AS bigint) AS paragraphs, CAST(len(regexp_extract_all(html, '<a ')) AS bigint) AS anchors, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
@@ -209,7 +210,7 @@ def tool_executions(spark, sf_dir):
 
 @query("code_blocks", f"SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY ord) - 1 AS int) AS index, kind, language, label, text, source, {FNV_OF.format('concat(kind, chr(10), language, chr(10), text)')} AS hash FROM {CODE_SQL} c")
 def code_blocks(spark, sf_dir):
-    return facts(spark, sf_dir, lambda n: X.code_blocks(n, ran(n)), "index", "kind", "language", "label", "text", "source", "hash")
+    return facts(spark, sf_dir, lambda n: X.code_blocks(n, kept(ran(n))), "index", "kind", "language", "label", "text", "source", "hash")
 
 
 @query("expandables", "SELECT conv_id, turn, 'Ran code' AS label, true AS expanded FROM conversations WHERE turn % 4 = 1 UNION ALL SELECT conv_id, turn, 'Thought', false FROM conversations WHERE turn % 4 = 3")
