@@ -33,7 +33,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder: what was computed is read again, also after an executor is lost."""
     spark = df.sparkSession
-    df.write.parquet(path := new_path(spark, name))
+    df.write.option("compression", "zstd").parquet(path := new_path(spark, name))
     return spark.read.schema(df.schema).parquet(path)
 
 

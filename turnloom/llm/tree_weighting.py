@@ -6,10 +6,11 @@ mixes all depths: weighted = (own + product of the longer contexts' weighted) /
 byte given DEPTH bytes before it follows from the counts alone, so it is computed once for each
 distinct run of DEPTH + 1 bytes, also for runs that training lacks.
 
-Jobs: every task counts words and runs of its chunk of documents; words and runs are summed over
-the corpus by shuffles; runs that share their last two context bytes form a subtree that one task
-weighs; the two top levels, of at most 256 x 255 nodes, are finished on the driver; each chunk gets
-its own words' counts and its own runs' chances back and is scored.
+Jobs: every task counts words and runs of its chunk of documents. Words are rows; runs that share
+their last two context bytes (a subtree) are one row of a chunk, packed, as there are many of them.
+Both are summed over the corpus by shuffles, packed rows FAN chunks at a time; a task weighs whole
+subtrees; the two top levels, of at most 256 x 255 nodes, are finished on the driver; each chunk
+gets its own words' counts and its own runs' chances back and is scored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches
 
-DEPTH, CHUNK_BYTES, BLOCK_BYTES = 5, 24 << 20, 2 << 20
+DEPTH, CHUNK_BYTES, BLOCK_BYTES = 5, 8 << 20, 1 << 20
+SUBTREE_RUNS = 200_000  # of a group of subtrees that are weighed together, if none has more
+FAN, CHUNKS_A_GROUP = 64, 256  # chunks whose rows of a subtree are summed, and get their chances, in one group
 LOG_PI = log(pi)
 
 
@@ -114,7 +117,26 @@ def body(w: list[bytes], depth: int = DEPTH) -> bytes:
     return b"\n" * depth + b" ".join(w) + b"\n"
 
 
-COUNTED = "chunk long, ids binary, word binary, run long, n long"
+COUNTED = "chunk long, ids binary, word binary, n long, top int, tails binary, counts binary"
+
+
+def packed(a: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+
+
+def unpacked(b: bytes, kind: str) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+
+
+def by_top(rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(last two context bytes of each subtree, where each begins) of ascending runs."""
+    top = rows >> np.uint64(8 * (depth - 1))
+    firsts = np.flatnonzero(np.r_[True, top[1:] != top[:-1]]) if len(top) else np.zeros(0, int)
+    return top[firsts].astype(np.int64), firsts
 
 
 def count(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -131,12 +153,13 @@ def count(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
         import zstandard
 
         part, nth = TaskContext.get().partitionId(), 0
-        rows, size, met, uniques = [], 0, Counter(), []
+        rows: tuple[list, list, list] = ([], [], [])
+        size, met, uniques = 0, Counter(), []
 
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal nth, rows, size, met, uniques
             chunk = (part << 24) + nth
-            table = pa.Table.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("held", pa.bool_()), ("text", pa.binary())]))
+            table = pa.table({"doc_id": pa.array(rows[0], pa.int64()), "held": pa.array(rows[1], pa.bool_()), "text": pa.array(rows[2], pa.large_binary())})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table)
@@ -148,13 +171,13 @@ def count(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
                 yield batch(chunk, len(some), word=some, n=[met[x] for x in some])
             every, inverse = np.unique(np.concatenate([u for u, _ in uniques]), return_inverse=True)
             total = np.bincount(inverse, np.concatenate([c for _, c in uniques])).astype(np.int64)
-            for at in range(0, len(every), 50_000):
-                some = every[at : at + 50_000].astype(np.int64)
-                yield batch(chunk, len(some), run=some, n=total[at : at + 50_000])
-            nth, rows, size, met, uniques = nth + 1, [], 0, Counter(), []
+            top, firsts = by_top(every, depth)
+            tails = np.split(every & np.uint64((1 << 8 * (depth - 1)) - 1), firsts[1:])
+            yield batch(chunk, len(top), top=top, tails=[packed(x) for x in tails], counts=[packed(x) for x in np.split(total, firsts[1:])])
+            nth, rows, size, met, uniques = nth + 1, ([], [], []), 0, Counter(), []
 
         def batch(chunk: int, m: int, **columns) -> pa.RecordBatch:
-            types = [("chunk", pa.int64()), ("ids", pa.binary()), ("word", pa.binary()), ("run", pa.int64()), ("n", pa.int64())]
+            types = [("chunk", pa.int64()), ("ids", pa.binary()), ("word", pa.binary()), ("n", pa.int64()), ("top", pa.int32()), ("tails", pa.binary()), ("counts", pa.binary())]
             columns["chunk"] = np.full(m, chunk, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(m, t) for k, t in types], schema=pa.schema(types))
 
@@ -167,7 +190,8 @@ def count(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
             bodies, seen = {True: [], False: []}, 0
             for k, held, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = words(t)
-                rows.append({"doc_id": k, "held": held, "text": b" ".join(w)})
+                for column, x in zip(rows, (k, held, b" ".join(w)), strict=True):
+                    column.append(x)
                 if held:
                     met.update(dict.fromkeys(w, 0))
                     met.setdefault(b"\n", 0)
@@ -185,33 +209,55 @@ def count(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
             size += seen
             if size >= CHUNK_BYTES:
                 yield from out()
-        if rows:
+        if rows[0]:
             yield from out()
 
     held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 10 == 0, F.lit(False))
     return materialise(docs.select(F.col(key).cast("long"), held, F.col(text)).mapInArrow(run, COUNTED), "counted")
 
 
+def summed(runs_: DataFrame, chunks: int) -> DataFrame:
+    """(top, size, tails, counts): a row per subtree, its runs over all chunks."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        tails, inverse = np.unique(np.concatenate([unpacked(b, "<u8") for b in rows["tails"].to_pylist()]), return_inverse=True)
+        counts = np.bincount(inverse, np.concatenate([unpacked(b, "<i8") for b in rows["counts"].to_pylist()])).astype(np.int64)
+        return pa.table({"top": pa.array([rows["top"][0].as_py()], pa.int32()), "chunk": pa.array([rows["chunk"][0].as_py()], pa.int64()), "size": pa.array([len(tails)], pa.int64()), "tails": [packed(tails)], "counts": [packed(counts)]})
+
+    parts = -(-chunks // FAN)
+    while True:
+        runs_ = runs_.select("top", F.pmod(F.xxhash64("chunk"), F.lit(max(1, parts))).alias("chunk"), "tails", "counts").groupBy("top", "chunk").applyInArrow(add, "top int, chunk long, size long, tails binary, counts binary")
+        if parts <= 1:
+            return runs_.drop("chunk")
+        parts = -(-parts // FAN)
+
+
 def chances(totals: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(run, lp): log10 of the chance of each run's last byte after the others, from (run, n) of all distinct runs."""
+    """(top, tails, lp): log10 of the chance of each run's last byte after the others, from `summed` rows."""
     spark = totals.sparkSession
-    grouped = totals.withColumn("top", F.shiftrightunsigned("run", 8 * (depth - 1)))  # the last two context bytes
+    buckets = min(65_536, int(totals.agg(F.sum("size")).first()[0] or 0) // SUBTREE_RUNS + 16)
+    grouped = totals.withColumn("bucket", F.pmod(F.xxhash64("top"), F.lit(buckets))).groupBy("bucket")
 
-    def subtree(rows: pa.Table) -> tuple[int, Level, list[np.ndarray], np.ndarray, np.ndarray]:
-        r, n = rows["run"].to_numpy().view(np.uint64), rows["n"].to_numpy().astype(np.float64)
+    def subtrees(rows: pa.Table) -> tuple[Level, list[np.ndarray], np.ndarray, np.ndarray]:
+        r = np.concatenate([(np.uint64(t) << np.uint64(8 * (depth - 1))) | unpacked(b, "<u8") for t, b in zip(rows["top"].to_pylist(), rows["tails"].to_pylist(), strict=True)])
+        n = np.concatenate([unpacked(b, "<i8") for b in rows["counts"].to_pylist()]).astype(np.float64)
         order = np.argsort(r)
         level, weighted, chance = weigh(r[order], n[order], depth, 2)
-        return int(r[0] >> np.uint64(8 * depth)), level, weighted, chance, r[order]
+        return level, weighted, chance, r[order]
 
     def summary(rows: pa.Table) -> pa.Table:
-        last, level, weighted, _, _ = subtree(rows)
+        level, weighted, _, _ = subtrees(rows)
         out = []
         for k in range(8):
-            node = (np.uint64(1 << k) | ((level.rows[level.first[k]] & np.uint64(255)) >> np.uint64(8 - k))).astype(np.int64)
-            out.append(pa.table({"last": np.full(len(node), last), "node": node, "w": weighted[k], "z": level.zeros[k], "o": level.ones[k]}))
+            first = level.rows[level.first[k]]
+            node = (np.uint64(1 << k) | ((first & np.uint64(255)) >> np.uint64(8 - k))).astype(np.int64)
+            at = (first >> np.uint64(16)).astype(np.int64) * 256 + node
+            kept, inverse = np.unique(at, return_inverse=True)
+            sums = [np.bincount(inverse, x) for x in (weighted[k], level.zeros[k], level.ones[k])]
+            out.append(pa.table({"last": kept // 256, "node": kept % 256, "w": sums[0], "z": sums[1], "o": sums[2]}))
         return pa.concat_tables(out)
 
-    tops = grouped.groupBy("top").applyInArrow(summary, "last long, node long, w double, z double, o double")
+    tops = grouped.applyInArrow(summary, "last long, node long, w double, z double, o double")
     got = tops.groupBy("last", "node").agg(*[F.sum(c).alias(c) for c in "wzo"]).collect()  # 256 x 255 rows at most
     w, z, o = (np.zeros((256, 256)) for _ in range(3))
     for x in got:
@@ -224,18 +270,55 @@ def chances(totals: DataFrame, depth: int = DEPTH) -> DataFrame:
     shared = spark.sparkContext.broadcast((share1, z, o, share0, z0, o0))  # 2 MB
 
     def finish(rows: pa.Table) -> pa.Table:
-        last, _, _, chance, r = subtree(rows)
+        _, _, chance, r = subtrees(rows)
         share1, z, o, share0, z0, o0 = shared.value
-        x, total = (r & np.uint64(255)).astype(np.int64), np.zeros(len(r))
+        x, last, total = (r & np.uint64(255)).astype(np.int64), (r >> np.uint64(8 * depth)).astype(np.int64), np.zeros(len(r))
         for k in range(8):
             node, bit = (1 << k) | (x >> (8 - k)), (x >> (7 - k)) & 1 == 1
             kt1 = (np.where(bit, o[last, node], z[last, node]) + 0.5) / (z[last, node] + o[last, node] + 1)
             kt0 = (np.where(bit, o0[node], z0[node]) + 0.5) / (z0[node] + o0[node] + 1)
             s1, s0 = share1[last, node], share0[node]
             total += np.log10(s0 * kt0 + (1 - s0) * (s1 * kt1 + (1 - s1) * chance[k]))
-        return pa.table({"run": r.view(np.int64), "lp": total})
+        top, firsts = by_top(r, depth)
+        tails = np.split(r & np.uint64((1 << 8 * (depth - 1)) - 1), firsts[1:])
+        return pa.table({"top": pa.array(top, pa.int32()), "tails": [packed(x) for x in tails], "lp": [packed(x) for x in np.split(total, firsts[1:])]})
+
+    return grouped.applyInArrow(finish, "top int, tails binary, lp binary")
+
+
+def returned(runs_: DataFrame, lp: DataFrame, chunks: int) -> DataFrame:
+    """(chunk, top, tails, lp): each chunk's rows of runs with their chances; a group has a subtree and CHUNKS_A_GROUP chunks at most."""
+    parts = max(1, -(-chunks // CHUNKS_A_GROUP))
+
+    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        tails, of = unpacked(right["tails"][0].as_py(), "<u8"), unpacked(right["lp"][0].as_py(), "<f8")
+        found = [packed(of[np.searchsorted(tails, unpacked(b, "<u8"))]) for b in left["tails"].to_pylist()]
+        return pa.table({"chunk": left["chunk"], "top": left["top"], "tails": left["tails"], "lp": pa.array(found, pa.binary())})
+
+    left = runs_.select("chunk", "top", "tails", F.pmod(F.xxhash64("chunk"), F.lit(parts)).alias("part"))
+    right = lp.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return left.groupBy("top", "part").cogroup(right.groupBy("top", "part")).applyInArrow(look_up, "chunk long, top int, tails binary, lp binary")
 
-    return grouped.groupBy("top").applyInArrow(finish, "run long, lp double")
+
+class Chances:
+    """Looks runs up: by one probe of a table, and by bisection for those whose place another run has."""
+
+    def __init__(self, run: np.ndarray, lp: np.ndarray):
+        order = np.argsort(run)
+        self.run, self.lp = run[order], lp[order]
+        self.shift = np.uint64(64 - max(8, min(23, int(len(run)).bit_length() + 2)))
+        self.keys, self.values = np.zeros(1 << (64 - int(self.shift)), np.uint64), np.zeros(1 << (64 - int(self.shift)))
+        at = self._place(self.run)
+        self.keys[at], self.values[at] = self.run, self.lp
+
+    def _place(self, r: np.ndarray) -> np.ndarray:
+        return (r * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def of(self, r: np.ndarray) -> np.ndarray:
+        at = self._place(r)
+        out, other = self.values[at], np.flatnonzero(self.keys[at] != r)
+        out[other] = self.lp[np.searchsorted(self.run, r[other])]
+        return out
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -252,10 +335,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     each = materialise(each, "words")
     total = each.agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("first") & (F.col("c") > 0), 1).otherwise(0)).alias("words")).first()
     tokens, kinds = int(total["tokens"] or 0), int(total["words"] or 0)
-    sums = materialise(counted.filter("run IS NOT NULL").groupBy("run").agg(F.sum("n").alias("n")), "runs")
-    lp = materialise(chances(sums, depth), "chances")
-    found = counted.filter("run IS NOT NULL").select("chunk", "run").join(lp, "run")
-    facts = each.select("chunk", "word", "c", F.lit(None).cast("long").alias("run"), F.lit(None).cast("double").alias("lp")).unionByName(found.select("chunk", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "run", "lp"))
+    runs_ = counted.filter("top IS NOT NULL")
+    chunks = counted.filter("ids IS NOT NULL").count()
+    lp = materialise(chances(materialise(summed(runs_, chunks), "runs"), depth), "chances")
+    found = returned(runs_, lp, chunks)
+    none = lambda kind: F.lit(None).cast(kind)
+    facts = each.select("chunk", "word", "c", none("int").alias("top"), none("binary").alias("tails"), none("binary").alias("lp")).unionByName(found.select("chunk", none("binary").alias("word"), none("long").alias("c"), "top", "tails", "lp"))
     blobs = counted.filter("ids IS NOT NULL").select("chunk", "ids")
     base = float(np.log10(tokens + 0.1 * (kinds + 1)))
 
@@ -265,27 +350,27 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
         known, at = {}, right.filter(pa.compute.is_valid(right["word"]))
         for b in at.select(["word", "c"]).to_batches():
             known.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        weight = {w: float(np.log10(c + 0.1)) for w, c in known.items()}
-        at = right.filter(pa.compute.is_valid(right["run"]))
-        r, v = at["run"].to_numpy().view(np.uint64), at["lp"].to_numpy()
-        order = np.argsort(r)
-        r, v = r[order], v[order]
+        at = right.filter(pa.compute.is_valid(right["top"]))
+        every = [(np.uint64(t) << np.uint64(8 * (depth - 1))) | unpacked(b, "<u8") for t, b in zip(at["top"].to_pylist(), at["tails"].to_pylist(), strict=True)]
+        chance = Chances(np.concatenate(every), np.concatenate([unpacked(b, "<f8") for b in at["lp"].to_pylist()]))
+        del at, every, right
         out = []
         for blob in left["ids"].to_pylist():
             with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as f:
                 rows = f.read_all()
-            n_tokens, n_known, sums_, scores, sizes = [], [], [], [], []
+            n_tokens, n_known, sums, scores, sizes = [], [], [], [], []
             for b in rows["text"].to_pylist():
                 w = b.split()
                 w.append(b"\n")
+                c = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
                 n_tokens.append(len(w))
-                n_known.append(sum(map(bool, map(known.__getitem__, w))))
-                sums_.append(sum(map(weight.__getitem__, w)))
+                n_known.append(int((c > 0).sum()))
+                sums.append(float(np.log10(c + 0.1).sum()))
                 a = b"\n" * depth + b + b"\n"
                 sizes.append(len(a) - depth)
-                scores.append(sum(float(v[np.searchsorted(r, runs(a[lo : lo + BLOCK_BYTES + depth], depth))].sum()) for lo in range(0, len(a) - depth, BLOCK_BYTES)))
+                scores.append(sum(float(chance.of(runs(a[lo : lo + BLOCK_BYTES + depth], depth)).sum()) for lo in range(0, len(a) - depth, BLOCK_BYTES)))
             n = np.array(n_tokens, np.int64)
-            out.append(pa.table({"doc_id": rows["doc_id"], "held_out": rows["held"], "n_tokens": n, "n_known": np.array(n_known, np.int64), "base_score": np.array(sums_) - n * base, "score": np.array(scores, np.float64), "n_bytes": np.array(sizes, np.int64)}))
+            out.append(pa.table({"doc_id": rows["doc_id"], "held_out": rows["held"], "n_tokens": n, "n_known": np.array(n_known, np.int64), "base_score": np.array(sums, np.float64) - n * base, "score": np.array(scores, np.float64), "n_bytes": np.array(sizes, np.int64)}))
         return pa.concat_tables(out)
 
     made = blobs.groupBy("chunk").cogroup(facts.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
