@@ -82,6 +82,25 @@ def test_edited_copies_are_found_and_others_are_not(spark):
     assert I.features(I.drawn(df.limit(0))).count() == 0 and I.near_classes(rows.limit(0)).count() == 0 and I.link(rows.limit(0), rows).count() == 0
 
 
+def test_near_copies_join_whatever_else_is_in_their_buckets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    image = np.rint(127.5 + 100 * np.sin(rng.normal(size=64) @ I._waves(64))).reshape(1, I.SIDE, I.SIDE)
+    made = I.describe(np.array([0]), image)
+    n = len(made["x"])
+
+    def rows(k, described):
+        return list(zip([k] * n, *(described[c].tolist() for c in list(made)[1:]), strict=True))
+
+    def near(others, block):
+        monkeypatch.setattr(I, "BLOCK", block)
+        copies = [r for k in (900, 901, 902) for r in rows(k, made)]
+        unrelated = [r for k in others for r in rows(k, made | {f"d{i}": rng.integers(-(1 << 63), 1 << 63, n) for i in range(4)})]  # of the same buckets
+        got = I.near_classes(spark.createDataFrame(copies + unrelated, I.FEATURES)).collect()
+        return {r["image_id"]: r["near_id"] for r in got}
+
+    assert near([], 2048) == near(range(60), 2048) == near(range(60), 8) == {900: 900, 901: 900, 902: 900}
+
+
 def test_odd_images_give_no_features(spark):
     rows = [(1, 4, 4, b"x" * 16), (2, 10, 10, b"x"), (3, None, 5, b"x"), (None, 96, 96, bytes(9216)), (4, 96, 96, bytes(9216)), (5, 30, 200, bytes(i * 7 % 256 for i in range(6000)))]
     got = I.features(spark.createDataFrame([(*r[:3], bytearray(r[3])) for r in rows], "image_id long, height int, width int, pixels binary")).toPandas()
