@@ -13,6 +13,7 @@ import corpus_pipeline
 from turnloom.llm import image_copies as I
 from turnloom.llm import warc
 from turnloom.llm.html_text import extract, main_text
+from turnloom.llm.queries import op8_local_descriptors
 
 PARAGRAPHS = ["A first paragraph with enough words to be read as the text of a page, and then some more of them.", "Another one &amp; its <b>bold <i>words</i></b>,<br>which go on for a while so that it weighs more than a menu."]
 TEXT = "The title of it\n\n" + PARAGRAPHS[0] + "\n\nAnother one & its bold words, which go on for a while so that it weighs more than a menu."
@@ -101,6 +102,25 @@ def test_near_copies_join_whatever_else_is_in_their_buckets(spark, monkeypatch):
     assert near([], 2048) == near(range(60), 2048) == near(range(60), 8) == {900: 900, 901: 900, 902: 900}
 
 
+def test_every_query_is_searched_among_every_image(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    first = rng.normal(size=64)
+    vectors = [(i, first + rng.normal(size=64) * 0.05 * (i > 0) if i % 10 == 0 else rng.normal(size=64)) for i in range(0, 90, 5)]
+    vectors += [(100, vectors[2][1]), (120, vectors[2][1])]  # 10, turned or not
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors], "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["image_id"]: r for r in op8_local_descriptors(spark, str(tmp_path)).collect()}
+    links = I.link(I.features(I.drawn(df.filter("vec_id % 20 = 0"), edited=True)), I.features(I.drawn(df))).toPandas()
+    expected = links.groupby("image_id").size()
+    assert set(got) == {i for i, _ in vectors} and all(r["links"] == expected.get(i, 0) for i, r in got.items())
+    assert {got[i]["class_id"] for i in range(0, 90, 10)} == {0} and got[0]["links"] > 1
+    alone = links.sort_values(["inliers", "query_id"], ascending=[False, True]).drop_duplicates("image_id").set_index("image_id")
+    assert all((r["query_id"], r["inliers"]) == (alone["query_id"][i], alone["inliers"][i]) for i, r in got.items() if i in alone.index)
+    monkeypatch.setattr(I, "BLOCK", 4)
+    dealt = I.link(I.features(I.drawn(df.filter("vec_id % 20 = 0"), edited=True)), I.features(I.drawn(df))).toPandas()
+    assert set(zip(dealt["query_id"], dealt["image_id"], dealt["inliers"], strict=True)) == set(zip(links["query_id"], links["image_id"], links["inliers"], strict=True))
+
+
 def test_odd_images_give_no_features(spark):
     rows = [(1, 4, 4, b"x" * 16), (2, 10, 10, b"x"), (3, None, 5, b"x"), (None, 96, 96, bytes(9216)), (4, 96, 96, bytes(9216)), (5, 30, 200, bytes(i * 7 % 256 for i in range(6000)))]
     got = I.features(spark.createDataFrame([(*r[:3], bytearray(r[3])) for r in rows], "image_id long, height int, width int, pixels binary")).toPandas()

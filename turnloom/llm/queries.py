@@ -73,25 +73,25 @@ def op8_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edited copies of the images whose id is divisible by 20, searched for among all images: a row per image.
 
     No table holds images, so each row of `embeddings` is drawn. class_id: the least image of equal
-    pixels or near copies. links: how many query classes, as edited, show this image's class; the
-    best of them, its inliers, scale and turn. An edited query is that of its class's least image.
+    pixels or near copies. links: how many queries, as edited, show this very image; the best of
+    them, its inliers, scale and turn. Only images of equal pixels are searched and found as one.
     """
     from .image_copies import classes, drawn, features, link, near_classes
 
     vectors = table(spark, sf_dir, "embeddings")
     equal = materialise(classes(drawn(vectors)), "classes")
-    alone = vectors.dropDuplicates(["vec_id"]).join(equal.filter("image_id = class_id").select(F.col("class_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    once = vectors.dropDuplicates(["vec_id"])
+    alone = once.join(equal.filter("image_id = class_id").select(F.col("class_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
     described = materialise(features(drawn(alone)), "features")
-    near = near_classes(described)
-    of = equal.join(near.select(F.col("image_id").alias("class_id"), "near_id"), "class_id", "left")
-    of = materialise(of.select("image_id", F.coalesce("near_id", "class_id").alias("class_id")), "classes")
-    least = of.filter("image_id = class_id").select("image_id").distinct()
-    asked = of.filter("image_id % 20 = 0").select(F.col("class_id").alias("vec_id")).distinct()
-    edited = features(drawn(alone.join(asked, "vec_id", "left_semi"), edited=True))
-    links = link(materialise(edited, "edited"), described.join(least, "image_id", "left_semi"))
+    near = near_classes(described).withColumnRenamed("image_id", "class_id")
+    turned = (F.col("image_id") % 40 == 0).alias("turned")  # equal pixels are edited in two ways
+    asked = materialise(equal.filter("image_id % 20 = 0").groupBy("class_id", turned).agg(F.min("image_id").alias("query_id"), F.count("*").alias("n")), "asked")
+    edited = features(drawn(once.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi"), edited=True))
+    links = link(materialise(edited, "edited"), described).join(asked.select("query_id", "n"), "query_id")
     best = F.max_by(F.struct("query_id", "inliers", "scale", "degrees"), F.struct("inliers", -F.col("query_id")))
-    found = links.groupBy(F.col("image_id").alias("class_id")).agg(F.count("*").alias("links"), best.alias("best"))
-    return of.join(found, "class_id", "left").select("image_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "best.*")
+    found = links.groupBy(F.col("image_id").alias("class_id")).agg(F.sum("n").alias("links"), best.alias("best"))
+    of = equal.join(near, "class_id", "left").join(found, "class_id", "left")
+    return of.select("image_id", F.coalesce("near_id", "class_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "best.*")
 
 
 def op9_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
