@@ -37,6 +37,20 @@ def test_main_text_of_pages(body):
     assert main_text(page(body.format(*PARAGRAPHS))) == TEXT
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<main><article><p>{0}</p><p>Short.</p></article><article><p>{1}</p>{2}</article></main>",
+        "<article><p>{0}</p><article class=card>{2}</article><p>{1}</p><p>Short.</p></article>",
+        "<div><article><p>{0}</p></article><article>{2}</article><article><h3>An hour later</h3><p>{1}</p><p>Short.</p></article></div>",
+    ],
+)
+def test_text_of_all_articles_of_a_page(body):
+    longer = "This one is the longest paragraph of all of them, " * 6
+    text = main_text(page("<nav><a href=/>Home</a></nav>" + body.format(*PARAGRAPHS, f"<p>{longer}<a href=/x>link</a></p>" * 6) + "<footer>us</footer>"))
+    assert set(text.split("\n\n")) - {"An hour later"} == {PARAGRAPHS[0], TEXT.split("\n\n")[2], longer + "link", "Short."}
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain  text"), (3, "u", "plain  text"), (4, "u", "<div>" * 3000 + "deep text" + "</div>" * 10), (5, "u", "<p>" + "long words " * 50_000), (None, "u", "<<>&&amp;#x41;</p>"), (6, "u", "<script>never closed <p>x")]
     got = {r["page_id"]: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

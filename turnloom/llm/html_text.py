@@ -2,7 +2,8 @@
 
 Every DOM node gets its characters per tag, adjusted by its links; a node's sum of its children's
 densities points at the subtree with most of the text. The least density on the path from that
-node to the body is the threshold: nodes at or above it give their own best subtrees. Nodes that
+node to the body is the threshold: nodes at or above it give their own best subtrees. What is kept
+brings the whole <article> around it and those beside that, and the densest subtree also its <main>. Nodes that
 are never part of an article (menus, headers, footers, side bars, notices, adverts, forms, reader
 comments, scripts, styles) are left out by tag, role or the words of class and id.
 """
@@ -150,19 +151,24 @@ class Page:
         path = [target]
         while path[-1]:
             path.append(self.parent[path[-1]])
-        box = next((i for i in path if self.tag[i] in CONTAINERS), None)
+        body = [i for i in path if self.tag[i] != "html"] or path
+        threshold = min(density[i] for i in body)
         keep = [False] * n
-        if box is not None:
-            keep[box] = True  # the article that holds the densest subtree, with its headings
-        else:
-            body = [i for i in path if self.tag[i] != "html"] or path
-            threshold = min(density[i] for i in body)
-            for i in range(n):
-                if not self.out[i] and chars[i] and density[i] >= threshold:
-                    keep[best[i]] = True
-                if self.tag[i] in HEADINGS and self.parent[i] in (target, self.parent[target]):
-                    keep[i] = True
-            keep[target] = True
+        for i in range(n):
+            if not self.out[i] and chars[i] and density[i] >= threshold:
+                keep[best[i]] = True
+            if self.tag[i] in HEADINGS and self.parent[i] in (target, self.parent[target]):
+                keep[i] = True
+        keep[target] = True
+        box = next((i for i in path if self.tag[i] in CONTAINERS), 0)
+        keep[box] = keep[box] or box > 0
+        article = list(range(n))  # of each node, the nearest article around it
+        for i in range(1, n):
+            article[i] = i if self.tag[i] == "article" else article[self.parent[i]]
+        kept = {article[i] for i in range(n) if keep[i] and article[i] and not self.out[i]}
+        beside = {self.parent[i] for i in kept}
+        for i in range(1, n):
+            keep[i] = keep[i] or i in kept or self.tag[i] == "article" and self.parent[i] in beside
         for i in range(1, n):
             keep[i] = (keep[i] or keep[self.parent[i]]) and not self.out[i]
         return keep
