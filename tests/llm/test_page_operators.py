@@ -51,6 +51,19 @@ def test_text_of_all_articles_of_a_page(body):
     assert set(text.split("\n\n")) - {"An hour later"} == {PARAGRAPHS[0], TEXT.split("\n\n")[2], longer + "link", "Short."}
 
 
+@pytest.mark.parametrize("box", ["div class='content has-sidebar'", "div class=layout-no-sidebar", "div class='post comments-open'", "div class=page-with-header", "div id=popular-science", "section class=legal-guide", "div class=sidebar", "form action=x", "form class=search"])
+def test_text_of_a_page_inside_a_marked_box(box):
+    inner = f"<nav><a href=/>Home</a></nav><h1>The title of it</h1><p>{PARAGRAPHS[0]}</p><label>Mail</label><input><select><option>one</select><div class=main-nav>no text</div><p>{PARAGRAPHS[1]}</p><div id=comments-area><p>A reader's view.</p></div><button>Send</button>"
+    assert main_text(page(f"<{box}>{inner}</{box.split()[0]}><div class=ad-slot>Buy now.</div>")) == TEXT
+    assert main_text(page(f"<{box}><article>{inner}</article></{box.split()[0]}><footer>us</footer>")) == TEXT
+
+
+def test_marked_boxes_beside_the_text_stay_out():
+    views = "<p>I am a reader and I have a very long opinion on what is written above.</p>" * 20
+    for box in ("div class=comments", "div id=comment-list", "form", "div class='site-footer wide'"):
+        assert main_text(page(f"<div><h1>The title of it</h1><p>{PARAGRAPHS[0]}</p><p>{PARAGRAPHS[1]}</p></div><{box}>{views}</{box.split()[0]}>")) == TEXT
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain  text"), (3, "u", "plain  text"), (4, "u", "<div>" * 3000 + "deep text" + "</div>" * 10), (5, "u", "<p>" + "long words " * 50_000), (None, "u", "<<>&&amp;#x41;</p>"), (6, "u", "<script>never closed <p>x")]
     got = {r["page_id"]: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

@@ -5,7 +5,9 @@ densities points at the subtree with most of the text. The least density on the
 node to the body is the threshold: nodes at or above it give their own best subtrees. What is kept
 brings the whole <article> around it and those beside that, and the densest subtree also its <main>. Nodes that
 are never part of an article (menus, headers, footers, side bars, notices, adverts, forms, reader
-comments, scripts, styles) are left out by tag, role or the words of class and id.
+comments, scripts, styles) are left out by tag, role or the words of class and id; but a form or a
+box with such a word stays, without its controls, if it holds most of the text and no heading or
+article is outside it.
 """
 
 from __future__ import annotations
@@ -41,26 +43,44 @@ WORDS = frozenset(
 )
 CONTAINERS = ("article", "main")
 
+#: Parts of compound classes and ids that say where or what a box is, not what it is about: main-nav, ad-slot, comments-area.
+PLACES = frozenset(
+    "site main page global local primary secondary left right top bottom upper lower inner outer first last area list box block bar container wrapper wrap section region row col column "
+    "item items content body text inline slot unit zone panel buttons button link links icon icons default mobile desktop small large sticky fixed posts post article thread count title footer".split()
+)
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
-def _left_out(tag: str, attributes: str) -> bool:
-    if tag in LEFT_OUT:
-        return True
+KEPT, MARKED, OUT = 0, 1, 2
+
+
+def _word(token: str) -> bool:
+    """Whether a class or id is one of WORDS, or is made of them and PLACES alone. In has-sidebar or popular-science the word is only a part."""
+    parts = [w for w in re.split(r"[^a-z]+", token) if w]
+    return any(w in WORDS for w in parts) and all(w in WORDS or w in PLACES for w in parts)
+
+
+def _left_out(tag: str, attributes: str) -> int:
+    """OUT, or MARKED for what may yet turn out to be the wrapper of the whole page: forms and boxes with a word."""
+    if tag in LEFT_OUT and tag != "form":
+        return OUT
+    mark = MARKED if tag == "form" else KEPT
     if not attributes.strip() or tag in ("html", "body", *CONTAINERS):
-        return False
+        return mark
     at = {m[0].lower(): m[1] or m[2] or m[3] for m in _ATTRIBUTE.findall(attributes)}
-    if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or at.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", at.get("style", "")):
-        return True
-    return any(w in WORDS for w in re.split(r"[^a-z]+", f"{at.get('class', '')} {at.get('id', '')}".lower()))
+    role = at.get("role", "").lower()
+    if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or role in ROLES and role != "form" or re.search(r"display\s*:\s*none", at.get("style", "")):
+        return OUT
+    return MARKED if role == "form" or any(map(_word, f"{at.get('class', '')} {at.get('id', '')}".lower().split())) else mark
 
 
 class Page:
     """Nodes of a page in document order (parents first) and its stretches of text."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.out = ["html"], [0], [False]
+        self.tag, self.parent, self.mark = ["html"], [0], [KEPT]
         self.parts: list[tuple[int, str | None]] = []  # (node, text); None for the edge of a block
         stack, at = [0], 0
 
@@ -102,7 +122,7 @@ class Page:
                 self.parts.append((stack[-1], " "))
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.out.append(self.out[stack[-1]] and not (name in HEADINGS and self._title(stack)) or _left_out(name, attributes) or name in RAW)
+            self.mark.append(OUT if name in RAW else _left_out(name, attributes))
             if name in RAW:
                 if not attributes.endswith("/"):
                     end_tag = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(html, at)
@@ -111,10 +131,43 @@ class Page:
                 stack.append(len(self.tag) - 1)
         text(len(html))
 
-    def _title(self, stack: list[int]) -> bool:
-        """Whether a heading stands in the header of an article: the article's own title."""
-        names = [self.tag[n] for n in stack]
-        return names[-1] == "header" and any(x in CONTAINERS for x in names) and not any(self.out[n] for n in stack if self.tag[n] != "header")
+        self.out = self._outs()
+        if MARKED in self.mark:
+            self._keep_wrappers()
+
+    def _outs(self) -> list[bool]:
+        """Which nodes are left out. A heading in the header of an article, the article's own title, is not."""
+        n = len(self.tag)
+        out, boxed, inside = [False] * n, [False] * n, [False] * n  # inside: below what is left out and is no header
+        for i in range(1, n):
+            p = self.parent[i]
+            title = self.tag[i] in HEADINGS and self.tag[p] == "header" and boxed[p] and not inside[p]
+            out[i] = out[p] and not title or self.mark[i] != KEPT
+            boxed[i] = boxed[p] or self.tag[i] in CONTAINERS
+            inside[i] = inside[p] or out[i] and self.tag[i] != "header"
+        return out
+
+    def _keep_wrappers(self) -> None:
+        """Keep a marked box that holds most of the page's text outside links, if what is outside it has no heading and no article."""
+        n = len(self.tag)
+        gone, own, text = [False] * n, [0] * n, [0] * n
+        for i in range(1, n):
+            gone[i] = gone[self.parent[i]] or self.mark[i] == OUT or self.tag[i] == "a"
+        for i, t in self.parts:
+            if t and not gone[i]:
+                own[i] += len(t.strip())
+        text[:] = own
+        for i in range(n - 1, 0, -1):
+            text[self.parent[i]] += text[i]
+        while True:
+            if any(text[i] and not self.out[i] and (self.tag[i] in HEADINGS or self.tag[i] in CONTAINERS) for i in range(n)):
+                return
+            boxes = [i for i in range(1, n) if self.mark[i] == MARKED and not self.out[self.parent[i]]]
+            best = max(boxes, key=text.__getitem__, default=0)
+            if not best or text[best] <= sum(x for x, out in zip(own, self.out, strict=True) if not out):
+                return
+            self.mark[best] = KEPT
+            self.out = self._outs()
 
     def content(self) -> list[bool]:
         """Which nodes are part of the main text."""
