@@ -86,6 +86,18 @@ def test_cut_texts_have_the_ids_of_whole_texts(kind, name):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize(("kind", "name"), [("word", "word_bpe_49k.json"), ("byte", "byte_bpe_50k.json")])
+def test_added_tokens_in_texts_are_those_of_the_file(kind, name):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(vocabulary(name))
+    added = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|endof text|>"]
+    texts = [f"{a}{x}{b}" for x in added for a, b in (("x ", " y"), ("", ""), ("Word.", "\nno, more."), ("a  b", "  "))] + ["plain", None, "".join(added)]
+    got = (tokens.word_ids if kind == "word" else tokens.byte_ids)(vocabulary(name), texts)
+    expected = [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == expected and fresh.token_to_id("<|endoftext|>") in expected[0]
+
+
 def test_token_files_round_trip_and_give_any_token(spark, tmp_path):
     rng = np.random.default_rng(4)
     ids = np.concatenate([rng.integers(0, 300, 2000), rng.integers(0, 1 << 31, 500), [0, 255, 256, 65_535, 65_536, (1 << 32) - 1]]).astype(np.uint32)

@@ -9,6 +9,9 @@ encoding the parts by themselves gives the ids of the whole text:
   and before a single line feed between a letter, comma or full stop and a letter. What follows
   a cut that is not at a space is marked with the byte 1F. Only in runs of spaces does a cut
   depend on what follows; texts with such a run, or with a byte 1F, are encoded whole.
+
+The string of an added token, such as <|endoftext|>, gives that token, as the file says. Texts that
+hold one in any letter case are encoded whole: only the very string counts, before any lower-casing.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ class Ids(dict):
 
         super().__init__()
         self.tokenizer, self.spaced, self.most = Tokenizer.from_file(path), spaced, most
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
@@ -40,6 +43,9 @@ class Ids(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def holds_added(self, lowered: bytes) -> bool:
+        return any(a in lowered for a in self.added)
+
     def text_of(self, part: bytes) -> str:
         if not self.spaced:
             return part.decode()
@@ -75,14 +81,24 @@ def kept(path: str, spaced: bool) -> Ids:
     return Ids(path, spaced)
 
 
-def _joined(ids: Ids, cut: list[list[bytes]]) -> list[bytes]:
+def _joined(ids: Ids, cut: list[list[bytes]], whole: dict[int, bytes]) -> list[bytes]:
     ids.learn(set().union(*cut))
-    return [b"".join(map(ids.__getitem__, p)) for p in cut]
+    out = [b"".join(map(ids.__getitem__, p)) for p in cut]
+    for k, x in whole.items():
+        out[k] = x
+    return out
 
 
 def word_ids(path: str, texts: list[str | None]) -> list[bytes]:
     """Ids of each text (null: none) by a vocabulary that lower-cases and drops white space."""
-    return _joined(kept(path, False), [_STOP.sub(rb" \g<0>", (t or "").encode().lower()).split() for t in texts])
+    ids, cut, whole = kept(path, False), [], {}
+    for k, t in enumerate(texts):
+        b = (t or "").encode().lower()
+        if ids.holds_added(b):
+            whole[k] = ids.whole(t)
+            b = b""
+        cut.append(_STOP.sub(rb" \g<0>", b).split())
+    return _joined(ids, cut, whole)
 
 
 def byte_ids(path: str, texts: list[str | None]) -> list[bytes]:
@@ -90,11 +106,8 @@ def byte_ids(path: str, texts: list[str | None]) -> list[bytes]:
     ids, cut, whole = kept(path, True), [], {}
     for k, t in enumerate(texts):
         b = (t or "").encode()
-        if b"  " in b or b"\x1f" in b:
+        if b"  " in b or b"\x1f" in b or ids.holds_added(b.lower()):
             whole[k] = ids.whole(t)
             b = b""
         cut.append((b"\x1f" + _STOP_OR_LINE.sub(b" \x1f\\g<0>", b)).split(b" ") if b else [])
-    out = _joined(ids, cut)
-    for k, x in whole.items():
-        out[k] = x
-    return out
+    return _joined(ids, cut, whole)
