@@ -121,7 +121,7 @@ def reduce_and_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, kind: str = "byte", key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents longer than the capacity cut into full pieces, the first one shorter."""
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession, 1000, 8 << 20)
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(b: pa.RecordBatch) -> dict:

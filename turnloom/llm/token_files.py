@@ -104,7 +104,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, kind: str = "word
     Columns: part, file, path, documents, tokens, start (ids in all files before it).
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    small_batches(spark, 1000, 8 << 20)
     to = new_path(spark, "tokens")
     end = np.array([end_id], "<u4").tobytes()
 
