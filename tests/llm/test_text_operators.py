@@ -261,9 +261,28 @@ def test_items_are_found_within_the_edits_allowed_and_nothing_else():
     assert missed <= 2 and wrong == 0
 
 
-def test_short_items_match_only_whole():
-    found = D.Items([(1, "yes"), (2, "one two three four"), (3, "")])
-    assert [x[0] for x in found.find("Yes!")] == [1] and not found.find("yes and no") and [x[0] for x in found.find("a one, two three four b")] == [2] and not found.find("one two five three four")
+def test_short_items_match_as_spans_and_with_the_edits_allowed():
+    found = D.Items([(1, "yes"), (2, "one two three four"), (3, ""), (4, "alpha beta gamma delta epsilon"), (5, "red fox")])
+    of = lambda t: [(x[0], x[1]) for x in found.find(t)]
+    assert of("Yes!") == [(1, 0)] and of("so yes and no") == [(1, 0)] and of("a one, two three four b") == [(2, 0)] and not of("one two five three four")
+    assert of("an alpha beta other delta epsilon it is") == [(4, 1)] and of("beta gamma delta epsilon") == [(4, 1)] and not of("alpha beta other other epsilon")
+    assert of("the red fox") == [(5, 0)] and not of("red foxes") and not of("fox red")
+
+
+def test_items_of_every_length_are_found_as_by_brute_force():
+    rng, vocabulary_ = random.Random(8), [f"w{i}" for i in range(60)]
+    for m in range(1, 61):
+        items = [(k, " ".join(rng.choices(vocabulary_, k=m))) for k in range(12)]
+        found, want, got = D.Items(items), set(), set()
+        for t in range(24):
+            words = items[t % 12][1].split()
+            for _ in range(rng.randint(0, D.edits_allowed(m) + 1)):
+                at = rng.randrange(len(words) + 1)
+                words[at : at + rng.randint(0, 1)] = rng.choices(["other", *vocabulary_], k=rng.randint(0, 1))
+            text = [*rng.choices(vocabulary_, k=rng.randint(0, 9)), *words, *rng.choices(vocabulary_, k=rng.randint(0, 9))]
+            want |= {(t, k, x[0]) for k, i in items if (x := D.best_span(i.split(), text, D.edits_allowed(m)))}
+            got |= {(t, x[0], x[1]) for x in found.find(" ".join(text))}
+        assert {x[:2] for x in got} <= {x[:2] for x in want} and len(got & want) >= 0.9 * len(want), m
 
 
 def direct(context_depth: int, training: list[bytes], scored: bytes) -> float:

@@ -3,10 +3,11 @@
 Texts and items are sequences of lower-case words (runs of letters and digits). An item of m words
 is in a text if some span of words is within t = floor(0.2 m) word edits of it.
 
-Which windows of m words are embedded: within t edits, a span keeps at least m - 2 - 3t of the
-item's three-word shingles, and each lies within t words of the span's own alignment. Windows that
+Which windows of m words are embedded: within t edits, a span keeps at least m - w + 1 - wt of the
+item's w-word shingles, and each lies within t words of the span's own alignment. Windows that
 keep fewer cannot match, so only windows aligned by a kept shingle of a text that keeps enough are
-embedded; this drops none that matches. Each repetition walks item and window by the same random
+embedded; this drops none that matches. w is three, or less for items so short that the edits
+allowed may leave none of three words: two for items of two and five, one for those of one word. Each repetition walks item and window by the same random
 bits, which maps edit to Hamming distance, and samples positions of the walk; windows that agree
 with the item in all sampled positions of some repetition go on to the exact check.
 """
@@ -39,7 +40,13 @@ def words(text: str | None) -> list[bytes]:
 
 
 def edits_allowed(m: int, similarity: float = SIMILARITY) -> int:
-    return int(m * (1 - similarity) + 1e-9) if m > 2 * WIDTH - 1 else 0
+    """Of an item of m words: one edit from five words on, two from ten, and so on."""
+    return int(m * (1 - similarity) + 1e-9)
+
+
+def kept_shingles(m: int, most: int) -> tuple[int, int]:
+    """(words of a shingle, how many of the item's shingles a span within `most` edits keeps at least)."""
+    return next((w, n) for w in range(WIDTH, 0, -1) if (n := m - w + 1 - w * most) > 0)
 
 
 def best_span(item: list[int], text: list[int], most: int) -> tuple[int, int, int] | None:
@@ -54,16 +61,50 @@ def best_span(item: list[int], text: list[int], most: int) -> tuple[int, int, in
         row = new
         if row[-1][0] <= most and (best is None or row[-1][0] < best[0]):
             best = (row[-1][0], row[-1][1], end)
+            if not best[0]:
+                break
     return best
 
 
+class Seeds:
+    """The shingles of `width` words of some items, ready to be looked up."""
+
+    def __init__(self, width: int, base: int, grams: dict[tuple, list[tuple[int, int]]]):
+        self.width, self.base = width, base
+        codes = {self.code(np.array(g)[:, None])[0]: at for g, at in grams.items()}
+        self.codes = np.array(sorted(codes), np.uint64)
+        self.sources = [codes[c] for c in self.codes.tolist()]  # (item, offset in it) of each
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[self.codes & np.uint64((1 << 20) - 1)] = True
+
+    def code(self, grams: np.ndarray) -> np.ndarray:
+        x = np.zeros(grams.shape[1], np.uint64)
+        for g in grams:
+            x = x * np.uint64(self.base) + g.astype(np.uint64)
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)  # one to one while base ** 3 < 2 ** 64
+
+    def places(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where in `doc` a shingle of an item is, which one)."""
+        known = doc > 0
+        n = len(doc) - self.width + 1
+        if n < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        near = np.flatnonzero(np.logical_and.reduce([known[i : i + n] for i in range(self.width)]))
+        code = self.code(np.stack([doc[near + i] for i in range(self.width)]))
+        hit = self.sieve[code & np.uint64((1 << 20) - 1)]
+        near, code = near[hit], code[hit]
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = self.codes[at] == code
+        return near[hit], at[hit]
+
+
 class Items:
     """A block of items, ready to be searched for in texts."""
 
-    def __init__(self, items: list[tuple], similarity: float = SIMILARITY, seed: int = 1):
+    def __init__(self, items: list[tuple], similarity: float = SIMILARITY):
         self.vocabulary: dict[bytes, int] = {}
-        self.ids, self.items, self.most, self.short = [], [], [], defaultdict(list)
-        grams = defaultdict(list)
+        self.ids, self.items, self.most, self.need = [], [], [], []
+        grams: dict[int, dict] = defaultdict(lambda: defaultdict(list))
         for key, text in items:
             w = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words(text)]
             if not w:
@@ -72,26 +113,14 @@ class Items:
             self.ids.append(key)
             self.items.append(np.array(w, np.int64))
             self.most.append(edits_allowed(len(w), similarity))
-            if len(w) < WIDTH:
-                self.short[tuple(w)].append(k)
-            for o in range(len(w) - WIDTH + 1):
-                grams[tuple(w[o : o + WIDTH])].append((k, o))
-        self.base = len(self.vocabulary) + 1
-        codes = {self._code(np.array(g)[:, None])[0]: at for g, at in grams.items()}
-        self.codes = np.array(sorted(codes), np.uint64)
-        self.sources = [codes[c] for c in self.codes.tolist()]
-        self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[self.codes & np.uint64((1 << 20) - 1)] = True
-        self.rng = np.random.default_rng(seed)
+            width, need = kept_shingles(len(w), self.most[-1])
+            self.need.append(need)
+            for o in range(len(w) - width + 1):
+                grams[width][tuple(w[o : o + width])].append((k, o))
+        self.seeds = [Seeds(width, len(self.vocabulary) + 1, of) for width, of in sorted(grams.items())]
         self.walks: dict[int, tuple] = {}
         self.signatures: dict[int, np.ndarray] = {}
 
-    def _code(self, grams: np.ndarray) -> np.ndarray:
-        x = np.zeros(grams.shape[1], np.uint64)
-        for g in grams:
-            x = x * np.uint64(self.base) + g.astype(np.uint64)
-        return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)  # one to one while base ** 3 < 2 ** 64
-
     def _signatures(self, windows: np.ndarray) -> np.ndarray:
         """Sampled positions of the walks of each window: repetitions x windows x SAMPLED."""
         n, m = windows.shape
@@ -113,55 +142,48 @@ class Items:
 
     def find(self, text: str | None) -> list[tuple]:
         """(item id, edits, words of the item, begin and end of the nearest span in words), a row for each item found."""
-        w = words(text)
         get = self.vocabulary.get
-        doc, out = np.array([get(x, 0) for x in w], np.int64), []
-        if self.short and 0 < len(doc) < WIDTH:
-            out += [(self.ids[k], 0, len(doc), 0, len(doc)) for k in self.short.get(tuple(doc.tolist()), ())]
-        if len(doc) < WIDTH or not len(self.codes):
-            return out
-        near = np.flatnonzero((doc[:-2] > 0) & (doc[1:-1] > 0) & (doc[2:] > 0))
-        if not len(near):
-            return out
-        code = self._code(np.stack([doc[near + i] for i in range(WIDTH)]))
-        hit = self.sieve[code & np.uint64((1 << 20) - 1)]
-        near, code = near[hit], code[hit]
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        hit = self.codes[at] == code
-        near, at = near[hit], at[hit]
-        places: dict[int, list] = defaultdict(list)
-        for g in np.unique(at).tolist():
-            for k, o in self.sources[g]:
-                places[k].append((o, g))
-        for k, of in places.items():
-            item, most = self.items[k], self.most[k]
-            m = len(item)
-            need = max(1, m - WIDTH + 1 - WIDTH * most)
-            if len(of) < need:
-                continue
-            pos = [near[at == g] for _, g in of]
-            begins = np.concatenate([p - o for (o, _), p in zip(of, pos, strict=True)])
-            offsets = np.concatenate([np.full(len(p), o) for (o, _), p in zip(of, pos, strict=True)])
-            begins, found = self._crowded(begins, offsets, need, most), None
-            for lo in range(0, len(begins), 4096):
-                some = begins[lo : lo + 4096]
-                windows = np.pad(doc, (m, m))[np.clip(some + m, 0, len(doc) + m)[:, None] + np.arange(m)]
-                if k not in self.signatures:
-                    self.signatures[k] = self._signatures(item[None, :])
-                like = some[(self._signatures(windows) == self.signatures[k]).all(2).any(0)]
-                for b, e in self._spans(like, m, most, len(doc)):
-                    if (x := best_span(item.tolist(), doc[b:e].tolist(), most)) and (found is None or x[0] < found[1]):
-                        found = (self.ids[k], x[0], m, b + x[1], b + x[2])
-            if found:
-                out.append(found)
+        doc, out = np.array([get(x, 0) for x in words(text)], np.int64), []
+        for seeds in self.seeds:
+            near, at = seeds.places(doc)
+            places: dict[int, list] = defaultdict(list)
+            for g in np.unique(at).tolist():
+                for k, o in seeds.sources[g]:
+                    places[k].append((o, g))
+            for k, of in places.items():
+                if len(of) >= self.need[k]:
+                    pos = [near[at == g] for _, g in of]
+                    begins = np.concatenate([p - o for (o, _), p in zip(of, pos, strict=True)])
+                    offsets = np.concatenate([np.full(len(p), o) for (o, _), p in zip(of, pos, strict=True)])
+                    if found := self._nearest(k, doc, self._crowded(begins, offsets, self.need[k], self.most[k])):
+                        out.append(found)
         return out
 
+    def _nearest(self, k: int, doc: np.ndarray, begins: np.ndarray) -> tuple | None:
+        """The nearest span of item k among the windows of `doc` that begin there and agree with it in some repetition."""
+        item, most, found = self.items[k], self.most[k], None
+        m = len(item)
+        for lo in range(0, len(begins), 4096):
+            some = begins[lo : lo + 4096]
+            windows = np.pad(doc, (m, m))[np.clip(some + m, 0, len(doc) + m)[:, None] + np.arange(m)]
+            if k not in self.signatures:
+                self.signatures[k] = self._signatures(item[None, :])
+            like = some[(self._signatures(windows) == self.signatures[k]).all(2).any(0)]
+            for b, e in self._spans(like, m, most, len(doc)):
+                if (x := best_span(item.tolist(), doc[b:e].tolist(), most)) and (found is None or x[0] < found[1]):
+                    found = (self.ids[k], x[0], m, b + x[1], b + x[2])
+                if found and not found[1]:
+                    return found
+        return found
+
     @staticmethod
     def _crowded(begins: np.ndarray, offsets: np.ndarray, need: int, most: int) -> np.ndarray:
         """The alignments with `need` different shingles within `most` words of them."""
         order = np.argsort(begins, kind="stable")
         begins, offsets = begins[order], offsets[order]
         starts = np.unique(begins)
+        if need == 1:
+            return starts
         lo, hi = np.searchsorted(begins, starts - most), np.searchsorted(begins, starts + most, "right")
         ok = hi - lo >= need
         return np.array([s for s, i, j in zip(starts[ok].tolist(), lo[ok], hi[ok], strict=True) if len(np.unique(offsets[i:j])) >= need], np.int64)
@@ -194,8 +216,8 @@ def blocks(items: DataFrame, key: str, text: str):
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, item_id, edits, item_words, begin_word, end_word, similarity: a row for each text and item found in it.
 
-    Null and empty texts and items match nothing. Items under six words must occur without an
-    edit, and those under three only as a whole text. Repeated rows each come out.
+    Null and empty texts and items match nothing. At a similarity of 0.8, items under five words
+    must occur without an edit, as one edit is more than a fifth of them. Repeated rows each come out.
     """
     small_batches(docs.sparkSession, 500)
     out = None
