@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, materialise, new_path, small_batches, write_file
+from .common import materialise, new_path, read_file, small_batches, write_file
 
 SKIPPABLE = 0x184D2A5D
 FILE_BYTES, DICTIONARY_BYTES, TRAINING_BYTES, LEVEL = 16 << 20, 64 << 10, 2 << 20, 3
@@ -66,8 +66,8 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def pack_file(records: list[bytes]) -> tuple[bytes, list[tuple[int, int]]]:
     """(bytes of a file, place and size of each record's frame).
 
-    The dictionary is trained from records spread evenly over the file, up to TRAINING_BYTES; with too few to train
-    from, it is the raw content of the first ones.
+    The dictionary is trained from records spread evenly over the file, up to TRAINING_BYTES, the first 128 KiB
+    of each; with too few to train from, it is the raw content of the first ones. Records are written whole.
     """
     import zstandard
 
@@ -159,26 +159,28 @@ def write_warcs(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
 
 def read_warcs(index: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record of the files that the index names."""
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to of every record that the index names.
+
+    A file is a group of its own, of about FILE_BYTES before compression at most (or one record), and
+    each record is read at its place; up to 10,000 tasks read files.
+    """
+    kept = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    schema = pa.schema(list(zip(kept, [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column(0).to_pylist():
-                fs, at = filesystem(path)
-                with fs.open_input_file(at) as f:
-                    data = f.read()
-                rows = []
-                for r in unpack_file(data):
+            for path, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data, rows = read_file(path), []
+                for r in unpack_file(data, [(p["at"], p["size"]) for p in places]):
                     head, http, body = parse(r)
                     sha1 = head["warc-payload-digest"].removeprefix("sha1:")
                     n = int(http["content-length"])
                     if head["warc-type"] == "response" and (len(body) != n or digest(body) != sha1):
                         raise ValueError(f"{path}: a payload differs from its digest")
-                    rows.append({
-                        "page_id": int(x) if (x := head["x-page-id"]) else None, "url": head["warc-target-uri"], "payload_bytes": n, "payload_digest": sha1,
-                        "record_type": head["warc-type"], "refers_to": int(x) if (x := head.get("x-refers-to-page-id")) else None,
-                    })
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
-
-    files = index.select("path").distinct()
-    return files.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+                    to = head.get("x-refers-to-page-id")
+                    rows.append(dict(zip(kept, (int(x) if (x := head["x-page-id"]) else None, head["warc-target-uri"], n, sha1, head["warc-type"], int(to) if to else None), strict=True)))
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    files = index.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("places"))
+    n = index.select("path").distinct().count()
+    return files.repartitionByRange(max(1, min(n, 10_000)), "path").mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
