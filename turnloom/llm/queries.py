@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import new_path, table
 
 
 def vocabulary(name: str) -> str:
@@ -18,10 +18,14 @@ def vocabulary(name: str) -> str:
 
 
 def op1_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in 24 shards of near equal bytes by 8192 virtual slots; `slot` is the place in the shard."""
-    from .sharding import assign
+    """Documents in 24 shards of near equal bytes by 8192 virtual slots; `slot` is the place in the shard.
 
-    rows, _ = assign(table(spark, sf_dir, "documents"), 24)
+    The map of the slots is stored: version 0 as dealt, version 1 as edited for these documents.
+    """
+    from .sharding import assign, create_map
+
+    create_map(spark, maps := new_path(spark, "slot-maps"), 24)
+    rows = assign(table(spark, sf_dir, "documents"), maps, 24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
@@ -70,28 +74,13 @@ def op7_family_then_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edited copies of the images whose id is divisible by 20, searched for among all images: a row per image.
+    """Near copies, and edited copies of the images whose id is divisible by 20 among all images: a row per image.
 
-    No table holds images, so each row of `embeddings` is drawn. class_id: the least image of equal
-    pixels or near copies. links: how many queries, as edited, show this very image; the best of
-    them, its inliers, scale and turn. Only images of equal pixels are searched and found as one.
+    No table holds images, so each row of `embeddings` is drawn.
     """
-    from .image_copies import classes, drawn, features, link, near_classes
-
-    vectors = table(spark, sf_dir, "embeddings")
-    equal = materialise(classes(drawn(vectors)), "classes")
-    once = vectors.dropDuplicates(["vec_id"])
-    alone = once.join(equal.filter("image_id = class_id").select(F.col("class_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    described = materialise(features(drawn(alone)), "features")
-    near = near_classes(described).withColumnRenamed("image_id", "class_id")
-    turned = (F.col("image_id") % 40 == 0).alias("turned")  # equal pixels are edited in two ways
-    asked = materialise(equal.filter("image_id % 20 = 0").groupBy("class_id", turned).agg(F.min("image_id").alias("query_id"), F.count("*").alias("n")), "asked")
-    edited = features(drawn(once.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi"), edited=True))
-    links = link(materialise(edited, "edited"), described).join(asked.select("query_id", "n"), "query_id")
-    best = F.max_by(F.struct("query_id", "inliers", "scale", "degrees"), F.struct("inliers", -F.col("query_id")))
-    found = links.groupBy(F.col("image_id").alias("class_id")).agg(F.sum("n").alias("links"), best.alias("best"))
-    of = equal.join(near, "class_id", "left").join(found, "class_id", "left")
-    return of.select("image_id", F.coalesce("near_id", "class_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "best.*")
+    from .image_copies import searched
+
+    return searched(table(spark, sf_dir, "embeddings"))
 
 
 def op9_dominance_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
