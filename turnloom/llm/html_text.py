@@ -3,11 +3,13 @@
 Every DOM node gets its characters per tag, adjusted by its links; a node's sum of its children's
 densities points at the subtree with most of the text. The least density on the path from that
 node to the body is the threshold: nodes at or above it give their own best subtrees. What is kept
-brings the whole <article> around it and those beside that, and the densest subtree also its <main>. Nodes that
-are never part of an article (menus, headers, footers, side bars, notices, adverts, forms, reader
-comments, scripts, styles) are left out by tag, role or the words of class and id; but a form or a
-box with such a word stays, without its controls, if it holds most of the text and no heading or
-article is outside it.
+brings the whole <article> around it and those beside that, and the densest subtree also its <main>.
+
+Menus, headers, footers, side bars, adverts, notices, forms and reader comments are left out where
+the page says that it has one: by tag, by role, or by a class or id that is the very name of one of
+them. Density alone cannot tell an advert or a reader's comment from a paragraph. But a form or box
+with such a name stays, without its controls, if it holds most of the text and no heading or article
+is outside it. Reading a page takes time in proportion to its length, closed or unclosed its tags.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,12 +37,10 @@ CLOSED_BY = {
 SCOPES = frozenset("html body table ul ol dl td th article section div nav aside main footer header select".split())
 LEFT_OUT = frozenset("head nav header footer aside form button select menu dialog fieldset datalist optgroup option label legend input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
+#: What a class or id calls the parts that are to be left out.
 WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion promoted banner banners teaser outbrain taboola "
-    "menu menus nav navbar navigation navi breadcrumb breadcrumbs pagination pager toolbar header masthead topbar footer copyright colophon legal "
-    "sidebar sidebars side aside widget widgets related recommended recommendations trending popular share sharing social "
-    "notice notices cookie cookies consent gdpr popup modal overlay alert alerts disclaimer newsletter subscribe subscription signup login paywall "
-    "comment comments commentlist disqus respond reply replies discussion feedback form search searchform skip hidden".split()
+    "ad ads advert adverts advertisement advertising sponsored banner menu menus nav navbar navigation breadcrumb breadcrumbs pagination header footer "
+    "sidebar sidebars aside widget widgets notice notices cookie cookies consent popup form search newsletter comment comments respond reply replies hidden".split()
 )
 CONTAINERS = ("article", "main")
 
@@ -49,7 +50,8 @@ PLACES = frozenset(
     "item items content body text inline slot unit zone panel buttons button link links icon icons default mobile desktop small large sticky fixed posts post article thread count title footer".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_END_OR_QUOTE = re.compile(r">|=\s*[\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -76,46 +78,94 @@ def _left_out(tag: str, attributes: str) -> int:
     return MARKED if role == "form" or any(map(_word, f"{at.get('class', '')} {at.get('id', '')}".lower().split())) else mark
 
 
+class Scanner:
+    """Tags of a page from left to right, each character looked at a bounded number of times."""
+
+    def __init__(self, html: str):
+        self.html, self.at, self.quotes = html, 0, True
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose name ends at `at`: its > outside quoted values, or any > once a quote has not been closed; -1 without one."""
+        pos = at
+        while self.quotes and (m := _END_OR_QUOTE.search(self.html, pos)):
+            if m[0] == ">":
+                return m.start()
+            close = self.html.find(m[0][-1], m.end())
+            if close < 0:
+                break
+            pos = close + 1
+        self.quotes = False
+        return self.html.find(">", at)
+
+    def tags(self):
+        """(begin, end, name with its slash, attributes) of each tag; for comments and the like the name is empty. What follows an unclosed one is text, or no more if it is a comment."""
+        html = self.html
+        while (at := html.find("<", self.at)) >= 0:
+            self.at = at + 1
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 2)
+                self.at = len(html) if end < 0 else end + 3
+                yield at, self.at, "", ""
+            elif m := _TAG.match(html, at + 1):
+                if (end := self._end(m.end())) < 0:
+                    return
+                self.at = end + 1
+                yield at, end + 1, m[0].lower(), html[m.end() : end]
+            elif html[at + 1 : at + 2] in ("!", "?", "/"):
+                if (end := html.find(">", at)) < 0:
+                    return
+                self.at = end + 1
+                yield at, end + 1, "", ""
+
+    def skip_raw(self, name: str) -> None:
+        """Go on after the end tag of a raw element, or at the end of the page."""
+        m = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(self.html, self.at)
+        end = self.html.find(">", m.end()) if m else -1
+        self.at = len(self.html) if end < 0 else end + 1
+
+
 class Page:
     """Nodes of a page in document order (parents first) and its stretches of text."""
 
     def __init__(self, html: str):
         self.tag, self.parent, self.mark = ["html"], [0], [KEPT]
         self.parts: list[tuple[int, str | None]] = []  # (node, text); None for the edge of a block
-        stack, at = [0], 0
+        stack, at, open_tags = [0], 0, Counter()
 
         def text(end: int) -> None:
             if end > at:
                 self.parts.append((stack[-1], entities.unescape(html[at:end])))
 
         def close(tag: str) -> None:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 name = self.tag[stack[depth]]
                 if name == tag:
                     while len(stack) > depth:
-                        if self.tag[stack.pop()] not in INLINE:
+                        last = self.tag[stack.pop()]
+                        open_tags[last] -= 1
+                        if last not in INLINE:
                             self.parts.append((stack[-1], None))
                     return
                 if name in SCOPES and tag not in SCOPES:
                     return
 
-        while m := _TOKEN.search(html, at):
-            text(m.start())
-            at = m.end()
-            end, name, attributes = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
+        scanner = Scanner(html)
+        for begin, end, name, attributes in scanner.tags():
+            text(begin)
+            at = end
             if not name:
                 continue
-            if end:
-                close(name)
+            if name[0] == "/":
+                close(name[1:])
                 continue
-            while len(stack) > 1 and any(name in CLOSED_BY.get(self.tag[n], ()) for n in stack[-1:]):
+            while len(stack) > 1 and name in CLOSED_BY.get(self.tag[stack[-1]], ()):
                 close(self.tag[stack[-1]])
-            if name in CLOSED_BY["p"]:  # inline elements left open inside a paragraph end with it
-                for n in reversed(stack[1:]):
-                    if self.tag[n] == "p":
-                        close("p")
-                    if self.tag[n] not in INLINE:
-                        break
+            if name in CLOSED_BY["p"] and open_tags["p"]:  # inline elements left open inside a paragraph end with it
+                depth = len(stack) - 1
+                while depth and self.tag[stack[depth]] in INLINE:
+                    depth -= 1
+                if self.tag[stack[depth]] == "p":
+                    close("p")
             if name not in INLINE:
                 self.parts.append((stack[-1], None))
             if name == "br":
@@ -125,10 +175,11 @@ class Page:
             self.mark.append(OUT if name in RAW else _left_out(name, attributes))
             if name in RAW:
                 if not attributes.endswith("/"):
-                    end_tag = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(html, at)
-                    at = end_tag.end() if end_tag else len(html)
+                    scanner.skip_raw(name)
+                    at = scanner.at
             elif name not in VOID and not (attributes.endswith("/") and name not in CLOSED_BY["p"]):
                 stack.append(len(self.tag) - 1)
+                open_tags[name] += 1
         text(len(html))
 
         self.out = self._outs()
@@ -169,8 +220,8 @@ class Page:
             self.mark[best] = KEPT
             self.out = self._outs()
 
-    def content(self) -> list[bool]:
-        """Which nodes are part of the main text."""
+    def densities(self) -> tuple[list[int], list[float], list[float]]:
+        """(characters, link-adjusted density, sum of the children's densities) of each node, of what is not left out."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags, total = [0] * n, [0] * n, [0] * n, [0] * n, [0.0] * n
         linked = [False] * n
@@ -196,6 +247,12 @@ class Page:
                 density[i] = c / t * math.log(max(c / max(1, lc) * t / max(1, lt), 1.0)) / max(math.log(base), 1.0) if base > 1 else 0.0
         for i in range(1, n):
             total[self.parent[i]] += density[i]
+        return chars, density, total
+
+    def content(self) -> list[bool]:
+        """Which nodes are part of the main text."""
+        n = len(self.tag)
+        chars, density, total = self.densities()
         best = list(range(n))
         for i in range(n - 1, 0, -1):
             if not self.out[i] and total[best[i]] > total[best[self.parent[i]]]:
@@ -244,7 +301,7 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every row, from the whole html; null or empty html gives an empty text."""
+    """page_id, url, text, n_chars of every row, from the whole html; null or empty html gives an empty text, an empty table no rows."""
     small_batches(pages.sparkSession, 500, 8 << 20)
 
     def run(b: pa.RecordBatch) -> dict:
