@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import math
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from turnloom.llm import image_copies as I
 from turnloom.llm import warc
-from turnloom.llm.html_text import extract, main_text
+from turnloom.llm.common import materialise
+from turnloom.llm.html_text import Page, extract, main_text
 from turnloom.llm.queries import op8_local_descriptors
 
 PARAGRAPHS = ["A first paragraph with enough words to be read as the text of a page, and then some more of them.", "Another one &amp; its <b>bold <i>words</i></b>,<br>which go on for a while so that it weighs more than a menu."]
@@ -51,7 +57,7 @@ def test_text_of_all_articles_of_a_page(body):
     assert set(text.split("\n\n")) - {"An hour later"} == {PARAGRAPHS[0], TEXT.split("\n\n")[2], longer + "link", "Short."}
 
 
-@pytest.mark.parametrize("box", ["div class='content has-sidebar'", "div class=layout-no-sidebar", "div class='post comments-open'", "div class=page-with-header", "div id=popular-science", "section class=legal-guide", "div class=sidebar", "form action=x", "form class=search"])
+@pytest.mark.parametrize("box", ["div class='content has-sidebar'", "div class=layout-no-sidebar", "div class='post comments-open'", "div class=page-with-header", "div id=popular-science", "section class=legal-guide", "div class='discussion social'", "div class=sidebar", "form action=x", "form class=search"])
 def test_text_of_a_page_inside_a_marked_box(box):
     inner = f"<nav><a href=/>Home</a></nav><h1>The title of it</h1><p>{PARAGRAPHS[0]}</p><label>Mail</label><input><select><option>one</select><div class=main-nav>no text</div><p>{PARAGRAPHS[1]}</p><div id=comments-area><p>A reader's view.</p></div><button>Send</button>"
     assert main_text(page(f"<{box}>{inner}</{box.split()[0]}><div class=ad-slot>Buy now.</div>")) == TEXT
@@ -64,6 +70,67 @@ def test_marked_boxes_beside_the_text_stay_out():
         assert main_text(page(f"<div><h1>The title of it</h1><p>{PARAGRAPHS[0]}</p><p>{PARAGRAPHS[1]}</p></div><{box}>{views}</{box.split()[0]}>")) == TEXT
 
 
+def test_densities_follow_their_definition():
+    rng = random.Random(9)
+
+    def tree(depth):
+        if not depth or rng.random() < 0.2:
+            return ("#text", "word " * rng.randint(1, 30), [])
+        return (rng.choice(["div", "section", "p" if depth == 1 else "div", "a"]), "", [tree(depth - 1) for _ in range(rng.randint(1, 4))])
+
+    def html_of(t):
+        return t[1] if t[0] == "#text" else f"<{t[0]}>{''.join(map(html_of, t[2]))}</{t[0]}>"
+
+    def counted(t, linked=False):
+        """(characters, tags, characters in links, links) below a node; text next to text is one stretch."""
+        if t[0] == "#text":
+            return len(t[1]), 0, len(t[1]) * linked, 0
+        linked = linked or t[0] == "a"
+        every = [counted(x, linked) for x in t[2]]
+        inner = [x for x in t[2] if x[0] != "#text"]
+        joined = [len("".join(x[1] for x in g).strip()) for k, g in itertools.groupby(t[2], lambda x: x[0] == "#text") if k]
+        below = [e for e, x in zip(every, t[2], strict=True) if x[0] != "#text"]
+        own = sum(joined)
+        return own + sum(e[0] for e in below), len(inner) + sum(e[1] for e in below), own * linked + sum(e[2] for e in below), sum(x[0] == "a" for x in inner) + sum(e[3] for e in below)
+
+    for _ in range(60):
+        t = ("html", "", [("body", "", [tree(4) for _ in range(3)])])
+        page_ = Page(html_of(t[2][0]))
+        chars, density, total = page_.densities()
+        c0, _, l0, _ = counted(t)
+        nodes, sums = [], []
+
+        def walk(x):
+            c, tags, lc, lt = counted(x)
+            tags = max(1, tags)
+            base = math.log(math.e + l0 / max(1, c0) * c + c * lc / max(1, c - lc))
+            nodes.append(c / tags * max(0.0, math.log(max(1.0, c * tags / (max(1, lc) * max(1, lt))))) / max(1.0, math.log(base)) if c else 0.0)
+            at = len(nodes) - 1
+            sums.append(0.0)
+            for y in x[2]:
+                if y[0] != "#text":
+                    sums[at] += walk(y)
+            return nodes[at]
+
+        walk(t)
+        linked = [x for x in range(len(page_.tag)) if page_.tag[x] == "a"]
+        own = [i for i in range(len(nodes)) if not any(a == i or a in _above(page_, i) for a in linked)]
+        assert len(nodes) == len(density) and all(abs(nodes[i] - density[i]) < 1e-6 * max(1, nodes[i]) for i in own) and abs(sums[0] - total[0]) < 1e-6 * max(1, sums[0])
+
+
+def _above(page_, i):
+    while i:
+        i = page_.parent[i]
+        yield i
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a href='", '<a b="x" ', "</style", "<!-", "<!--", "<b>", "</i>", "<b><p></p>", "<div ", "<style", "<script>", "<a =\"'>", "&#"])
+def test_a_page_of_unclosed_tags_takes_linear_time(unit):
+    begin = time.process_time()
+    main_text("<p>text</p>" + unit * (1_000_000 // len(unit)))
+    assert time.process_time() - begin < 8
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain  text"), (3, "u", "plain  text"), (4, "u", "<div>" * 3000 + "deep text" + "</div>" * 10), (5, "u", "<p>" + "long words " * 50_000), (None, "u", "<<>&&amp;#x41;</p>"), (6, "u", "<script>never closed <p>x")]
     got = {r["page_id"]: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
@@ -92,6 +159,28 @@ def test_warc_revisits(spark):
     assert warc.read_warcs(warc.write_warcs(none)).count() == 0
 
 
+def written(df, spark):
+    return materialise(df, "written")
+
+
+def edited(df, kind):
+    return I.features(I.drawn(df.withColumn("kind", F.expr(kind)), edit="kind"))
+
+
+def by_brute_force(q, c):
+    """Pairs of images whose descriptors agree, every one of q against every one of c (pandas of FEATURES)."""
+    parts = {k: (g["x"].to_numpy() + 1j * g["y"].to_numpy(), g[["d0", "d1", "d2", "d3"]].to_numpy().view(np.uint64)) for k, g in c.groupby("image_id")}
+    out = set()
+    for k, g in q.groupby("image_id"):
+        at, d = g["x"].to_numpy() + 1j * g["y"].to_numpy(), g[["d0", "d1", "d2", "d3"]].to_numpy().view(np.uint64)
+        for j, (there, e) in parts.items():
+            bits = np.bitwise_count(d[:, None] ^ e[None]).sum(2, dtype=np.int64)
+            met = bits.min(1) <= I.AGREE_BITS
+            if met.sum() >= I.LEAST_INLIERS and I.consensus(at[met], there[bits.argmin(1)[met]])[0] >= I.LEAST_INLIERS:
+                out.add((k, j))
+    return out
+
+
 def test_edited_copies_are_found_and_others_are_not(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(120, 64)))]
@@ -100,16 +189,35 @@ def test_edited_copies_are_found_and_others_are_not(spark):
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     equal = {r["image_id"]: r["class_id"] for r in I.classes(I.drawn(df)).collect()}
     assert equal[200] == 3 and equal[5] == 5 and 201 not in equal
-    rows = I.features(I.drawn(df))
+    rows = written(I.features(I.drawn(df)), spark)
     near = {r["image_id"]: r["near_id"] for r in I.near_classes(rows.filter("image_id <> 200")).collect()}
     assert set(near) >= {0, *range(302, 318)} and set(near.values()) == {0} and not set(near) & set(range(1, 120))
-    queries = I.features(I.drawn(df.filter("vec_id % 20 = 0 AND vec_id < 120"), edited=True))
+    queries = written(edited(df.filter("vec_id % 20 = 0 AND vec_id < 120"), "vec_id div 20 % 4"), spark)
     links = I.link(queries, rows.filter("image_id < 120")).collect()
     assert {(r["query_id"], r["image_id"]) for r in links} == {(i, i) for i in range(0, 120, 20)}
-    assert all(abs(r["scale"] - 1) < 0.1 and min(abs(r["degrees"]), abs(r["degrees"] - 90)) < 6 for r in links)
+    assert all(abs(r["scale"] - 1) < 0.1 and abs(abs(r["degrees"]) - 90 * (r["query_id"] // 20 % 2)) < 6 for r in links)
     assert I.features(I.drawn(df.limit(0))).count() == 0 and I.near_classes(rows.limit(0)).count() == 0 and I.link(rows.limit(0), rows).count() == 0
 
 
+@pytest.mark.parametrize("rows_broadcast", [500_000, 0])
+def test_recall_of_links_and_classes_among_thousands_of_others(spark, monkeypatch, rows_broadcast):
+    monkeypatch.setattr(I, "BROADCAST_ROWS", rows_broadcast)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 64))
+    vectors = [(i, v) for i, v in enumerate(rng.normal(size=(3000, 64)))] + [(5000 + i, v) for i, v in enumerate(base)] + [(6000 + i, v + rng.normal(size=64) * 0.05) for i, v in enumerate(base)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors], "vec_id long, embedding array<double>").repartition(4)
+    rows = written(I.features(I.drawn(df)), spark)
+    queries = written(edited(df.filter("vec_id BETWEEN 5000 AND 5999"), "vec_id % 4"), spark)
+    every, asked = rows.toPandas(), queries.toPandas()
+    got = {(r["query_id"], r["image_id"]) for r in I.link(queries, rows).collect()}
+    want = by_brute_force(asked, every) if rows_broadcast else got
+    assert len(got & want) >= 0.95 * len(want) and got <= want and len({q for q, c in got if q == c}) >= 36
+    near = {r["image_id"]: r["near_id"] for r in I.near_classes(rows).collect()}
+    pairs = by_brute_force(every[every["image_id"].between(5000, 5999)], every) if rows_broadcast else {(i, i + 1000) for i in near if 5000 <= i < 6000}
+    pairs = {(u, v) for u, v in pairs if u != v}
+    assert len(pairs) >= 30 and sum(near.get(u, u) == near.get(v, v) for u, v in pairs) >= 0.95 * len(pairs) and not set(near) & set(range(3000))
+
+
 def test_near_copies_join_whatever_else_is_in_their_buckets(spark, monkeypatch):
     rng = np.random.default_rng(5)
     image = np.rint(127.5 + 100 * np.sin(rng.normal(size=64) @ I._waves(64))).reshape(1, I.SIDE, I.SIDE)
@@ -122,7 +230,7 @@ def test_near_copies_join_whatever_else_is_in_their_buckets(spark, monkeypatch):
     def near(others, block):
         monkeypatch.setattr(I, "BLOCK", block)
         copies = [r for k in (900, 901, 902) for r in rows(k, made)]
-        unrelated = [r for k in others for r in rows(k, made | {f"d{i}": rng.integers(-(1 << 63), 1 << 63, n) for i in range(4)})]  # of the same buckets
+        unrelated = [r for k in others for r in rows(k, made | {f"d{i}": rng.integers(-(1 << 63), 1 << 63, n) for i in (2, 3)})]  # of the same buckets
         got = I.near_classes(spark.createDataFrame(copies + unrelated, I.FEATURES)).collect()
         return {r["image_id"]: r["near_id"] for r in got}
 
@@ -133,19 +241,27 @@ def test_every_query_is_searched_among_every_image(spark, tmp_path, monkeypatch)
     rng = np.random.default_rng(6)
     first = rng.normal(size=64)
     vectors = [(i, first + rng.normal(size=64) * 0.05 * (i > 0) if i % 10 == 0 else rng.normal(size=64)) for i in range(0, 90, 5)]
-    vectors += [(100, vectors[2][1]), (120, vectors[2][1])]  # 10, turned or not
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors], "vec_id long, embedding array<double>")
+    vectors += [(100, vectors[2][1]), (160, vectors[2][1])]  # 10, in two edits
+    vectors += [(100, rng.normal(size=64)), (7, np.zeros(64)), (None, rng.normal(size=64))]  # a repeated id, no pixels, no id
+    df = spark.createDataFrame([(i, v.tolist(), 5, "x") for i, v in vectors], "vec_id long, embedding array<double>, class_id int, pid string")
     df.write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r["image_id"]: r for r in op8_local_descriptors(spark, str(tmp_path)).collect()}
-    links = I.link(I.features(I.drawn(df.filter("vec_id % 20 = 0"), edited=True)), I.features(I.drawn(df))).toPandas()
+    got = op8_local_descriptors(spark, str(tmp_path)).toPandas()
+    assert len(got) == len(vectors) and got[got["image_id"] == 7].iloc[0][["class_id", "links"]].tolist() == [7, 0]
+    asked = [(1000 + n, v.tolist(), i // 20 % 4) for n, (i, v) in enumerate(vectors) if i is not None and i % 20 == 0]
+    queries = written(edited(spark.createDataFrame(asked, "vec_id long, embedding array<double>, k int"), "k"), spark)
+    rows = written(I.features(I.drawn(spark.createDataFrame([(n, v.tolist()) for n, (_, v) in enumerate(vectors)], "vec_id long, embedding array<double>"))), spark)
+    links = I.link(queries, rows).toPandas()
     expected = links.groupby("image_id").size()
-    assert set(got) == {i for i, _ in vectors} and all(r["links"] == expected.get(i, 0) for i, r in got.items())
-    assert {got[i]["class_id"] for i in range(0, 90, 10)} == {0} and got[0]["links"] > 1
-    alone = links.sort_values(["inliers", "query_id"], ascending=[False, True]).drop_duplicates("image_id").set_index("image_id")
-    assert all((r["query_id"], r["inliers"]) == (alone["query_id"][i], alone["inliers"][i]) for i, r in got.items() if i in alone.index)
+    want = Counter((vectors[n][0], int(expected.get(n, 0))) for n in range(len(vectors)))
+    have = Counter((None if np.isnan(r.image_id) else int(r.image_id), int(r.links)) for r in got.itertuples())
+    assert have == want
+    class_of = got[got["image_id"].isin(range(0, 90, 10))]
+    assert set(class_of["class_id"]) == {0} and (class_of["links"] > 0).all()
     monkeypatch.setattr(I, "BLOCK", 4)
-    dealt = I.link(I.features(I.drawn(df.filter("vec_id % 20 = 0"), edited=True)), I.features(I.drawn(df))).toPandas()
+    dealt = I.link(queries, rows).toPandas()
     assert set(zip(dealt["query_id"], dealt["image_id"], dealt["inliers"], strict=True)) == set(zip(links["query_id"], links["image_id"], links["inliers"], strict=True))
+    df.limit(0).write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert op8_local_descriptors(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_odd_images_give_no_features(spark):

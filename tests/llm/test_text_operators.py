@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from turnloom.llm import decontaminate as D
 from turnloom.llm import language, packing, sharding, simhash, token_files, tokens
 from turnloom.llm import tree_weighting as W
-from turnloom.llm.common import shared_dir
+from turnloom.llm.common import new_path, shared_dir
 from turnloom.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, slot string, value double"
@@ -34,8 +34,8 @@ EDGE = [None, "", "   ", "a", EN, EN, "word " * 40_000, "É́ ñ <|endoftext|> i
 
 def test_edge_cases_and_empty_tables(spark):
     for docs, n in ((docs_of(spark, EDGE, ids=[None, 1, 2, 3, 4, 4, 5, 6, None, 7]), 10), (docs_of(spark, []), 0)):
-        rows, of = sharding.assign(docs, 3, 64)
-        assert rows.count() == n and of.count() == 128
+        sharding.create_map(spark, maps := new_path(spark, "maps"), 3, 64)
+        assert sharding.assign(docs, maps, 3).count() == n and sharding.load_map(spark, maps).count() == 64
         files = token_files.write_tokens(docs, vocabulary("word_bpe_49k.json"), 1)
         assert token_files.read_tokens(files).count() == n
         assert simhash.near_duplicates(docs).count() == n
@@ -54,7 +54,8 @@ def test_edge_cases_and_empty_tables(spark):
 def test_sharding_balances_bytes_and_places_are_gapless(spark):
     rng = random.Random(1)
     texts = ["x" * rng.randint(0, 500) for _ in range(3000)] + ["same text"] * 1500
-    got = sharding.assign(docs_of(spark, texts), 8)[0].toPandas()
+    sharding.create_map(spark, maps := new_path(spark, "maps"), 8)
+    got = sharding.assign(docs_of(spark, texts), maps, 8).toPandas()
     assert sorted(got.doc_id) == list(range(4500))
     load = got.groupby("shard")["size"].sum()
     assert len(load) == 8 and load.max() - load.min() <= 0.01 * load.mean() + 600
@@ -63,6 +64,28 @@ def test_sharding_balances_bytes_and_places_are_gapless(spark):
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.size == len(texts[r.doc_id]) + 8 for r in got.itertuples())
 
 
+def test_the_stored_map_is_edited_by_later_runs(spark, tmp_path):
+    rng = random.Random(4)
+    texts = ["x" * rng.randint(0, 500) for _ in range(2000)]
+    sharding.create_map(spark, maps := new_path(spark, "maps"), 6, 512)
+    first = {r["doc_id"]: r["shard"] for r in sharding.assign(docs_of(spark, texts), maps, 6).collect()}
+    again = {r["doc_id"]: r["shard"] for r in sharding.assign(docs_of(spark, texts), maps, 6).collect()}
+    assert sum(first[k] != again[k] for k in first) < 20  # balanced already
+    grown = sharding.assign(docs_of(spark, [*texts, *texts[:200]]), maps, 7).toPandas()
+    assert [sharding.load_map(spark, maps, v).count() for v in range(4)] == [512] * 4
+    load = grown.groupby("shard")["size"].sum()
+    assert len(load) == 7 and load.max() - load.min() < 0.05 * load.mean()
+    change = sharding.moved(spark, maps, 2, 3).toPandas()
+    held = dict(sharding.load_map(spark, maps, 3).select("vslot", "bytes").collect())
+    assert change["bytes"].sum() < 0.3 * grown["size"].sum() and all(held[r.vslot] == r.bytes for r in change.itertuples())
+    stay = grown[(grown["doc_id"] < 2000) & ~grown["virtual_slot"].isin(change["vslot"])]
+    assert len(stay) > 1300 and all(again[r.doc_id] == r.shard for r in stay.itertuples())
+    sharding.write_shards(docs_of(spark, texts), f"{tmp_path}/shards", maps)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    placed = grown[grown["doc_id"] < 2000].set_index("doc_id")["shard"]
+    assert back.count() == 2000 and all(placed[r["doc_id"]] == r["_shard"] for r in back.select("doc_id", "_shard").collect())
+
+
 def test_growing_a_slot_map_moves_little(spark):
     rng = random.Random(2)
     weights = [rng.randint(1, 1000) for _ in range(4096)]
@@ -323,9 +346,12 @@ def direct(context_depth: int, training: list[bytes], scored: bytes) -> float:
     return total / log(10)
 
 
-def test_scores_follow_the_definition_of_the_weighted_tree(spark):
-    depth, texts = 2, ["ab abc ab", "abab b", "Ba ab", "a", "cab ba", "", "bb a", "c", "ab ab", "abba", "b a", "zz ab", "aabb"]
-    got = {r["doc_id"]: r for r in W.score(docs_of(spark, texts), depth=depth).collect()}
+@pytest.mark.parametrize(("depth", "fan"), [(3, 128), (5, 2)])  # the sums of one step and of three
+def test_scores_follow_the_definition_of_the_weighted_tree(spark, monkeypatch, depth, fan):
+    monkeypatch.setattr(W, "FAN", fan)
+    monkeypatch.setattr(W, "CHUNK_BYTES", 1)
+    texts = ["ab abc ab", "abab b", "Ba ab", "a", "cab ba", "", "bb a", "c", "ab ab", "abba", "b a", "zz ab", "aabb"]
+    got = {r["doc_id"]: r for r in W.score(docs_of(spark, texts).repartition(7), depth=depth).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))}
     bodies = {i: W.body(W.words(t), depth) for i, t in enumerate(texts)}
     training = [bodies[i] for i in bodies if not held[i]]
