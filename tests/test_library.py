@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from turnloom import shared, sources
 from turnloom.functions import binary as B
 from turnloom.functions import text as T
 from turnloom.functions import urls as U
 from turnloom.operators import archive, bundle, dom, extract, markup, merge, refs
 from turnloom.operators import turns as Tu
+from turnloom.plans import render
 from turnloom.streaming import live
 
 
@@ -187,3 +190,77 @@ def test_entry_and_queries_match():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 100
+
+
+def test_pages_of_any_depth_keep_their_structure():
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    assert markup.written(markup.sanitise(markup.parse(deep))) == deep
+    assert markup.to_markdown(f"<blockquote>{deep}</blockquote>").strip() == "> x"
+    assert markup.with_local_urls("<p>" * 1 + "<i>" * 3000 + '<a href="https://x.example/">y</a>' + "</i>" * 3000 + "</p>", {}).count("<i>") == 3000
+    nested = markup.to_markdown("<ul><li>a<ul><li>b<ol><li>c</li></ol></li></ul></li></ul>")
+    assert nested.split("\n") == ["- a", "  - b", "    1. c"]
+
+
+def test_sanitised_text_has_nothing_active():
+    html = (
+        '<p onclick="x()" style="color:red" class="k">a &lt; b</p><script>1</script><a href="javascript:x()">j</a><a href="/p?token=1&a=2">r</a><img src="data:image/png;base64,AA" srcset="x">'
+        '<input type="hidden" value="s"><input type="text" value="t"><iframe src="https://f.example/?sig=9"></iframe><iframe></iframe><svg><animate/><path d="M0"/></svg><object>o</object>'
+    )
+    clean = markup.written(markup.sanitise(markup.parse(html), "https://h.example/"))
+    assert clean == (
+        '<p class="k">a &lt; b</p><a>j</a><a href="https://h.example/p?token=REDACTED&amp;a=2">r</a><img src="data:image/png;base64,AA">'
+        '<input type="text" value="t"><div>[iframe: https://f.example/?sig=REDACTED]</div><div>[iframe]</div><svg><path d="M0"></path></svg>'
+    )
+
+
+def test_wrappers_bring_no_text_and_deep_pages_scan_in_linear_time():
+    begin = time.process_time()
+    nodes = dom.scan("<div class=a>" * 20_000 + "words " * 2000 + "<p>end</p>")
+    assert time.process_time() - begin < 20 and len(nodes) == 20_001
+    assert sum(len(n["text"] or "") for n in nodes) < 100 and nodes[-1]["text"] == "end"
+    lists = dom.scan("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>")
+    assert [(n["tag"], n["text"], n["depth"]) for n in lists if n["tag"] == "li"] == [("li", "a", 1), ("li", "bc", 1), ("li", "c", 3), ("li", "d", 1)]
+
+
+def test_files_of_one_page_document_or_resource_each_are_read(spark, tmp_path):
+    (tmp_path / "a.html").write_text("<p>one\ntwo</p>")
+    (tmp_path / "d.json").write_text('{"title": "t",\n "turns": [{"role": "user"}]}')
+    got = sources.read_turn_html(spark, f"{tmp_path}/a.html").collect()
+    assert [r["html"] for r in got] == ["<p>one\ntwo</p>"] and got[0]["path"].endswith("a.html")
+    assert [r.asDict(True) for r in sources.read_conversation_json(spark, f"{tmp_path}/d.json", "title string, turns array<struct<role: string>>").collect()] == [{"title": "t", "turns": [{"role": "user"}]}]
+    assert [(bytes(r["bytes"]), r["size"]) for r in sources.read_resource_blobs(spark, f"{tmp_path}/a.html").collect()] == [(b"<p>one\ntwo</p>", 14)]
+
+
+def test_sandbox_links_keep_their_places_however_many(spark):
+    parts = [" ".join(f"[l{i}](sandbox:/mnt/data/{p}-{i}.txt)" for i in range(1500)) for p in range(2)]
+    rows = spark.createDataFrame([(1, 0, "m", "assistant", parts)], "conv_id long, seq long, message_id string, role string, parts array<string>")
+    got = refs.sandbox_links(rows).orderBy("pos").collect()
+    assert len({r["pos"] for r in got}) == 3000 and [r["filename"] for r in got] == [f"{p}-{i}.txt" for p in range(2) for i in range(1500)]
+
+
+def test_a_report_without_archive_and_source_layer(spark):
+    turns = spark.createDataFrame([(1, "user", [], [], [], [], [], [], [])], "conv_id long, role string, code_blocks array<int>, tool_executions array<int>, activities array<int>, expandables array<int>, media array<int>, links array<int>, files array<struct<href: string, kind: string, archive_status: string>>")
+    conversations = spark.createDataFrame([(1, "T", "P", "U", "D", ["w"])], "conv_id long, title string, platform_label string, source_url string, exported_at string, warnings array<string>")
+    continuity = spark.createDataFrame([(1, [2, 3])], "conv_id long, missing array<int>")
+    none = spark.createDataFrame([], "conv_id long, total_bytes long, source_status string, references_found long, visible_references_matched long, download_urls_resolved long")
+    report = render.render_report(merge.summarize_turns(turns), continuity, conversations, merge.completeness(turns), none, none).first()["report"].split("\n")
+    assert report[3:9] == ["Título: T", "Plataforma: P", "URL: U", "Exportado: D", "", "Turnos: 1 (1 usuario, 0 asistente, 0 sin clasificar)"]
+    assert "Bytes archivados: 0" in report and "Enriquecimiento ChatGPT: no aplicable" in report and "Índices de turno omitidos dentro del tramo observado: 2, 3" in report and report[-2:] == ["- w", ""]
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster():
+    class Conf:
+        def get(self, key):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(type("Session", (), {"sparkContext": Context()})())

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: The extensions that mark a link as a file.
-FILE_EXTENSIONS = (
-    "pdf docx? xlsx? pptx? csv tsv zip xpi 7z rar tar gz json jsonl txt md rtf py js mjs cjs ts tsx jsx html? css xml ya?ml sql ipynb "
-    "png jpe?g gif webp svg mp3 wav m4a mp4 webm mov"
-).split()
-FILE_PATTERN = rf"(?i)\.({'|'.join(FILE_EXTENSIONS)})($|[?#])"
+FILE_PATTERN = (
+    r"(?i)\.(pdf|docx?|xlsx?|pptx?|csv|tsv|zip|xpi|7z|rar|tar|gz|json|jsonl|txt|md|rtf|py|js|mjs|cjs|ts|tsx|jsx|html?|css|xml|ya?ml|sql|ipynb|"
+    r"png|jpe?g|gif|webp|svg|mp3|wav|m4a|mp4|webm|mov)($|[?#])"
+)
 
 #: Display labels of roles.
 ROLE_LABELS = {"user": "Usuario", "assistant": "Asistente"}

@@ -2,12 +2,14 @@
 
 A scanner (the one step that needs Python) gives every element a pre-order number, the number of the
 last node below it, and what its ancestors are; all questions of containment are then comparisons
-and windows over these numbers.
+and windows over these numbers. Only elements that the questions ask about bring their text: other
+wrappers, nested deep, would repeat the page at every depth.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -26,9 +28,13 @@ BLOCKS = frozenset("address article aside blockquote details dialog dd div dl dt
 SILENT = frozenset("script style template noscript".split())
 ENDS_P = BLOCKS - {"summary", "td", "th", "tr", "li", "dd", "dt"}
 ENDED_BY = {"p": ENDS_P, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+ENDS = {tag: {name for name, by in ENDED_BY.items() if tag in by} for tag in set().union(*ENDED_BY.values())}  # what a tag may end
 LIMITS = frozenset("ul ol table div section article main body html details nav form blockquote".split())
 TEXT_TAGS = frozenset("a button code figcaption h1 h2 h3 h4 h5 h6 label li option p pre summary td textarea th title".split())
+#: Attributes, or their beginnings, that make an element one that questions ask about, whatever its tag.
+ASKED = ("data-", "aria-", "role")
 CLIMB = 14
+BATCH_ROWS, BATCH_CHARS = 5_000, 8 << 20  # of nodes that are given to Spark at once
 SHORT = 80  # code points of a label near code
 
 
@@ -72,16 +78,19 @@ class Scanner(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.stack: list[int] = []
+        self.open_tags: Counter[str] = Counter()
         self.pieces: list[str] = []
         self.shown: list[str] = []
 
     def _open(self, tag: str, attrs: list) -> None:
-        for name in [self.nodes[i]["tag"] for i in reversed(self.stack)]:
-            if tag in ENDED_BY.get(name, ()):
-                self.handle_endtag(name)
-                break
-            if name in LIMITS:
-                break
+        if any(self.open_tags[name] for name in ENDS.get(tag, ())):
+            for i in reversed(self.stack):
+                name = self.nodes[i]["tag"]
+                if tag in ENDED_BY.get(name, ()):
+                    self.handle_endtag(name)
+                    break
+                if name in LIMITS:
+                    break
         at: dict[str, str] = {}
         for k, v in attrs:
             at.setdefault(k, v if v is not None else "")
@@ -100,15 +109,17 @@ class Scanner(HTMLParser):
         self._open(tag, attrs)
         if tag not in VOID:
             self.stack.append(len(self.nodes) - 1)
+            self.open_tags[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in [self.nodes[i]["tag"] for i in self.stack]:
+        if not self.open_tags[tag]:
             return
         while self.stack:
             i = self.stack.pop()
+            self.open_tags[self.nodes[i]["tag"]] -= 1
             self._close(i)
             if self.nodes[i]["tag"] == tag:
                 break
@@ -130,8 +141,7 @@ class Scanner(HTMLParser):
             self._close(self.stack.pop())
         children: dict[int | None, list[int]] = {}
         for n in self.nodes:
-            # Plain wrappers have no text of their own here: nested deep, they would repeat the page at every depth.
-            if not n["attrs"] and n["tag"] not in TEXT_TAGS:
+            if not (n["tag"] in TEXT_TAGS or n["own_marks"] or "markdown" in n["attrs"].get("class", "") or any(k.startswith(ASKED) for k in n["attrs"])):
                 n["text"] = n["inner_text"] = None
                 children.setdefault(n["parent_id"], []).append(n["node_id"])
                 continue
@@ -180,12 +190,14 @@ def dom_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[dict] = []
+            rows, size = [], 0
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [{c: k if c == "doc_id" else list(n[c].items()) if c == "attrs" else n[c] for c in names} for n in scan(text)]
-                if len(rows) >= 5_000:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows = []
+                for n in scan(text):
+                    rows.append({c: k if c == "doc_id" else list(n[c].items()) if c == "attrs" else n[c] for c in names})
+                    size += len(n["text"] or "") + len(n["inner_text"] or "")
+                    if len(rows) >= BATCH_ROWS or size >= BATCH_CHARS:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, size = [], 0
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 

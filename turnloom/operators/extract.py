@@ -18,8 +18,9 @@ from .turns import first_below
 LANGUAGES = ("python", "bash", "shell", "sh", "zsh", "javascript", "typescript", "json", "html", "css", "sql", "powershell", "yaml", "xml", "rust", "go", "java", "c", "c++", "c#", "text")
 TOOL = r"(?i)^(?:Python|Bash|Shell|Terminal|Console|Computer|Node(?:\.js)?|Container|container\.(?:exec|feed_chars)|python(?:_user_visible)?(?:\.exec)?|JavaScript tool|Herramienta)(?:\s*\d+)?$"
 SHELLS = ("bash", "shell", "sh", "zsh", "powershell", "terminal", "console")
-COMMANDS = "bash sh zsh python3? node npm npx pnpm yarn git curl wget cd ls cat sed awk grep find docker kubectl pip3? uv cargo go make cmake pwsh powershell".split()
-COMMAND_LINE = rf"(?im)(^|\n)\s*(?:\$\s*)?(?:{'|'.join(COMMANDS)})\b"
+COMMAND_LINE = (
+    r"(?im)(^|\n)\s*(?:\$\s*)?(?:bash|sh|zsh|python3?|node|npm|npx|pnpm|yarn|git|curl|wget|cd|ls|cat|sed|awk|grep|find|docker|kubectl|pip3?|uv|cargo|go|make|cmake|pwsh|powershell)\b"
+)
 SHELL_WORDS = r"(?i)\b(command|comando|cli|terminal|shell|bash|powershell)\b"
 DULL_BUTTONS = r"(?iU)\b(copy|copiar|share|compartir|switch model|cambiar modelo|more actions|más acciones|open image|abrir imagen|download|descargar|edit message|editar mensaje|show more|show less|pro feedback|feedback|valorar)\b"
 RISKY_LABEL = (

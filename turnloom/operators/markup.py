@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin
 
@@ -91,7 +91,7 @@ class _Tree(HTMLParser):
             at.setdefault(k, v)
         node = Node(tag, at)
         self.stack[-1].children.append(node)
-        if tag not in VOID and len(self.stack) < 400:  # deeper elements stay siblings, so that no page is too deep to render
+        if tag not in VOID:
             self.stack.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -116,18 +116,43 @@ def parse(html: str) -> Node:
     return t.root
 
 
-def written(node: Node | str, raw: bool = False) -> str:
-    if isinstance(node, str):
-        return node if raw else node.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    inner = "".join(written(c, node.tag in ("script", "style")) for c in node.children)
-    if not node.tag:
-        return inner
-    at = "".join(f" {k}" if v is None else f' {k}="{entities.escape(v, quote=False).replace(chr(34), "&quot;")}"' for k, v in node.attrs.items())
-    return f"<{node.tag}{at}>" if node.tag in VOID else f"<{node.tag}{at}>{inner}</{node.tag}>"
+def walked(step: Generator):
+    """The value of a generator that yields generators of its own kind for their values: recursion on a stack of its own, so no page is too deep."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
+def written(node: Node) -> str:
+    out: list[str] = []
+    stack: list[tuple[Node | str, str]] = [(node, "")]  # what is next, or the end of a tag; and its parent's tag
+    while stack:
+        now, inside = stack.pop()
+        if isinstance(now, str):
+            out.append(now if inside in ("script", "style", ">") else now.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+            continue
+        if now.tag:
+            at = "".join(f" {k}" if v is None else f' {k}="{entities.escape(v, quote=False).replace(chr(34), "&quot;")}"' for k, v in now.attrs.items())
+            out.append(f"<{now.tag}{at}>")
+            if now.tag in VOID:
+                continue
+            stack.append((f"</{now.tag}>", ">"))
+        stack += [(c, now.tag) for c in reversed(now.children)]
+    return "".join(out)
 
 
-def sanitise(node: Node, base: str | None = None, in_svg: bool = False) -> Node:
+def sanitise(node: Node, base: str | None = None) -> Node:
     """A copy without what runs, loads or gives away: active elements, handlers, styles, secret values."""
+    return walked(_sanitised(node, base, False))
+
+
+def _sanitised(node: Node, base: str | None, in_svg: bool) -> Generator:
     out = Node(node.tag, {})
     for k, v in node.attrs.items():
         if k.startswith("on") or k in RISKY_ATTRIBUTES:
@@ -149,7 +174,7 @@ def sanitise(node: Node, base: str | None = None, in_svg: bool = False) -> Node:
             placeholder.children.append(f"[iframe: {redacted(absolute(base, src))}]" if src else "[iframe]")
             out.children.append(placeholder)
         else:
-            out.children.append(sanitise(c, base, in_svg or c.tag == "svg"))
+            out.children.append((yield _sanitised(c, base, in_svg or c.tag == "svg")))
     return out
 
 
@@ -173,9 +198,13 @@ class _Markdown:
         self.kept.append(fenced(re.sub("\r\n?", "\n", code.text()), language))
         return f"\n\n\x00{len(self.kept) - 1}\x00\n\n"
 
-    def of(self, node: Node | str, depth: int = 0) -> str:
-        if isinstance(node, str):
-            return node.replace("\x00", "")
+    def _every(self, children: list[Node | str], depth: int) -> Generator:
+        out = []
+        for c in children:
+            out.append(c.replace("\x00", "") if isinstance(c, str) else (yield self.of(c, depth)))
+        return "".join(out)
+
+    def of(self, node: Node, depth: int = 0) -> Generator:
         tag = node.tag
         if tag in UNREAD:
             return ""
@@ -184,13 +213,16 @@ class _Markdown:
         if tag == "code":
             return "`" + node.text().replace("`", "\\`") + "`"
         if tag in ("ul", "ol"):
-            items = [c for c in node.children if isinstance(c, Node) and c.tag == "li"]
-            return "\n" + "\n".join("  " * depth + (f"{i}. " if tag == "ol" else "- ") + "".join(self.of(c, depth + 1) for c in x.children).strip() for i, x in enumerate(items, 1)) + "\n"
+            items = []
+            for x in node.children:
+                if isinstance(x, Node) and x.tag == "li":
+                    items.append((yield self._every(x.children, depth + 1)).strip())
+            return "\n" + "\n".join("  " * depth + (f"{i}. " if tag == "ol" else "- ") + x for i, x in enumerate(items, 1)) + "\n"
         if tag == "table":
             rows = [[c.text().strip().replace("|", "\\|").replace("\n", "<br>") for c in r.children if isinstance(c, Node)] for r in _all(node) if r.tag == "tr"]
             lines = [f"| {' | '.join(r)} |" for r in rows]
             return "\n" + "\n".join([*lines[:1], f"| {' | '.join('---' for _ in rows[0])} |", *lines[1:]]) + "\n" if rows else ""
-        inner = "".join(self.of(c, depth) for c in node.children)
+        inner = yield self._every(node.children, depth)
         if re.fullmatch("h[1-6]", tag):
             return f"\n{'#' * int(tag[1])} {inner.strip()}\n\n"
         if tag in ("p", "div", "section", "article"):
@@ -209,10 +241,11 @@ class _Markdown:
 
 
 def _all(node: Node) -> Iterator[Node]:
-    for c in node.children:
-        if isinstance(c, Node):
-            yield c
-            yield from _all(c)
+    """The nodes below, in document order."""
+    stack = [c for c in reversed(node.children) if isinstance(c, Node)]
+    while stack:
+        yield (now := stack.pop())
+        stack += [c for c in reversed(now.children) if isinstance(c, Node)]
 
 
 def to_markdown(html: str | None, base: str | None = None) -> str:
@@ -220,7 +253,7 @@ def to_markdown(html: str | None, base: str | None = None) -> str:
     if not html:
         return ""
     m = _Markdown(base)
-    text = re.sub(r"\n{4,}", "\n\n\n", m.of(parse(html))).strip()
+    text = re.sub(r"\n{4,}", "\n\n\n", walked(m.of(parse(html)))).strip()
     text = re.sub(r"\n{3,}(?=\x00)|(?<=\x00)\n{3,}", "\n\n", text)
     return re.sub("\x00(\\d+)\x00", lambda x: m.kept[int(x[1])], text)
 

@@ -138,8 +138,11 @@ def capture_passes(rows: DataFrame) -> DataFrame:
     return got.withColumn("limit_reached", F.col("steps") >= 320).withColumn("warn", ~F.col("reached_bottom"))
 
 
-def summarize_turns(turns: DataFrame) -> DataFrame:
-    """Counts per conversation, from the sizes of each turn's arrays (columns code_blocks, tool_executions, activities, expandables, media, files, links)."""
+def summarize_turns(turns: DataFrame, events: DataFrame | None = None, resources: DataFrame | None = None, snapshots: DataFrame | None = None) -> DataFrame:
+    """Counts per conversation, from the sizes of each turn's arrays (columns code_blocks, tool_executions, activities, expandables, media, files, links).
+
+    Live events, archived resources and pictures of the screen are rows (with conv_id) of their own frames; without a row or frame they are 0.
+    """
 
     def total(c: str) -> Column:
         return F.sum(F.greatest(F.size(c), F.lit(0))).cast("long")
@@ -147,13 +150,18 @@ def summarize_turns(turns: DataFrame) -> DataFrame:
     def having(f) -> Column:
         return F.sum(F.coalesce(F.size(F.filter("files", f)), F.lit(0))).cast("long")
 
-    return turns.groupBy("conv_id").agg(
+    out = turns.groupBy("conv_id").agg(
         F.count("*").alias("turns"), *[F.count_if(F.col("role") == r).alias(f"{r}_turns") for r in ("user", "assistant", "unknown")],
         total("code_blocks").alias("code_blocks"), total("tool_executions").alias("terminal_executions"), total("tool_executions").alias("tool_executions"),
         total("activities").alias("activities"), total("expandables").alias("expandables"), total("media").alias("media"), total("files").alias("linked_files"),
         having(lambda f: f["href"].isNotNull() & (f["href"] != "")).alias("resolved_files"),
         having(lambda f: f["kind"].isin("ui_attachment", "generated_artifact")).alias("ui_attachments"), total("links").alias("links"),
     )
+    for name, rows in (("live_events", events), ("archived_resources", resources), ("visual_snapshots", snapshots)):
+        if rows is not None:
+            out = out.join(rows.groupBy("conv_id").agg(F.count("*").alias(name)), "conv_id", "left")
+        out = out.withColumn(name, F.coalesce(name, F.lit(0).cast("long")) if rows is not None else F.lit(0).cast("long"))
+    return out
 
 
 def completeness(turns: DataFrame) -> DataFrame:

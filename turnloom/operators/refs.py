@@ -48,6 +48,7 @@ def safe_sandbox_path(path: Column) -> Column:
 def sandbox_links(messages: DataFrame) -> DataFrame:
     """(conv_id, seq, pos, message_id, role, label, filename, sandbox_path, decoded): Markdown links to sandbox files in the texts of both sides.
 
+    `pos` is the part in the upper 32 bits and the link's number in it in the lower ones.
     A file name that can't be decoded is kept as it is, with `decoded` false.
     """
     rows = messages.filter(F.col("role").isin("user", "assistant")).select("conv_id", "seq", "message_id", "role", F.posexplode("parts").alias("part", "text"))
@@ -56,7 +57,7 @@ def sandbox_links(messages: DataFrame) -> DataFrame:
     rows = rows.select("*", F.posexplode(both).alias("k", "m"))
     last = F.element_at(F.split("m.path", "/"), -1)
     name = percent_decoded(last)
-    return rows.select("conv_id", "seq", (F.col("part") * 1000 + F.col("k")).alias("pos"), "message_id", "role", clean_text(F.col("m.label")).alias("label"), safe_file_name(F.coalesce(name, last)).alias("filename"), F.concat(F.lit("sandbox:/mnt/data/"), "m.path").alias("sandbox_path"), name.isNotNull().alias("decoded"))
+    return rows.select("conv_id", "seq", (F.shiftleft(F.col("part").cast("long"), 32) + F.col("k")).alias("pos"), "message_id", "role", clean_text(F.col("m.label")).alias("label"), safe_file_name(F.coalesce(name, last)).alias("filename"), F.concat(F.lit("sandbox:/mnt/data/"), "m.path").alias("sandbox_path"), name.isNotNull().alias("decoded"))
 
 
 def file_refs(messages: DataFrame) -> DataFrame:

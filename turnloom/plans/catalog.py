@@ -34,8 +34,8 @@ INPUTS = {
         concat('Report ', turn % 3, CASE turn % 4 WHEN 0 THEN '.txt' ELSE '.pdf' END) AS name, CASE turn % 4 WHEN 1 THEN 'ui_attachment' ELSE 'linked_file' END AS kind FROM {conversations}""",
     "blobs": """SELECT conv_id, concat('https://files.example.org/', conv_id, '/', turn, '.txt?sig=1') AS url, 'text/plain' AS mime, concat('body ', text) AS body FROM {conversations} WHERE turn % 8 = 0
         UNION ALL SELECT conv_id, concat('https://files.example.org/', conv_id, '/shared.pdf'), 'application/pdf', concat(CASE WHEN min(conv_id) % 3 = 0 THEN 'oops' ELSE '%PDF-1.7 ' END, max(text)) FROM {conversations} GROUP BY conv_id""",
-    "tiles": """SELECT c.conv_id, concat('t', c.turn) AS turn_id, CAST(c.turn AS int) AS turn_ordinal, CAST(k.n AS int) AS tile, concat('Turno ', c.turn, ' vista ', k.n) AS label, CAST(3000 - 300 * k.n AS int) AS bottom, CAST(700 AS int) AS height
-        FROM {conversations} c JOIN (SELECT DISTINCT turn + 1 AS n FROM {conversations}) k ON k.n <= (c.turn * 3 + c.conv_id) % 15 + 1""",
+    "tiles": """SELECT conv_id, concat('t', turn) AS turn_id, CAST(turn AS int) AS turn_ordinal, CAST(n AS int) AS tile, concat('Turno ', turn, ' vista ', n) AS label, CAST(5000 - 400 * n AS int) AS bottom, CAST(700 AS int) AS height
+        FROM (SELECT conv_id, turn, {EACH}(CAST(1 AS bigint), CAST((turn * 3 + conv_id) % 15 + 1 AS bigint))) AS n FROM {conversations}) t""",
     "entries": """SELECT conv_id, concat('turns/', lpad(CAST(turn AS string), 4, '0'), '.md') AS path, text AS data FROM {conversations}""",
     "changes": """SELECT event_id, CAST(ts AS timestamp) AS ts, CAST(user_id AS string) AS turn_id, event_type AS signature, event_type = 'view' AS empty FROM {events}""",
 }
@@ -45,15 +45,20 @@ def sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 
 
+#: How each engine makes a row for every number from one to another.
+EACH, EACH_DUCK = "explode(sequence", "unnest(generate_series"
+
+
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or a derived input."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = INPUTS[name]
-    return spark.sql(text, **{x: given(spark, sf_dir, x) for x in (*TABLES, *INPUTS) if f"{{{x}}}" in text})
+    return spark.sql(text.replace("{EACH}", EACH), **{x: given(spark, sf_dir, x) for x in (*TABLES, *INPUTS) if f"{{{x}}}" in text})
 
 
 def _filled(text: str) -> str:
+    text = text.replace("{EACH}", EACH_DUCK)
     for x in (*TABLES, *INPUTS):
         if f"{{{x}}}" in text:
             text = text.replace(f"{{{x}}}", duck(x))

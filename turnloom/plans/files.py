@@ -19,7 +19,7 @@ HEAD_SQL = "'# Conversation ' || conv_id || chr(10) || chr(10) || 'Plataforma: C
 def conversations(spark, sf_dir) -> DataFrame:
     ids = given(spark, sf_dir, "conversations").select("conv_id").distinct()
     warnings = F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("first"), F.lit("second"))).otherwise(F.array().cast("array<string>"))
-    return ids.select("conv_id", F.concat(F.lit("Conversation "), "conv_id").alias("title"), F.lit("ChatGPT").alias("platform_label"), F.lit("2026-01-01T00:00:00.000Z").alias("exported_at"), warnings.alias("warnings"))
+    return ids.select("conv_id", F.concat(F.lit("Conversation "), "conv_id").alias("title"), F.lit("ChatGPT").alias("platform_label"), F.concat(F.lit("https://chatgpt.com/c/"), "conv_id").alias("source_url"), F.lit("2026-01-01T00:00:00.000Z").alias("exported_at"), warnings.alias("warnings"))
 
 
 def shown(spark, sf_dir) -> DataFrame:
@@ -69,26 +69,36 @@ FENCE = "repeat('`', 3)"
 
 @query(
     "render_commands",
-    f"""SELECT conv_id, '## Paneles de ejecución identificados' || chr(10) || chr(10) || coalesce((SELECT string_agg('### ' || n || '. Turno ' || (turn + 1) || ' · Python' || chr(10) || chr(10) || 'Estado de captura: output_visible' || chr(10) || chr(10) || '#### Comando / entrada' || chr(10) || chr(10) ||
+    f"""SELECT conv_id, '# Comandos y código — Conversation ' || conv_id || chr(10) || chr(10) || '{R.COMMANDS_PREFACE}' || chr(10) || chr(10) || '{R.RUNS_HEADING}' || chr(10) || chr(10) || coalesce((SELECT string_agg('### ' || n || '. Turno ' || (turn + 1) || ' · Python' || chr(10) || chr(10) || 'Estado de captura: output_visible' || chr(10) || chr(10) || '#### Comando / entrada' || chr(10) || chr(10) ||
     {FENCE} || 'python' || chr(10) || 'print(' || turn || ')' || chr(10) || {FENCE} || chr(10) || chr(10) || '#### Salida visible' || chr(10) || chr(10) || {FENCE} || chr(10) || role || chr(10) || {FENCE} || chr(10), chr(10) ORDER BY turn)
-    FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE turn % 2 = 1) r WHERE r.conv_id = c.conv_id), 'No se identificaron paneles de ejecución.' || chr(10)) || chr(10) || '## Otros bloques de código' || chr(10) || chr(10) ||
+    FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE turn % 2 = 1) r WHERE r.conv_id = c.conv_id), 'No se identificaron paneles de ejecución.' || chr(10)) || chr(10) || '{R.CODE_HEADING}' || chr(10) || chr(10) ||
     string_agg('### ' || (2 * i - 1) || '. Turno ' || (turn + 1) || ' · sql' || chr(10) || chr(10) || {FENCE} || 'sql' || chr(10) || 'select ' || turn || chr(10) || {FENCE} || chr(10) || chr(10) || '### ' || (2 * i) || '. Turno ' || (turn + 1) || ' · texto' || chr(10) || chr(10) || {FENCE} || chr(10) || 'ls' || chr(10) || {FENCE} || chr(10), chr(10) ORDER BY turn) AS document
     FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) c GROUP BY conv_id""",
 )
 def render_commands(spark, sf_dir):
-    return R.render_commands(coded(spark, sf_dir))
+    return R.render_commands(coded(spark, sf_dir), conversations(spark, sf_dir))
 
 
 @query(
     "render_report",
-    f"""SELECT s.conv_id, concat_ws(chr(10), 'Turnos: ' || s.n, 'Turnos de usuario: ' || s.u, 'Turnos de asistente: ' || s.a, 'Sin clasificar: ' || s.x, 'Bloques de código: ' || s.c, 'Ejecuciones detectadas: ' || s.e, 'Actividades: ' || s.act, 'Desplegables: ' || s.ex, 'Medios: ' || s.m,
-    'Archivos visibles: ' || s.n, 'Archivos con URL resoluble: ' || s.r, 'Tarjetas sin href: ' || s.t, 'Enlaces: ' || s.l, 'Cobertura completa de la conversación: no certificada',
-    'Índices de turno omitidos dentro del tramo observado: ' || CASE WHEN len({MISSING_SQL}) > 0 THEN array_to_string({MISSING_SQL}, ', ') ELSE 'ninguno detectado; no certifica extremos ni paneles' END) AS report
+    f"""SELECT s.conv_id, array_to_string(['{R.BANNER}', repeat('=', {len(R.BANNER)}), '', 'Título: Conversation ' || s.conv_id, 'Plataforma: ChatGPT', 'URL: https://chatgpt.com/c/' || s.conv_id, 'Exportado: 2026-01-01T00:00:00.000Z', '',
+    'Turnos: ' || s.n || ' (' || s.u || ' usuario, ' || s.a || ' asistente, ' || s.x || ' sin clasificar)', 'Bloques de código: ' || s.c, 'Ejecuciones/CLI detectadas: ' || s.e, 'Actividades/herramientas: ' || s.act, 'Desplegables: ' || s.ex, 'Medios detectados: ' || s.m,
+    'Archivos/adjuntos visibles detectados: ' || s.n, 'Archivos con URL resoluble: ' || s.r, 'Tarjetas de archivo sin href detectadas: ' || s.t, 'Enlaces: ' || s.l, 'Eventos capturados en vivo: ' || s.ev, 'Recursos archivados: ' || s.ar, 'Capturas visuales de respaldo: ' || s.vs, 'Bytes archivados: ' || coalesce(b.bytes, 0),
+    'Enriquecimiento ChatGPT: ' || CASE WHEN s.conv_id % 3 = 0 THEN 'no aplicable' ELSE 'complete' END, '{R.UNCERTIFIED}', 'Índices de turno omitidos dentro del tramo observado: ' || CASE WHEN len({MISSING_SQL}) > 0 THEN array_to_string({MISSING_SQL}, ', ') ELSE '{R.NO_GAPS}' END, '{R.NOT_INFERRED}',
+    'Archivos sin copia local: ' || s.un, 'Referencias de archivo encontradas en capa fuente: ' || CASE WHEN s.conv_id % 3 = 0 THEN 0 ELSE s.n END, 'Referencias visibles emparejadas: ' || CASE WHEN s.conv_id % 3 = 0 THEN 0 ELSE s.ev END, 'URLs de descarga resueltas: ' || CASE WHEN s.conv_id % 3 = 0 THEN 0 ELSE s.rd END, '',
+    'ADVERTENCIAS', '------------', CASE WHEN s.conv_id % 3 = 0 THEN '- first' || chr(10) || '- second' ELSE 'Ninguna.' END, ''], chr(10)) AS report
     FROM (SELECT conv_id, count(*) AS n, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a, count(*) FILTER (role = 'system') AS x, CAST(sum(turn % 3) AS bigint) AS c, CAST(sum(turn % 2) AS bigint) AS e, CAST(sum(turn % 5) AS bigint) AS act, CAST(sum(turn % 4) AS bigint) AS ex,
-    CAST(sum(turn % 6) AS bigint) AS m, count(*) FILTER (turn % 4 <> 1) AS r, count(*) FILTER (turn % 4 = 1) AS t, CAST(sum(turn % 7) AS bigint) AS l FROM conversations GROUP BY conv_id) s JOIN {HINTS_SQL} h ON h.conv_id = s.conv_id""",
+    CAST(sum(turn % 6) AS bigint) AS m, count(*) FILTER (turn % 4 <> 1) AS r, count(*) FILTER (turn % 4 = 1) AS t, CAST(sum(turn % 7) AS bigint) AS l, count(*) FILTER (turn % 2 = 0) AS ev, count(*) FILTER (turn % 8 = 0) + 1 AS ar, CAST(sum((turn * 3 + conv_id) % 15 + 1) AS bigint) AS vs,
+    count(*) FILTER (turn % 4 <> 0) AS un, count(*) FILTER (turn % 4 = 0) AS rd FROM conversations GROUP BY conv_id) s JOIN {HINTS_SQL} h ON h.conv_id = s.conv_id
+    LEFT JOIN (SELECT conv_id, CAST(sum(octet_length(encode(body))) AS bigint) AS bytes FROM {{blobs}} x GROUP BY conv_id) b ON b.conv_id = s.conv_id""",
 )
 def render_report(spark, sf_dir):
-    return R.render_report(M.summarize_turns(populated(spark, sf_dir)), M.turn_continuity(hinted(spark, sf_dir)))
+    from .merging import summarize_turns
+
+    turns = populated(spark, sf_dir)
+    stored = given(spark, sf_dir, "blobs").groupBy("conv_id").agg(F.sum(F.octet_length("body")).alias("total_bytes"))
+    layer = given(spark, sf_dir, "files").filter("conv_id % 3 <> 0").groupBy("conv_id").agg(F.lit("complete").alias("source_status"), F.count("*").alias("references_found"), F.count_if(F.col("turn") % 2 == 0).alias("visible_references_matched"), F.count_if(F.col("turn") % 4 == 0).alias("download_urls_resolved"))
+    return R.render_report(summarize_turns(spark, sf_dir), M.turn_continuity(hinted(spark, sf_dir)), conversations(spark, sf_dir), M.completeness(turns), stored, layer)
 
 
 @query(

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import new_path
 from ..streaming import live as L
 from .catalog import given, query
 
@@ -15,18 +13,6 @@ GAP = "30 minutes"
 DEDUPED_SQL = "(SELECT * FROM (SELECT *, lag(signature) OVER (PARTITION BY turn_id ORDER BY ts, event_id) AS before FROM {changes} c) d WHERE before IS NULL OR before <> signature)"
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, which a local run may leave unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder, read again."""
-    df.write.parquet(to := shared(df.sparkSession, "kept"))
-    return df.sparkSession.read.schema(df.schema).parquet(to)
-
-
 @query(
     "live_debounce",
     """SELECT turn_id, min(ts) AS began, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, arg_max(signature, (ts, event_id)) AS signature, arg_max(empty, (ts, event_id)) AS empty, count(*) AS changes FROM
@@ -90,7 +76,7 @@ def changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_merge_captures", "SELECT turn_id, arg_max(event_id, (value, ts, event_id)) AS event_id, arg_max(ts, (value, ts, event_id)) AS ts, max(value) AS score FROM (SELECT CAST(user_id AS string) AS turn_id, event_id, CAST(ts AS timestamp) AS ts, value FROM events) e GROUP BY turn_id")
 def stream_merge_captures(spark, sf_dir):
     """A stream in update mode to the end of its input: each micro-batch's updates are written, and the last per turn is its state."""
-    to = shared(spark, "stream-merge")
+    to = new_path(spark, "stream-merge")
 
     def write(df: DataFrame, batch: int) -> None:
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{to}/rows/part={batch}")  # a batch that runs again replaces its rows

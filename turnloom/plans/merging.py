@@ -180,10 +180,12 @@ def populated(spark, sf_dir) -> DataFrame:
     "summarize_turns",
     """SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (role = 'assistant') AS assistant_turns, count(*) FILTER (role = 'system') AS unknown_turns,
     CAST(sum(turn % 3) AS bigint) AS code_blocks, CAST(sum(turn % 2) AS bigint) AS terminal_executions, CAST(sum(turn % 2) AS bigint) AS tool_executions, CAST(sum(turn % 5) AS bigint) AS activities, CAST(sum(turn % 4) AS bigint) AS expandables,
-    CAST(sum(turn % 6) AS bigint) AS media, count(*) AS linked_files, count(*) FILTER (turn % 4 <> 1) AS resolved_files, count(*) FILTER (turn % 4 = 1) AS ui_attachments, CAST(sum(turn % 7) AS bigint) AS links FROM conversations GROUP BY conv_id""",
+    CAST(sum(turn % 6) AS bigint) AS media, count(*) AS linked_files, count(*) FILTER (turn % 4 <> 1) AS resolved_files, count(*) FILTER (turn % 4 = 1) AS ui_attachments, CAST(sum(turn % 7) AS bigint) AS links,
+    count(*) FILTER (turn % 2 = 0) AS live_events, count(*) FILTER (turn % 8 = 0) + 1 AS archived_resources, CAST(sum((turn * 3 + conv_id) % 15 + 1) AS bigint) AS visual_snapshots FROM conversations GROUP BY conv_id""",
 )
 def summarize_turns(spark, sf_dir):
-    return M.summarize_turns(populated(spark, sf_dir))
+    """Evicted captures count as live events, and every tile as a picture."""
+    return M.summarize_turns(populated(spark, sf_dir), given(spark, sf_dir, "captures").filter("source = 'evicted'"), given(spark, sf_dir, "blobs"), given(spark, sf_dir, "tiles"))
 
 
 @query("completeness", "SELECT conv_id, count(*) FILTER (turn % 4 <> 0) AS unresolved_files, false AS certified_complete FROM conversations GROUP BY conv_id")

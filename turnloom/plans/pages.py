@@ -10,8 +10,9 @@ from ..operators import dom as D
 from ..operators import extract as X
 from ..operators import markup as K
 from ..operators import turns as U
+from ..shared import materialise, new_path
+from ..sources import read_packed, write_packed
 from .catalog import given, query
-from .live import kept
 
 FNV_OF = "printf('%08x', CAST(list_reduce(list_transform(string_split({0}, ''), lambda x: CAST(unicode(x) AS bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS bigint)) AS bigint))"
 BASE = "https://chatgpt.com/c/x"
@@ -57,16 +58,20 @@ def keyed(rows: DataFrame, n: DataFrame, *columns: str) -> DataFrame:
     return rows.join(own, ["doc_id", "turn_node"]).select(F.col("doc_id").alias("conv_id"), "turn", *columns)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    return materialise(df, "kept")
+
+
 def facts(spark, sf_dir, f, *columns: str) -> DataFrame:
     """The facts that f finds in nodes under their turns; pages are parsed once, into a table that is read many times."""
     n = kept(nodes(spark, sf_dir))
     return keyed(f(kept(U.nearest_turn(n, U.turn_shells(n)))), n, *columns)
 
 
-@query("dom_nodes", "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(regexp_replace(html, '<(script|style|title)>[^<]*', '<\\1>', 'g'), '<p>')) AS bigint) AS paragraphs, CAST(len(regexp_extract_all(html, '<a ')) AS bigint) AS anchors, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+@query("dom_nodes", "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(regexp_replace(html, '<(script|style|title)>[^<]*', '<\\1>', 'g'), '<p>')) AS bigint) AS paragraphs, CAST(len(regexp_extract_all(html, '<a ')) AS bigint) AS anchors, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, array_to_string(list_transform(regexp_extract_all(html, '<a [^>]*>([^<]*)', 1), lambda x: x), '|') AS anchor_texts, array_to_string(regexp_extract_all(html, '<a href=\"([^\"]*)', 1), '|') AS anchor_hrefs FROM pages")
 def dom_nodes(spark, sf_dir):
     rows = D.dom_nodes(given(spark, sf_dir, "pages"))
-    return rows.groupBy("doc_id").agg(F.count_if(F.col("tag") == "p").alias("paragraphs"), F.count_if(F.col("tag") == "a").alias("anchors"), F.max(F.when(F.col("tag") == "html", D.attr("lang"))).alias("lang"))
+    return rows.groupBy("doc_id").agg(F.count_if(F.col("tag") == "p").alias("paragraphs"), F.count_if(F.col("tag") == "a").alias("anchors"), F.max(F.when(F.col("tag") == "html", D.attr("lang"))).alias("lang"), *[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == "a", F.struct("node_id", c.alias("x"))))), lambda x: x["x"]), "|").alias(k) for k, c in (("anchor_texts", F.col("text")), ("anchor_hrefs", D.attr("href")))])
 
 
 @query("document_order", "SELECT page_id AS doc_id, 1 AS html, CAST(len(regexp_extract_all(html, '<a ')) AS bigint) AS anchors, true AS ascending FROM pages")
@@ -90,7 +95,7 @@ def _named(rows: DataFrame) -> DataFrame:
 
 
 query("turn_shells", TURNS_SQL)(lambda spark, sf: _named(U.turn_shells(nodes(spark, sf))))
-query("turn_elements", TURNS_SQL)(lambda spark, sf: _named(U.turn_elements(n := nodes(spark, sf), n.select("doc_id", F.lit("chatgpt").alias("platform")).distinct())))
+query("turn_elements", TURNS_SQL)(lambda spark, sf: _named(U.turn_elements(n := kept(nodes(spark, sf)), n.select("doc_id", F.lit("chatgpt").alias("platform")).distinct())))
 
 
 @query("turn_mixed", "SELECT conv_id AS doc_id, CASE WHEN turn % 2 = 0 THEN 'conversation-turn-' || turn ELSE '' END AS test_id FROM conversations WHERE turn % 2 = 0 OR role <> 'system'")
@@ -264,14 +269,31 @@ def snapshots(spark, sf_dir) -> DataFrame:
 @query(
     "turn_snapshot",
     """SELECT conv_id AS doc_id, 'chatgpt:data-testid:conversation-turn-' || turn AS turn_id, CASE WHEN role = 'system' THEN 'unknown' ELSE role END AS role, 'model-' || (turn % 2) AS model, CAST(turn AS int) AS order_hint, CAST(CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN turn % 4 = 1 THEN 2 ELSE 0 END AS int) AS code_blocks, CAST(CASE WHEN turn % 4 = 1 THEN 1 ELSE 0 END AS int) AS tool_executions,
-    CAST(CASE WHEN turn % 4 IN (1, 3) THEN 1 ELSE 0 END AS int) AS expandables, CAST(CASE WHEN turn % 4 IN (1, 3) THEN 1 ELSE 0 END AS int) AS activities, CAST(CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS int) AS links, CAST(CASE WHEN turn % 2 = 0 THEN 2 WHEN turn % 4 = 3 THEN 1 ELSE 0 END AS int) AS files, CAST(CASE WHEN turn % 4 = 2 THEN 2 ELSE 0 END AS int) AS media FROM conversations""",
+    CAST(CASE WHEN turn % 4 IN (1, 3) THEN 1 ELSE 0 END AS int) AS expandables, CAST(CASE WHEN turn % 4 IN (1, 3) THEN 1 ELSE 0 END AS int) AS activities, CAST(CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS int) AS links, CAST(CASE WHEN turn % 2 = 0 THEN 2 WHEN turn % 4 = 3 THEN 1 ELSE 0 END AS int) AS files, CAST(CASE WHEN turn % 4 = 2 THEN 2 ELSE 0 END AS int) AS media,
+    concat_ws('|', CASE WHEN turn % 3 = 0 THEN 'code:python:print(' || turn || ')' || chr(10) || 'x = 1' END, CASE WHEN turn % 4 = 1 THEN 'tool_command:python:python run.py ' || turn || '|tool_output:text:out ' || turn END) AS codes, CASE WHEN turn % 4 = 1 THEN 'Python:output_visible:python run.py ' || turn || ':out ' || turn ELSE '' END AS runs,
+    CASE WHEN turn % 2 = 0 THEN 'Report ' || turn || '=https://chatgpt.com/files/' || turn || '.pdf?token=s' ELSE '' END AS hrefs, CASE WHEN turn % 4 = 2 THEN 'https://img.example.org/' || turn || '.png|https://chatgpt.com/favicon.ico' ELSE '' END AS pictures, CASE turn % 4 WHEN 1 THEN 'Ran code:true' WHEN 3 THEN 'Thought:false' ELSE '' END AS states FROM conversations""",
 )
 def turn_snapshot(spark, sf_dir):
     rows = snapshots(spark, sf_dir)
-    return rows.select("doc_id", "turn_id", "role", "model", "order_hint", *[F.size(c).alias(c) for c in ("code_blocks", "tool_executions", "expandables", "activities", "links", "files", "media")])
+    told = lambda c, f: F.array_join(F.transform(c, f), "|")
+    texts = {
+        "codes": told("code_blocks", lambda b: F.concat_ws(":", b["kind"], b["language"], b["text"])), "runs": told("tool_executions", lambda e: F.concat_ws(":", e["tool"], e["status"], e["command"], e["output"])),
+        "hrefs": told("links", lambda x: F.concat_ws("=", x["text"], x["href"])), "pictures": told("media", lambda x: x["url"]), "states": told("expandables", lambda x: F.concat_ws(":", x["label"], x["expanded"].cast("string"))),
+    }
+    return rows.select("doc_id", "turn_id", "role", "model", "order_hint", *[F.size(c).alias(c) for c in ("code_blocks", "tool_executions", "expandables", "activities", "links", "files", "media")], *[c.alias(k) for k, c in texts.items()])
+
 
+#: All text of a turn as `made` writes it, and the hashes of its code.
+WHOLE_SQL = """trim(text) || CASE WHEN turn % 3 = 0 THEN 'Example inprint(' || turn || ')' || chr(10) || 'x = 1' ELSE '' END || CASE WHEN turn % 4 = 1 THEN 'Ran codepython run.py ' || turn || 'out ' || turn ELSE '' END ||
+    CASE WHEN turn % 2 = 0 THEN 'Report ' || turn || 'Report ' || turn || 'no' ELSE '' END || CASE WHEN turn % 4 = 3 THEN 'ThoughtCopyGo' ELSE '' END"""
+HASHES_SQL = f"""concat_ws(',', CASE WHEN turn % 3 = 0 THEN {FNV_OF.format("concat('code', chr(10), 'python', chr(10), 'print(', turn, ')', chr(10), 'x = 1')")} END,
+    CASE WHEN turn % 4 = 1 THEN {FNV_OF.format("concat('tool_command', chr(10), 'python', chr(10), 'python run.py ', turn)")} || ',' || {FNV_OF.format("concat('tool_output', chr(10), 'text', chr(10), 'out ', turn)")} END)"""
+PRINT_SQL = f"concat_ws('|', CASE WHEN role = 'system' THEN 'unknown' ELSE role END, {WHOLE_SQL}, {HASHES_SQL}, CASE turn % 4 WHEN 1 THEN 'Ran code:true' WHEN 3 THEN 'Thought:false' ELSE '' END)"
 
-query("dom_fingerprint")(lambda spark, sf: snapshots(spark, sf).select("doc_id", "turn_id", "dom_fingerprint"))
+
+@query("dom_fingerprint", f"SELECT conv_id AS doc_id, 'chatgpt:data-testid:conversation-turn-' || turn AS turn_id, {FNV_OF.format('print')} AS dom_fingerprint FROM (SELECT conv_id, turn, {PRINT_SQL} AS print FROM conversations) p")
+def dom_fingerprint(spark, sf_dir):
+    return snapshots(spark, sf_dir).select("doc_id", "turn_id", "dom_fingerprint")
 
 
 @query(
@@ -311,38 +333,28 @@ def rewrite_local_urls(spark, sf_dir):
     return K.local_urls(rows.select("conv_id", "turn", html.alias("html"), pairs.alias("pairs"))).select("conv_id", "turn", F.col("local").alias("html"))
 
 
-@query("read_turn_html", "SELECT conv_id, CAST(count(*) AS bigint) AS turns FROM conversations GROUP BY conv_id")
+@query("read_turn_html", "SELECT conv_id, CAST(count(*) AS bigint) AS turns, min(turn) AS first FROM conversations GROUP BY conv_id")
 def read_turn_html(spark, sf_dir):
-    """Pages written one per file, and read back."""
-    from ..sources import read_turn_html as read
-    from .live import shared
-
-    to = shared(spark, "turn-html")
-    made(spark, sf_dir).write.partitionBy("conv_id").text(to)
-    back = read(spark, f"{to}/*").filter("html <> ''").select(F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), "html")
-    return U.turn_shells(D.dom_nodes(back, "conv_id")).groupBy(F.col("doc_id").alias("conv_id")).agg(F.count("*").alias("turns"))
+    """Stored pages, packed many to a file with their ids as a column, and read back."""
+    write_packed(made(spark, sf_dir), to := new_path(spark, "turn-html"), "conv_id")
+    shells = U.turn_shells(D.dom_nodes(read_packed(spark, to, "conv_id long, html string"), "conv_id"))
+    return shells.groupBy(F.col("doc_id").alias("conv_id")).agg(F.count("*").alias("turns"), F.min(U.order_hint()).cast("long").alias("first"))
 
 
 @query("read_conversation_json", "SELECT conv_id, turn + 1 AS ordinal, role, text FROM conversations")
 def read_conversation_json(spark, sf_dir):
-    """Documents written one per file, and read back under a schema."""
-    from ..sources import read_conversation_json as read
+    """Exported documents, packed many to a file, and read back under a schema."""
+    from ..sources import read_conversation_documents
     from .files import documents
-    from .live import shared
 
-    to = shared(spark, "conversation-json")
-    documents(spark, sf_dir).write.partitionBy("conv_id").text(to)
-    got = read(spark, f"{to}/*", "conversation_id long, turns array<struct<ordinal: long, role: string, text: string>>")
+    write_packed(documents(spark, sf_dir), to := new_path(spark, "conversation-json"), "conv_id")
+    got = read_conversation_documents(read_packed(spark, to, "conv_id long, document string"), "document", "conversation_id long, turns array<struct<ordinal: long, role: string, text: string>>")
     return got.select(F.col("conversation_id").alias("conv_id"), F.explode("turns").alias("t")).select("conv_id", "t.*")
 
 
-@query("read_resource_blobs", "SELECT conv_id, CAST(sum(octet_length(encode(text)) + 1) AS bigint) AS size FROM conversations GROUP BY conv_id")
+@query("read_resource_blobs", "SELECT conv_id, url, CAST(octet_length(encode(body)) AS bigint) AS size, sha256(body) AS sha256 FROM {blobs} b")
 def read_resource_blobs(spark, sf_dir):
-    """Texts written as files, and read back as bytes."""
-    from ..sources import read_resource_blobs as read
-    from .live import shared
-
-    to = shared(spark, "blobs")
-    given(spark, sf_dir, "conversations").select("conv_id", "text").repartition("conv_id").write.partitionBy("conv_id").text(to)
-    rows = read(spark, f"{to}/*").select(F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"), F.octet_length("bytes").alias("n"))
-    return rows.groupBy("conv_id").agg(F.sum("n").alias("size"))
+    """Resources packed as bytes under their addresses, and read back."""
+    rows = given(spark, sf_dir, "blobs").select("conv_id", "url", F.encode("body", "UTF-8").alias("bytes"))
+    write_packed(rows, to := new_path(spark, "blobs"), "conv_id", "url")
+    return read_packed(spark, to, "conv_id long, url string, bytes binary").select("conv_id", "url", F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"))

@@ -69,7 +69,12 @@ def render_html(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.concat(head, "body", F.lit("</main></body></html>")).alias("html"))
 
 
-def render_commands(turns: DataFrame) -> DataFrame:
+#: What precedes commands, and the headings.
+COMMANDS_PREFACE = "Los paneles de herramientas se identifican por su estructura DOM. La salida combinada no permite distinguir stdout de stderr ni confirmar un código de salida."
+RUNS_HEADING, CODE_HEADING = "## Paneles de ejecución identificados", "## Otros bloques de código (incluye ejemplos; no implica ejecución)"
+
+
+def render_commands(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     """(conv_id, document): tool runs numbered across turns, then other code; inline code and the runs' own blocks are left out."""
     every = F.array_sort(F.collect_list(F.struct("ordinal", "tool_executions", "code_blocks")))
     got = turns.groupBy("conv_id").agg(every.alias("t"))
@@ -85,23 +90,44 @@ def render_commands(turns: DataFrame) -> DataFrame:
         b = x["b"]
         return F.concat(F.lit("### "), i + 1, F.lit(". Turno "), x["o"], F.lit(" · "), F.coalesce(F.nullif(b["language"], F.lit("")), F.lit("texto")), F.lit("\n\n"), fence_code(b["text"], b["language"]), F.lit("\n"))
 
-    made = got.select("conv_id", F.array_join(F.transform(runs, run), "\n").alias("r"), F.array_join(F.transform(blocks, block), "\n").alias("b"))
-    return made.select("conv_id", F.concat(F.lit("## Paneles de ejecución identificados\n\n"), F.when(F.col("r") == "", "No se identificaron paneles de ejecución.\n").otherwise(F.col("r")), F.lit("\n## Otros bloques de código\n\n"), "b").alias("document"))
+    made = got.select("conv_id", F.array_join(F.transform(runs, run), "\n").alias("r"), F.array_join(F.transform(blocks, block), "\n").alias("b")).join(conversations.select("conv_id", "title"), "conv_id")
+    head = F.concat(F.lit("# Comandos y código — "), "title", F.lit(f"\n\n{COMMANDS_PREFACE}\n\n{RUNS_HEADING}\n\n"))
+    shown_runs = F.when(F.col("r") == "", "No se identificaron paneles de ejecución.\n").otherwise(F.col("r"))
+    return made.select("conv_id", F.concat(head, shown_runs, F.lit(f"\n{CODE_HEADING}\n"), F.when(F.col("b") == "", "").otherwise(F.concat(F.lit("\n"), "b"))).alias("document"))
 
 
+#: Labels of the report, and the columns that they show, in order.
 REPORT = (
-    ("Turnos", "turns"), ("Turnos de usuario", "user_turns"), ("Turnos de asistente", "assistant_turns"), ("Sin clasificar", "unknown_turns"), ("Bloques de código", "code_blocks"),
-    ("Ejecuciones detectadas", "terminal_executions"), ("Actividades", "activities"), ("Desplegables", "expandables"), ("Medios", "media"), ("Archivos visibles", "linked_files"),
-    ("Archivos con URL resoluble", "resolved_files"), ("Tarjetas sin href", "ui_attachments"), ("Enlaces", "links"),
+    ("Bloques de código", "code_blocks"), ("Ejecuciones/CLI detectadas", "terminal_executions"), ("Actividades/herramientas", "activities"), ("Desplegables", "expandables"), ("Medios detectados", "media"),
+    ("Archivos/adjuntos visibles detectados", "linked_files"), ("Archivos con URL resoluble", "resolved_files"), ("Tarjetas de archivo sin href detectadas", "ui_attachments"), ("Enlaces", "links"),
+    ("Eventos capturados en vivo", "live_events"), ("Recursos archivados", "archived_resources"), ("Capturas visuales de respaldo", "visual_snapshots"), ("Bytes archivados", "total_bytes"), ("Enriquecimiento ChatGPT", "source_status"),
 )
-
-
-def render_report(summary: DataFrame, continuity: DataFrame) -> DataFrame:
-    """(conv_id, report): fixed labels and their values, from the summary and the continuity of each conversation."""
-    missing = F.when(F.size("missing") > 0, F.array_join(F.col("missing").cast("array<string>"), ", ")).otherwise("ninguno detectado; no certifica extremos ni paneles")
-    lines = [F.concat(F.lit(f"{label}: "), F.col(c)) for label, c in REPORT]
-    lines += [F.lit("Cobertura completa de la conversación: no certificada"), F.concat(F.lit("Índices de turno omitidos dentro del tramo observado: "), missing)]
-    return summary.join(continuity.select("conv_id", "missing"), "conv_id").select("conv_id", F.concat_ws("\n", *lines).alias("report"))
+REFERENCES = (("Referencias de archivo encontradas en capa fuente", "references_found"), ("Referencias visibles emparejadas", "visible_references_matched"), ("URLs de descarga resueltas", "download_urls_resolved"))
+UNCERTIFIED = "Cobertura completa de la conversación: no certificada"
+NO_GAPS = "ninguno detectado; no certifica extremos ni paneles"
+NOT_INFERRED = "stdout/stderr/códigos de salida: no se infieren del texto de salida"
+BANNER = "INFORME DE EXPORTACIÓN"
+
+
+def render_report(summary: DataFrame, continuity: DataFrame, conversations: DataFrame, completeness: DataFrame, archive: DataFrame, source_layer: DataFrame) -> DataFrame:
+    """(conv_id, report): what was captured, how much of it, what is missing, and the warnings.
+
+    `archive`: conv_id, total_bytes; `source_layer`: conv_id, source_status and the counts of REFERENCES.
+    A conversation without a row there has 0 bytes and references, and no status.
+    """
+    rows = summary.join(continuity.select("conv_id", "missing"), "conv_id").join(conversations, "conv_id").join(completeness.select("conv_id", "unresolved_files"), "conv_id")
+    rows = rows.join(archive.select("conv_id", "total_bytes"), "conv_id", "left").join(source_layer.select("conv_id", "source_status", *[c for _, c in REFERENCES]), "conv_id", "left")
+    shown = {"source_status": F.coalesce("source_status", F.lit("no aplicable"))}
+    line = lambda label, c: F.concat(F.lit(f"{label}: "), shown.get(c, F.coalesce(F.col(c).cast("string"), F.lit("0"))))
+    missing = F.when(F.size("missing") > 0, F.array_join(F.col("missing").cast("array<string>"), ", ")).otherwise(NO_GAPS)
+    warnings = F.when(F.size("warnings") > 0, F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("- "), w)), "\n")).otherwise("Ninguna.")
+    head = [line("Título", "title"), line("Plataforma", "platform_label"), line("URL", "source_url"), line("Exportado", "exported_at")]
+    turns = F.concat(F.lit("Turnos: "), "turns", F.lit(" ("), "user_turns", F.lit(" usuario, "), "assistant_turns", F.lit(" asistente, "), "unknown_turns", F.lit(" sin clasificar)"))
+    lines = [
+        F.lit(BANNER), F.lit("=" * len(BANNER)), F.lit(""), *head, F.lit(""), turns, *[line(*x) for x in REPORT], F.lit(UNCERTIFIED), F.concat(F.lit("Índices de turno omitidos dentro del tramo observado: "), missing),
+        F.lit(NOT_INFERRED), line("Archivos sin copia local", "unresolved_files"), *[line(*x) for x in REFERENCES], F.lit(""), F.lit("ADVERTENCIAS"), F.lit("------------"), warnings, F.lit(""),
+    ]
+    return rows.select("conv_id", F.array_join(F.array(*lines), "\n").alias("report"))
 
 
 def render_raw_turn(turns: DataFrame) -> DataFrame:

@@ -60,7 +60,12 @@ _simple(
     lambda: T.fence_code(F.col("text"), F.col("language")),
 )
 _simple("sha256_hex", "conversations", "conv_id, turn", "sha256(text)", lambda: B.sha256_hex(F.col("text")))
-query("crc32_of")(lambda spark, sf: given(spark, sf, "conversations").select("conv_id", "turn", B.crc32_of(F.col("text")).alias("value")))
+#: CRC-32 folded bit by bit: each byte is added to the lowest eight bits, then eight times a division step by the reversed polynomial.
+_STEP = "list_reduce(list_prepend({0}, [0, 0, 0, 0, 0, 0, 0, 0]), lambda h, z: CASE WHEN h % 2 = 1 THEN xor(h // 2, 3988292384) ELSE h // 2 END)"
+CRC_SQL = "xor(list_reduce(list_prepend(CAST(4294967295 AS bigint), list_transform(range(0, octet_length(encode(text))), lambda i: CAST('0x' || substr(hex(encode(text)), CAST(2 * i + 1 AS int), 2) AS bigint))), lambda h, b: {step}), 4294967295)".format(
+    step=_STEP.format("xor(h, b)")
+)
+_simple("crc32_of", "conversations", "conv_id, turn", CRC_SQL, lambda: B.crc32_of(F.col("text")))
 _simple("utf8_size", "conversations", "conv_id, turn", "CAST(octet_length(encode(text)) AS bigint)", lambda: B.utf8_size(F.col("text")))
 SECRETS_SQL = "concat('token=abc', doc_id, '; Bearer ey.S== see https://h.example/x?y at moz-extension://id-1/a.js:3 ', coalesce(text, ''))"
 _simple(
