@@ -30,7 +30,7 @@ ENDS_P = BLOCKS - {"summary", "td", "th", "tr", "li", "dd", "dt"}
 ENDED_BY = {"p": ENDS_P, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 ENDS = {tag: {name for name, by in ENDED_BY.items() if tag in by} for tag in set().union(*ENDED_BY.values())}  # what a tag may end
 LIMITS = frozenset("ul ol table div section article main body html details nav form blockquote".split())
-TEXT_TAGS = frozenset("a button code figcaption h1 h2 h3 h4 h5 h6 label li option p pre summary td textarea th title".split())
+TEXT_TAGS = frozenset("a article button code figcaption h1 h2 h3 h4 h5 h6 label li option p pre summary td textarea th title".split())
 #: Attributes, or their beginnings, that make an element one that questions ask about, whatever its tag.
 ASKED = ("data-", "aria-", "role")
 CLIMB = 14
