@@ -18,19 +18,21 @@ from pyspark.sql import functions as F
 from .common import by_batch, materialise, small_batches
 from .tokens import byte_ids, word_ids
 
-CAPACITY, SALTS = 2048, 64
+CAPACITY = 2048
+ROWS_A_GROUP = 1 << 20  # about so many pieces of one length are ranked by one task
 
 
-def reduce_and_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, number of such sequences), for all pieces of the histogram.
+def reduced(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """((lengths of a sequence, number of such sequences) fixed for good, histogram of the pieces left).
 
-    Reduction, from the longest piece j down. A set with j dominates when every other set that j
+    From the longest piece j down. A set with j dominates when every other set that j
     could be in packs no more, piece by piece, so it is fixed for good:
     - {j}, if nothing fits beside it;
     - {j, k}, k the longest that fits: if k fills the rest exactly, if no two pieces fit beside
-      j, or if no three do and k is at least as long as any two that do.
-    Lengths without such a set go on to best fit decreasing, where each length fills all the
-    sequences of the least sufficient rest at once.
+      j, or if no three do and k is at least as long as any two that do;
+    - {j, k, l}, l the longest that fits beside both: if no three pieces fit beside j, and of no two
+      that do is the shorter longer than l.
+    Some packing of as few sequences as can be has all the sets that are fixed.
     """
     left, lengths, out = dict(histogram), sorted(x for x, n in histogram.items() if n > 0), []
     if lengths and not 0 < lengths[0] <= lengths[-1] <= capacity:
@@ -44,13 +46,23 @@ def reduce_and_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
             if not left[x]:
                 lengths.pop(bisect_left(lengths, x))
 
-    def longest(most: int, without: int) -> int:
-        """The longest piece up to `most`, when one piece `without` is used."""
+    def longest(most: int, *used: int) -> int:
+        """The longest piece up to `most` besides those used; 0 if there is none."""
         at = bisect_right(lengths, most) - 1
-        if at >= 0 and lengths[at] == without and left[without] < 2:
+        while at >= 0 and left[lengths[at]] <= used.count(lengths[at]):
             at -= 1
         return lengths[at] if at >= 0 else 0
 
+    def longest_shorter(rest: int, j: int) -> int:
+        """The longest piece that fits in the rest together with one at least as long; 0 if there is none."""
+        for at in range(bisect_right(lengths, rest // 2) - 1, -1, -1):
+            x = lengths[at]
+            n = left[x] - (x == j)
+            other = next((y for y in lengths[at + 1 : at + 3] if left[y] > (y == j)), rest)
+            if n > 1 or n and x + other <= rest:
+                return x
+        return 0
+
     def two_longest(rest: int, j: int) -> int:
         """The greatest total of two pieces that fit in the rest beside j; 0 if none do."""
         best, hi = 0, bisect_right(lengths, rest) - 1
@@ -85,14 +97,23 @@ def reduce_and_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
             take((j,), left[j])
         elif k == rest or (pair := two_longest(rest, j)) == 0 or k >= pair and not three_fit(rest, j):
             take((j, k), left[j] // 2 if j == k else min(left[j], left[k]))
+        elif not three_fit(rest, j) and (l := longest(rest - k, j, k)) and longest_shorter(rest, j) <= l:
+            of = (j, k, l)
+            take(of, min(left[x] // of.count(x) for x in of))
         else:
             at -= 1  # nothing dominates; best fit has it
             continue
         at = min(at, len(lengths) - 1)
 
+    return out, {x: n for x, n in left.items() if n}
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit decreasing, where each length fills all the sequences of the least sufficient rest at once."""
+    left = dict(histogram)
     rests: list[int] = []  # of open sequences, ascending
     open_at: dict[int, list[list]] = {}
-    for j in reversed(lengths):
+    for j in sorted(left, reverse=True):
         n = left[j]
         while n:
             i = bisect_left(rests, j)
@@ -116,11 +137,20 @@ def reduce_and_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
                 insort(rests, r - j)
             open_at.setdefault(r - j, []).append([now, used])
             n -= used
-    return [*out, *((tuple(of), times) for groups in open_at.values() for of, times in groups)]
+    return [(tuple(of), times) for groups in open_at.values() for of, times in groups]
+
+
+def reduce_and_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, number of such sequences), for all pieces of the histogram: reduction, then best fit of what is left."""
+    fixed, left = reduced(histogram, capacity)
+    return fixed + best_fit(left, capacity)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, kind: str = "byte", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: documents longer than the capacity cut into full pieces, the first one shorter."""
+    """doc_id, piece, start, length, ids_crc32: documents longer than the capacity cut into full pieces, the first one shorter.
+
+    A null or empty text is the end id alone. Repeated rows each come out. An empty table gives no rows.
+    """
     small_batches(docs.sparkSession, 1000, 8 << 20)
     end = np.array([end_id], "<u4").tobytes()
 
@@ -142,10 +172,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`cut` with sequence_id and offset: sequences hold `capacity` ids at most, gapless from 0.
 
     `cut` needs columns doc_id, piece, ids_crc32 and length, and should be a written table: it is
-    read three times. Rows equal in these share their ranks in any way. An empty one gives none.
+    read four times. Rows equal in these share their ranks in any way. An empty one gives none.
+    However many pieces have one length, about ROWS_A_GROUP of them are ranked together.
     """
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "_salt").count().collect()  # capacity x SALTS rows at most
+    salts = {r["length"]: -(-r["count"] // ROWS_A_GROUP) for r in cut.groupBy("length").count().collect()}  # capacity rows at most
+    every = F.broadcast(cut.sparkSession.createDataFrame(list(salts.items()), "length long, _salts long"))
+    salted = cut.join(every, "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts")).cast("int")).drop("_salts")
+    counts = salted.groupBy("length", "_salt").count().collect()  # a row for ROWS_A_GROUP pieces, and capacity rows
     histogram: dict[int, int] = {}
     first: dict[tuple[int, int], int] = {}
     for r in sorted(counts, key=lambda r: (r["length"], r["_salt"])):
@@ -186,5 +219,5 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, kind: str = "byte", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokenise once, keep only the narrow table of pieces, and pack it."""
+    """Tokenise once, keep only the narrow table of pieces, and pack it. Nulls, repeats and empty tables as in `pieces`."""
     return pack(materialise(pieces(docs, tokenizer, end_id, capacity, kind, key, text), "pieces"), capacity)
