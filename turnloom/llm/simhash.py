@@ -48,13 +48,13 @@ def fingerprint_of(h: list[int]) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, fp (signed) of each whole text; a text that is null or has no word has fingerprint zero."""
+    """doc_id, fp (signed), text_hash of each whole text; a text that is null or has no word has fingerprint zero."""
     small_batches(docs.sparkSession, 500)
 
     def run(b: pa.RecordBatch) -> dict:
-        return {"doc_id": b.column(0), "fp": [fingerprint_of(hashes(t, width)) for t in b.column(1).to_pylist()]}
+        return {"doc_id": b.column(0), "fp": [fingerprint_of(hashes(t, width)) for t in b.column(1).to_pylist()], "text_hash": b.column(2)}
 
-    return by_batch(docs.select(F.col(key).cast("long"), F.col(text)), run, "doc_id long, fp long")
+    return by_batch(docs.select(F.col(key).cast("long"), F.col(text), F.xxhash64(text)), run, "doc_id long, fp long, text_hash long")
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -87,17 +87,33 @@ def _edges(fp: np.ndarray, start: int) -> Iterator[tuple[np.ndarray, np.ndarray]
 def links(fps: DataFrame) -> DataFrame:
     """Edges (u, v) that connect all fingerprints of column `fp` (distinct) as all pairs of at most three differing bits would.
 
-    A bucket over 2 x BLOCK fingerprints is dealt into blocks, and each pair of blocks is a group
-    of its own, so no group is larger whatever the bucket is.
+    A bucket over 2 x BLOCK fingerprints is parted further by the budgets that its 24 bits leave:
+    one bit at most differs in the second segment's other half, so one of its two parts is equal,
+    and two at most in the third segment, so one of its three parts is. What is still as large is
+    dealt into blocks, and each pair of blocks is a group of its own, so no group is larger whatever
+    the bucket is.
     """
     seg = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF) for i in range(4)]
     keys = [F.lit((2 * i + half) << 24) + seg[i] * 256 + (F.shiftright(seg[(i + 1) % 4], 8 * half).bitwiseAND(0xFF)) for i in range(4) for half in (0, 1)]
     keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = keyed.join(sizes, "key").withColumn("nb", F.when(F.col("n") > 2 * BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int"))
+    sized, hot = keyed.join(sizes, "key"), F.col("n") > 2 * BLOCK
+    half, start = F.shiftright("key", 24).bitwiseAND(1).cast("int"), F.shiftright("key", 25).cast("int")
+    turned = F.when(start == 0, F.col("fp"))  # the segments from the bucket's on
+    for i in (1, 2, 3):
+        turned = turned.when(start == i, F.shiftrightunsigned("fp", 16 * i).bitwiseOR(F.shiftleft("fp", 64 - 16 * i)))
+    other = F.when(half == 0, F.shiftrightunsigned("turned", 24)).otherwise(F.shiftrightunsigned("turned", 16)).bitwiseAND(255)
+    third = F.shiftrightunsigned("turned", 32).bitwiseAND(0xFFFF)
+    seconds = [(p, F.shiftright(other, 4 * p).bitwiseAND(15)) for p in (0, 1)]
+    thirds = [(0, third.bitwiseAND(31)), (1, F.shiftright(third, 5).bitwiseAND(31)), (2, F.shiftright(third, 10))]
+    parts = [F.lit(1 + (3 * p + q) << 10).cast("long") + a * 64 + b for p, a in seconds for q, b in thirds]
+    parted = sized.filter(hot).withColumn("turned", turned).select("key", "fp", F.explode(F.array(*parts)).alias("part"))
+    large = parted.groupBy("key", "part").agg(F.count("*").alias("n")).filter("n > 1")
+    dealt = sized.filter(~hot).select("key", "fp", F.lit(0).cast("long").alias("part"), F.lit(1).alias("nb"))
+    dealt = dealt.unionByName(parted.join(large, ["key", "part"]).select("key", "fp", "part", F.when(hot, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int").alias("nb")))
     own = F.pmod(F.xxhash64("fp", "key"), F.col("nb")).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.least(o, F.col("own")) * F.col("nb") + F.greatest(o, F.col("own")))
-    dealt = dealt.withColumn("own", own).select("key", "fp", F.explode(blocks).alias("block"))
+    blocks = F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.least(o, F.col("own")).cast("long") * F.col("nb") + F.greatest(o, F.col("own")))
+    dealt = dealt.withColumn("own", own).select("key", "fp", "part", F.explode(blocks).alias("pair")).select("key", "fp", (F.shiftleft("part", 40) + F.col("pair")).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
@@ -169,16 +185,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     component_id. Repeated rows each come out. An empty table gives an empty result.
     """
     rows = materialise(fingerprints(docs, key, text), "fingerprints")
+    return rows.join(_rooted(rows).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def _rooted(rows: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of distinct fingerprints; a group has the root of its own."""
     fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     of = components(links(fps))
     rooted = fps.join(of.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rooted.join(named, "root").select("fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document of the least id of each group, once. Rows without an id are kept: no name tells which to keep."""
-    keep = near_duplicates(docs, key, text).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.join(keep, F.col(key) == F.col("_keep"), "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.filter(F.col(key).isNull()))
+    """The document of the least id of each group, once.
+
+    Rows that share an id but no group each stay; of those in one group, the text of the least
+    hash. Rows without an id are kept: no name tells which to keep.
+    """
+    rows = materialise(fingerprints(docs, key, text), "fingerprints")
+    named = rows.filter("doc_id IS NOT NULL").join(_rooted(rows), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
+    keep = named.select(F.col("k.doc_id").alias("_keep_id"), F.col("k.text_hash").alias("_keep_hash")).distinct()
+    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
+    kept = hashed.join(keep, (F.col(key) == F.col("_keep_id")) & (F.col("_text_hash") == F.col("_keep_hash")), "left_semi")
+    return kept.dropDuplicates([key, "_text_hash"]).drop("_text_hash").unionByName(docs.filter(F.col(key).isNull()))
