@@ -177,6 +177,9 @@ def test_near_duplicates_and_what_stays(spark):
     fps = [simhash.fingerprint_of(simhash.hashes(t)) for t in texts]
     assert got == dict(enumerate(linked(fps))) and got[3] == 0 and got[5] == 4
     assert {r["doc_id"] for r in simhash.deduplicate(docs_of(spark, texts)).collect()} == set(got.values())
+    again = docs_of(spark, [EN, DE, EN, DE, copy, copy + " end", EN, None], ids=[1, 1, 2, 1, 5, 5, None, None])
+    left = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(again).collect()]
+    assert Counter(left) - Counter([(5, copy), (5, copy + " end")]) == Counter([(1, EN), (1, DE), (None, EN), (None, None)]) and sum(k == 5 for k, _ in left) == 1
 
 
 def test_language_from_text_alone(spark):
@@ -194,6 +197,8 @@ def test_language_from_text_alone(spark):
     blind = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit("xx")).withColumn("doc_id", F.col("doc_id") + 1000), model).collect()}
     assert all(blind[i + 1000] == got[i]["lang_pred"] for i in range(602))
     assert {r["doc_id"] for r in language.keep_identified(docs, model).select("doc_id").collect()} == set(range(600))
+    blank = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in language.keep_identified(blank, language.learn(blank)).select("doc_id").collect()} == set(range(600))
 
 
 def test_features_do_not_depend_on_pieces(monkeypatch):
@@ -254,6 +259,29 @@ def test_reduction_loses_no_sequence_on_small_cases():
     assert worse <= 2  # best fit decreasing of the rest may lose one now and then
 
 
+def test_fixed_sets_are_part_of_some_best_packing():
+    # Beside 10, of 20: 5 and 5 fill the rest, and no other two that fit have a longer shorter piece.
+    assert packing.reduced({10: 1, 5: 2, 3: 1}, 20)[0][0] == ((10, 5, 5), 1)
+    rng, threes = random.Random(12), 0
+    for low, high in ((2, 20), (3, 11), (4, 9), (3, 14)):
+        for _ in range(60):
+            items = tuple(sorted((rng.randint(low, high) for _ in range(8)), reverse=True))
+            fixed, left = packing.reduced(dict(Counter(items)), 20)
+            rest = tuple(sorted((x for x, n in left.items() for _ in range(n)), reverse=True))
+            assert sum(n for _, n in fixed) + (optimum(rest, 20) if rest else 0) == optimum(items, 20)
+            threes += sum(len(of) == 3 for of, _ in fixed)
+    assert threes > 50
+
+
+def test_a_hot_length_is_ranked_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_A_GROUP", 50)
+    cut = spark.createDataFrame([(i, 0, 0, 2048 if i % 3 else 1, i) for i in range(1000)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(cut).toPandas()
+    assert len(got) == 1000 and (got.groupby("sequence_id")["length"].sum() <= 2048).all() and got["sequence_id"].nunique() == 666 + 1
+    for _, g in got[got["length"] == 1].groupby("sequence_id"):
+        assert sorted(g["offset"]) == list(range(len(g)))
+
+
 def test_items_are_found_within_the_edits_allowed_and_nothing_else():
     rng = random.Random(9)
     vocabulary_ = [f"word{i}" for i in range(300)] + ["the", "of", "and"] * 40

@@ -146,7 +146,11 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row, from its whole text alone."""
+    """doc_id, held_out, lang_pred, score of every row, from its whole text alone.
+
+    A text that is null or has no letter is `und` at score 0, and so is every text if no language
+    was learnt. Repeated rows each come out. An empty table gives no rows.
+    """
     small_batches(docs.sparkSession, 500)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of languages
 
@@ -159,13 +163,17 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.0) -> DataFrame:
-    """`docs` without the rows of no language (null text, no letter) or a score under `least`; no row moves."""
+    """`docs` without the rows of no language (null text, no letter) or a score under `least`; no row moves.
+
+    A model that has learnt no language rejects only texts without a letter. An empty table gives no rows.
+    """
     small_batches(docs.sparkSession, 500)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
         for b in batches:
-            found = [shared.value.predict(t) for t in b.column(at).to_pylist()]
+            texts, known = b.column(at).to_pylist(), shared.value
+            found = [known.predict(t) for t in texts] if known.languages else [("", least) if has_letter(t) else (UNKNOWN, 0.0) for t in texts]
             yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
