@@ -4,6 +4,10 @@ language   documents of no language go (null texts, texts without a letter)
 dedup      of documents linked by SimHash, the one of the least doc_id stays
 benchmark  documents that hold a benchmark item go
 packing    what is left, in sequences of 2048 tokens: a row per piece
+
+Documents without an id pass all stages but the first as any others. Repeated rows are near
+duplicates of each other. Without any usable label every text with a letter stays. An empty table
+gives no rows. Extra columns stay until packing.
 """
 
 from __future__ import annotations
