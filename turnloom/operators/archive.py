@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,32 +28,32 @@ def blob_facts(blobs: DataFrame) -> DataFrame:
     return blobs.select("url", "mime", F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"), F.substring("bytes", 1, 8).alias("head"))
 
 
-def _first_fit(rows: pd.DataFrame, cap: int) -> pd.DataFrame:
-    """Sequential: each decision depends on what was kept before."""
-    total, status = 0, {}
-    for seq, size, error in rows.sort_values("seq")[["seq", "size", "error"]].itertuples(index=False):
+def _first_fit(rows: pa.Table, cap: int) -> pa.Table:
+    """`rows` with their status. Sequential: each decision depends on what was kept before."""
+    rows, total, status = rows.sort_by("seq"), 0, []
+    for size, error in zip(rows["size"].to_pylist(), rows["error"].to_pylist(), strict=True):
         if total >= cap:
-            status[seq] = "budget_exceeded"
-        elif pd.isna(size) or isinstance(error, str) or total + size > cap:
-            status[seq] = "failed"
+            status.append("budget_exceeded")
+        elif size is None or error is not None or total + size > cap:
+            status.append("failed")
         else:
-            status[seq], total = "archived", total + int(size)
-    return pd.DataFrame({"conv_id": rows["conv_id"], "seq": rows["seq"], "status": rows["seq"].map(status)})
+            status.append("archived")
+            total += size
+    return rows.append_column("status", pa.array(status, pa.string()))
 
 
 def archive_budget(sized: DataFrame, cap: int) -> DataFrame:
     """`status` of requests (conv_id, seq, size, error): archived, failed or budget_exceeded, first fit in order under `cap` bytes.
 
     Where all that is valid fits, a window sum shows it and nothing else runs; only the other
-    conversations' narrow rows are folded one after the other.
+    conversations' narrow rows are folded one after the other, in the same shuffle.
     """
     valid = F.col("error").isNull() & F.col("size").isNotNull()
     total = F.sum(F.when(valid, F.col("size")).otherwise(0)).over(Window.partitionBy("conv_id"))
     rows = sized.withColumn("_total", total)
     easy = rows.filter(F.col("_total") < cap).withColumn("status", F.when(valid, "archived").otherwise("failed")).drop("_total")
     hard = rows.filter(F.col("_total") >= cap).drop("_total")
-    decided = hard.select("conv_id", "seq", F.col("size").cast("long"), "error").groupBy("conv_id").applyInPandas(lambda p: _first_fit(p, cap), "conv_id long, seq int, status string")
-    return easy.unionByName(hard.join(decided, ["conv_id", "seq"]).select(*easy.columns))
+    return easy.unionByName(hard.groupBy("conv_id").applyInArrow(lambda t: _first_fit(t, cap), easy.schema))
 
 
 def with_validation(requests: DataFrame, facts: DataFrame) -> DataFrame:
