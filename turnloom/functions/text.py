@@ -104,6 +104,7 @@ def archive_path(kind: Column, index: Column, name: Column, extension: Column) -
 
 def redact_text(c: Column, limit: int = 400, strict: bool = False) -> Column:
     """Extension ids, URLs, bearer values and token-like values taken out, then cut. `strict` also takes quoted values."""
+    # The patterns and what stands in their place.
     c = F.regexp_replace(text_or_empty(c), r"(?i)moz-extension:\/\/[^/\s]+", "moz-extension://EXTENSION")
     c = F.regexp_replace(c, r"(?i)(https?:|blob:|data:)[^\s<>\"']+", "[URL omitida]")
     c = F.regexp_replace(c, r"(?i)Bearer\s+[A-Za-z0-9._~+\/-]+=*", "Bearer [omitido]")
