@@ -136,6 +136,8 @@ def test_odd_pages(spark):
     got = {r["page_id"]: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[k]["text"] for k in (1, 2, 3, 4, 6)] == ["", "", "plain text", "deep text", ""] and got[5]["n_chars"] == 550_000 - 1
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clashing = spark.createDataFrame([(1, "u", "<p>some text</p>", "other", 5)], "page_id long, url string, html string, text string, n_chars string")
+    assert extract(clashing).collect() == [(1, "u", "some text", 9)]
 
 
 def test_warc_records_read_back_alone_and_in_order():
