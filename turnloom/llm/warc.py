@@ -114,6 +114,7 @@ def classified(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
 
     Which record is a response is settled on digests alone; payloads move once, by their page. Of
     rows that repeat the largest page_id with the same payload, the first by URL is the response.
+    A row without an id never is, if another has the same payload and an id. An empty table gives no rows.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(html, F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
