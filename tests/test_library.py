@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,17 @@ def test_file_links(spark):
     assert [r["got"] for r in rows.select(U.is_file_link(F.col("url"), F.col("download")).alias("got")).collect()] == [c[2] for c in cases]
 
 
+def test_addresses_are_resolved_as_by_the_standard_library(spark):
+    rng, part = random.Random(3), ["a", "b.html", "..", ".", "c d", "é"]
+    bases = ["https://h.example/", "https://h.example/x/y/z.html?q=1#f", "http://h.example:80/x/", "https://h.example"]
+    rows = [(rng.choice(["", "/", "", "./", "../"]) + "/".join(rng.choices(part, k=rng.randint(1, 5))) + rng.choice(["", "/", "?k=1/../2", "#f/..", "?"]), rng.choice(bases)) for _ in range(400)]
+    rows += [("?k=1", bases[1]), ("#top", bases[1]), ("//other.example/p", bases[0]), ("mailto:x", bases[0])]
+    got = values(spark, U.absolute_url(F.col("x"), F.col("b")), rows, "x string, b string")
+    wrong = [(r, g, w) for r, g in zip(rows, got, strict=True) if g != (w := urljoin(r[1], r[0])) and g != w.removesuffix("?") and not (r[0].endswith("?") and g.removesuffix("?") == w)]
+    assert not wrong
+    assert values(spark, U.absolute_url(F.col("x"), F.col("b")), [("a/b", None), ("", "https://h/"), (None, "https://h/"), ("x", "nothing")], "x string, b string") == ["a/b", "", "", "x"]
+
+
 def test_bytes(spark):
     assert values(spark, B.sha256_hex(F.col("x")), ["abc"]) == ["ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"]
     ramp = bytearray(i * 7 % 256 for i in range(80_001))

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from .text import FILE_PATTERN, safe_file_name, text_or_empty
 
@@ -78,21 +74,31 @@ def basename_of_url(url: Column, fallback: str | Column) -> Column:
     return F.when(url.startswith("data:") | decoded.isNull(), fallback).otherwise(safe_file_name(decoded, fallback))
 
 
-@F.pandas_udf(StringType())
-def _joined(base: pd.Series, url: pd.Series) -> pd.Series:
-    def one(b, u):
-        try:
-            return urljoin(b or "", u)
-        except ValueError:
-            return u
-
-    return pd.Series([one(b, u) for b, u in zip(base, url, strict=True)], dtype=object)
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its segments . and .. resolved."""
+    segments = F.split(F.substring(path, 2, F.length(path)), "/", -1)
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(segments, start, lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+    ends = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), ends)
 
 
 def absolute_url(url: Column, base: Column) -> Column:
-    """Resolved against the page's URL; null and empty give an empty text, and what has its own scheme stays."""
+    """Resolved against the page's URL; null and empty give an empty text, and what has its own scheme stays, as all does without such a page."""
+    head = r"^([a-zA-Z][a-zA-Z0-9+.-]*):(//[^/?#]*)([^?#]*)(\?[^#]*)?"
+    scheme, host, path, query = (F.regexp_extract(base, head, i) for i in (1, 2, 3, 4))
+    path = F.when(path == "", "/").otherwise(path)
     own = url.rlike(r"(?i)^(data:|blob:|about:|moz-extension:)|^[a-z][a-z0-9+.-]*:")
-    return F.when(text_or_empty(url) == "", "").when(own, url).otherwise(_joined(base, url))
+    page = F.concat(scheme, F.lit(":"), host)
+    to = F.regexp_extract(url, "^[^?#]*", 0)
+    rest = F.substring(url, F.length(to) + 1, F.length(url))
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    target = F.when(to.startswith("/"), to).otherwise(F.concat(folder, to))
+    return (
+        F.when(text_or_empty(url) == "", "").when(own | ~F.coalesce(base.rlike(head), F.lit(False)), url).when(url.startswith("//"), F.concat(scheme, F.lit(":"), url))
+        .when(url.startswith("#"), F.concat(page, path, query, url)).when(url.startswith("?"), F.concat(page, path, url)).otherwise(F.concat(page, _without_dots(target), rest))
+    )
+
 
 
 def redact_url(url: Column) -> Column:
