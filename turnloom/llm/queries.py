@@ -104,6 +104,14 @@ def op11_time_forward_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def op12_fragment_monoid_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies aligned by the byte offsets at which both end, and their links' counts over all documents."""
+    from .token_alignment import align, link_statistics, pair_counts
+
+    aligned = align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return link_statistics(aligned, pair_counts(aligned))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
