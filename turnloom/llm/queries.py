@@ -112,6 +112,14 @@ def op12_fragment_monoid_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return link_statistics(aligned, pair_counts(aligned))
 
 
+def op13_clause_grammar_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by clauses that a grammar of transducers matches."""
+    from .toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
