@@ -2,25 +2,29 @@
 
 A scanner (the one step that needs Python) gives every element a pre-order number, the number of the
 last node below it, and what its ancestors are; all questions of containment are then comparisons
-and windows over these numbers. Only elements that the questions ask about bring their text: other
-wrappers, nested deep, would repeat the page at every depth.
+and windows over these numbers. It keeps the page's text once, and of every node the span of it that is
+its own (a span index): text is cut for exactly the elements that the questions ask about, as other
+wrappers, nested deep, would repeat the page at every depth. Whether a label is short is told by its span.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Columns of `dom_nodes`. `marks`: what the node or an ancestor is (see MARKS); `own_marks`: what the node itself is.
+#: Columns of `dom_nodes`. `marks`: what the node or an ancestor is (see marks_of); `own_marks`: what the node itself is; `code`: of
+#: innermost pre, inline code, command and terminal nodes; `span_from`, `span_to`: the node's code points in the page's text.
 NODES = (
     "doc_id long, node_id int, parent_id int, subtree_end int, depth int, tag string, attrs map<string,string>, text string, inner_text string, "
-    "marks array<string>, own_marks array<string>, prev_text string, sibling_text string, upper_language string, above_marks array<string>, ancestors array<int>"
+    "marks array<string>, own_marks array<string>, prev_text string, sibling_text string, upper_language string, above_marks array<string>, ancestors array<int>, code string, span_from int, span_to int"
 )
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -30,12 +34,13 @@ ENDS_P = BLOCKS - {"summary", "td", "th", "tr", "li", "dd", "dt"}
 ENDED_BY = {"p": ENDS_P, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 ENDS = {tag: {name for name, by in ENDED_BY.items() if tag in by} for tag in set().union(*ENDED_BY.values())}  # what a tag may end
 LIMITS = frozenset("ul ol table div section article main body html details nav form blockquote".split())
-TEXT_TAGS = frozenset("a article button code figcaption h1 h2 h3 h4 h5 h6 label li option p pre summary td textarea th title".split())
+TEXT_TAGS = frozenset("a article button code figcaption h1 h2 h3 h4 h5 h6 label option p pre summary textarea title".split())  # others, which nest, are told by their span
 #: Attributes, or their beginnings, that make an element one that questions ask about, whatever its tag.
 ASKED = ("data-", "aria-", "role")
 CLIMB = 14
 BATCH_ROWS, BATCH_CHARS = 5_000, 8 << 20  # of nodes that are given to Spark at once
 SHORT = 80  # code points of a label near code
+BLANKS = " \t\n\r\u00a0"
 
 
 def marks_of(tag: str, at: dict[str, str]) -> list[str]:
@@ -139,17 +144,15 @@ class Scanner(HTMLParser):
         self.close()
         while self.stack:
             self._close(self.stack.pop())
-        children: dict[int | None, list[int]] = {}
+        self._index()
         for n in self.nodes:
-            if not (n["tag"] in TEXT_TAGS or n["own_marks"] or "markdown" in n["attrs"].get("class", "") or any(k.startswith(ASKED) for k in n["attrs"])):
-                n["text"] = n["inner_text"] = None
-                children.setdefault(n["parent_id"], []).append(n["node_id"])
-                continue
-            n["text"] = "".join(self.pieces[n["from"] : n["to"]])
-            n["inner_text"] = clean(re.sub(r"\n{3,}", "\n\n", "".join(self.shown[n["shown_from"] : n["shown_to"]])))
-            children.setdefault(n["parent_id"], []).append(n["node_id"])
-        for n in self.nodes:
-            self._labels(n, children.get(n["parent_id"], []) if n["parent_id"] is not None else [])
+            asked = n["tag"] in TEXT_TAGS or n["own_marks"] or "markdown" in n["attrs"].get("class", "") or any(k.startswith(ASKED) for k in n["attrs"])
+            if n["tag"] == "pre" and not n["own_marks"][1:] and n["node_id"] not in self.wanted_pre:
+                asked = False
+            n["text"], n["inner_text"] = (self._text(n), self._inner(n)) if asked else (None, None)
+            n["span_from"], n["span_to"] = self.chars[n["from"]], self.chars[n["to"]]
+            n["code"] = self._code(n)
+            self._labels(n)
             n["ancestors"], up = None, n["parent_id"]
             if n["tag"] == "pre":  # from the inside out, as far as a tool's panel may reach
                 n["ancestors"] = []
@@ -158,15 +161,62 @@ class Scanner(HTMLParser):
                     up = self.nodes[up]["parent_id"]
         return self.nodes
 
-    def _labels(self, n: dict, siblings: list[int]) -> None:
+    def _index(self) -> None:
+        """Code points before each piece, visible ones before each piece shown, each node's place among its siblings, and where code stands."""
+        self.chars = list(accumulate(map(len, self.pieces), initial=0))
+        self.visible = list(accumulate((len(p) - sum(map(p.count, BLANKS)) for p in self.shown), initial=0))
+        self.children: dict[int | None, list[int]] = {}
+        self.place, self.inner = [], {}
+        for n in self.nodes:
+            own = self.children.setdefault(n["parent_id"], [])
+            self.place.append(len(own))
+            own.append(n["node_id"])
+        self.codes = [n["node_id"] for n in self.nodes if n["tag"] == "code"]
+        self.lines = [n["node_id"] for n in self.nodes if "cm-line" in n["attrs"].get("class", "").split()]
+        pre = [n["node_id"] for n in self.nodes if n["tag"] == "pre"]
+        self.leaves = {i for i, after in zip(pre, [*pre[1:], len(self.nodes)]) if after > self.nodes[i]["subtree_end"]}
+        self.wanted_pre, outer = set(self.leaves), []  # also the nearest pre around each innermost one
+        for i in pre:
+            while outer and self.nodes[outer[-1]]["subtree_end"] < i:
+                outer.pop()
+            if i in self.leaves and outer:
+                self.wanted_pre.add(outer[-1])
+            outer.append(i)
+
+    def _text(self, n: dict) -> str:
+        return "".join(self.pieces[n["from"] : n["to"]])
+
+    def _inner(self, n: dict) -> str:
+        if (i := n["node_id"]) not in self.inner:
+            self.inner[i] = clean(re.sub(r"\n{3,}", "\n\n", "".join(self.shown[n["shown_from"] : n["shown_to"]])))
+        return self.inner[i]
+
+    def _code(self, n: dict) -> str | None:
+        """Text of the first code below (or its own); of editor lines, if there are any, joined by line ends."""
+        inline = n["tag"] == "code" and "pre" not in n["marks"]
+        if not (inline or n["node_id"] in self.leaves or "data-tool-command" in n["attrs"] or "data-terminal-output" in n["attrs"]):
+            return None
+        at = bisect_right(self.codes, n["node_id"])
+        if at < len(self.codes) and self.codes[at] <= n["subtree_end"]:
+            n = self.nodes[self.codes[at]]
+        lines = self.lines[bisect_right(self.lines, n["node_id"]) : bisect_right(self.lines, n["subtree_end"])]
+        return re.sub("\r\n?", "\n", "\n".join(self._text(self.nodes[i]) for i in lines) if lines else self._text(n))
+
+    def _short(self, i: int) -> str | None:
+        """The text of a node, if it is a label: SHORT or less. Most that are longer are told by their span."""
+        n = self.nodes[i]
+        if self.visible[n["shown_to"]] - self.visible[n["shown_from"]] > SHORT:
+            return None
+        return t if (t := self._inner(n)) and len(t) <= SHORT else None
+
+    def _labels(self, n: dict) -> None:
         """Texts near a block of code: that just before it, else a short one among its parent's first five; and a language above it."""
         n["prev_text"] = n["sibling_text"] = n["upper_language"] = None
-        if n["tag"] != "pre":
+        if n["tag"] != "pre" or n["parent_id"] is None:
             return
-        short = lambda i: t if (t := self.nodes[i]["inner_text"]) and len(t) <= SHORT else None
-        before = [i for i in siblings if i < n["node_id"]]
-        n["prev_text"] = short(before[-1]) if before else None
-        n["sibling_text"] = next((t for i in siblings[:5] if i != n["node_id"] and (t := short(i))), None)
+        siblings, place = self.children[n["parent_id"]], self.place[n["node_id"]]
+        n["prev_text"] = self._short(siblings[place - 1]) if place else None
+        n["sibling_text"] = next((t for i in siblings[:5] if i != n["node_id"] and (t := self._short(i))), None)
         up = n["parent_id"]
         for _ in range(2):
             if up is None:
@@ -194,7 +244,7 @@ def dom_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for n in scan(text):
                     rows.append({c: k if c == "doc_id" else list(n[c].items()) if c == "attrs" else n[c] for c in names})
-                    size += len(n["text"] or "") + len(n["inner_text"] or "")
+                    size += len(n["text"] or "") + len(n["inner_text"] or "") + len(n["code"] or "")
                     if len(rows) >= BATCH_ROWS or size >= BATCH_CHARS:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows, size = [], 0

@@ -49,14 +49,9 @@ def _indexed(rows: DataFrame, order: str = "node_id") -> DataFrame:
 
 
 def code_texts(nodes: DataFrame) -> DataFrame:
-    """`code` of pre nodes, code and command nodes: the text of the first code below, or their own; editor lines joined; line ends as LF."""
+    """pre, code and command nodes with `code`: the text of the first code below, or their own; editor lines joined; line ends as LF."""
     blocks = nodes.filter(F.col("tag").isin("pre", "code") | has("data-tool-command") | has("data-terminal-output"))
-    rows = first_below(blocks, nodes.filter("tag = 'code'"), _code=F.col("text"))
-    lines = nodes.filter(F.array_contains(F.split(text_or_empty(attr("class")), r"\s+"), "cm-line"))
-    held = inside(lines, leaf_pre(nodes).withColumn("_pre", F.col("node_id")), ["_pre"]).filter("_pre IS NOT NULL")
-    joined = held.groupBy("doc_id", F.col("_pre").alias("node_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("node_id").alias("n"), F.col("text").alias("t")))), lambda x: x["t"]), "\n").alias("_lines"))
-    rows = rows.join(joined, ["doc_id", "node_id"], "left")
-    return rows.withColumn("code", F.regexp_replace(F.coalesce("_lines", F.when(F.col("tag") != "code", F.col("_code")), "text", F.lit("")), "\r\n?", "\n")).drop("_code", "_lines")
+    return blocks.withColumn("code", F.coalesce("code", F.lit("")))
 
 
 def leaf_pre(nodes: DataFrame) -> DataFrame:
@@ -97,9 +92,11 @@ def tool_executions(nodes: DataFrame) -> DataFrame:
     A panel is the nearest element around the command that also holds other leaf blocks. It counts if it
     holds no second command, its outputs stand in another branch without a code element, it is no
     prose, and no message begins on the way; or, without outputs, if it is an execution by its own
-    marks. Columns: index, tool, command, command_language, output, status, command_node, output_nodes.
+    marks. Columns: index, tool, command, command_language, output, outputs, output_kind, status, exit_code
+    (pages do not tell it: null), source, command_block_index and output_block_indices (places among the
+    turn's leaf blocks), command_node, output_nodes, hash.
     """
-    leaves = code_texts(nodes).join(leaf_pre(nodes).select("doc_id", "node_id", "outer_pre"), ["doc_id", "node_id"]).withColumn("command_like", within("editor") | is_("command"))
+    leaves = code_texts(leaf_pre(nodes)).withColumn("command_like", within("editor") | is_("command"))
     leaves = first_below(leaves, nodes.filter("tag = 'code'"), _has_code=F.lit(True))
     leaf = F.struct(F.col("node_id").alias("n"), F.col("command_like").alias("c"), F.coalesce("_has_code", F.lit(False)).alias("k"), F.col("code").alias("t"))
     per_turn = leaves.filter("turn_node IS NOT NULL").groupBy(*TURN).agg(F.array_sort(F.collect_list(leaf)).alias("leaves"))
@@ -119,7 +116,7 @@ def tool_executions(nodes: DataFrame) -> DataFrame:
     edge = F.array_contains("own_marks", "message_edge") | (F.col("_editors") > 1)
     outputs_ok = (F.size("_others") > 0) & separate & plain & ~F.array_contains("own_marks", "prose")
     matched = ~edge & F.when(F.size("_others") > 0, outputs_ok).otherwise(execution)
-    first = rows.filter(stop).groupBy(*TURN, "command_node").agg(F.min_by(F.struct("command", matched.alias("ok"), "_others"), "step").alias("f"))
+    first = rows.filter(stop).groupBy(*TURN, "command_node").agg(F.min_by(F.struct("command", matched.alias("ok"), "_others", F.transform("leaves", lambda x: x["n"]).alias("all")), "step").alias("f"))
     # The tool's name: of the execution's marks, else what an outer block says beside the command.
     named = rows.groupBy(*TURN, "command_node").agg(
         F.min_by("tool_name", F.when(execution, F.col("step"))).alias("_tool"), F.bool_or(execution).alias("_explicit"), F.min_by(F.struct("text", "command"), F.when(F.array_contains("own_marks", "pre"), F.col("step"))).alias("_outer")
@@ -132,25 +129,31 @@ def tool_executions(nodes: DataFrame) -> DataFrame:
     output = F.array_join(F.transform("f._others", lambda x: x["t"]), "\n\n")
     kind = F.when(F.col("command").rlike(r"^\s*(?:bash|sh|zsh)\b"), "bash").when(F.col("tool").rlike("(?i)^python"), "python").when(F.col("tool").rlike("(?i)bash|shell|terminal"), "sh").otherwise("text")
     status = F.when(F.size("output_nodes") == 0, "output_not_visible").when(F.col("output") != "", "output_visible").otherwise("empty_output_panel")
-    out = got.select(*TURN, "command_node", "tool", F.col("f.command").alias("command"), output.alias("output"), F.transform("f._others", lambda x: x["n"]).alias("output_nodes"))
+    out = got.select(*TURN, "command_node", "tool", F.col("f.command").alias("command"), output.alias("output"), F.transform("f._others", lambda x: x["n"]).alias("output_nodes"), F.col("f.all").alias("_all"), F.transform("f._others", lambda x: x["t"]).alias("outputs"))
     out = _indexed(out.withColumn("command_language", kind).withColumn("status", status), "command_node")
-    return out.withColumn("hash", fnv1a32(F.concat_ws("\n", "tool", "command", "output")))
+    place = lambda n: (F.array_position("_all", n) - 1).cast("int")
+    out = out.withColumns({
+        "output_kind": F.lit("combined_visible_output"), "exit_code": F.lit(None).cast("int"), "source": F.lit("visible_tool_panel"), "command_block_index": place(F.col("command_node")),
+        "output_block_indices": F.transform("output_nodes", place),
+    })
+    return out.withColumn("hash", fnv1a32(F.concat_ws("\n", "tool", "command", "output"))).drop("_all")
 
 
 def code_blocks(nodes: DataFrame, executions: DataFrame) -> DataFrame:
-    """Leaf blocks (kinds by their part in a tool run), then inline code, then explicit command or terminal nodes; repeats are kept."""
+    """Leaf blocks (kinds by their part in a tool run; `pre_index`: their place among the turn's), then inline code, then explicit command or terminal nodes; repeats are kept."""
     texts = code_texts(nodes).filter("turn_node IS NOT NULL AND code <> ''")
     role = executions.select("doc_id", F.col("command_node").alias("node_id"), F.lit("tool_command").alias("_kind"), F.col("command_language").alias("_language"), F.col("tool").alias("_label")).unionByName(
         executions.select("doc_id", F.explode("output_nodes").alias("node_id"), F.lit("tool_output").alias("_kind"), F.lit("text").alias("_language"), F.concat("tool", F.lit(" · salida visible")).alias("_label"))
     )
-    leaf = code_language(texts.join(leaf_pre(nodes).select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi"), nodes).join(role, ["doc_id", "node_id"], "left")
-    label = F.coalesce("_label", F.nullif(label_near(), F.lit("")))
+    numbered = leaf_pre(nodes).filter("turn_node IS NOT NULL").withColumn("pre_index", F.row_number().over(Window.partitionBy(*TURN).orderBy("node_id")) - 1)
+    leaf = code_language(code_texts(numbered).filter("code <> ''"), nodes).join(role, ["doc_id", "node_id"], "left")
+    label, none = F.coalesce("_label", F.nullif(label_near(), F.lit(""))), F.lit(None).cast("int").alias("pre_index")
     parts = [
-        leaf.select(*TURN, "node_id", F.lit(0).alias("phase"), F.coalesce("_kind", classify_code(F.col("code"), F.col("language"), label_near())).alias("kind"), F.coalesce("_language", "language").alias("language"), label.alias("label"), "code", F.lit("pre").alias("source")),
-        texts.filter((F.col("tag") == "code") & ~within("pre")).select(*TURN, "node_id", F.lit(1).alias("phase"), F.lit("inline_code").alias("kind"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("label"), "code", F.lit("code").alias("source")),
+        leaf.select(*TURN, "node_id", "pre_index", F.lit(0).alias("phase"), F.coalesce("_kind", classify_code(F.col("code"), F.col("language"), label_near())).alias("kind"), F.coalesce("_language", "language").alias("language"), label.alias("label"), "code", F.lit("pre").alias("source")),
+        texts.filter((F.col("tag") == "code") & ~within("pre")).select(*TURN, "node_id", none, F.lit(1).alias("phase"), F.lit("inline_code").alias("kind"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("string").alias("label"), "code", F.lit("code").alias("source")),
     ]
     loose = first_below(texts.filter((has("data-tool-command") | has("data-terminal-output")) & ~within("pre")), nodes.filter("tag = 'pre'"), _pre=F.lit(True)).filter("_pre IS NULL")
-    parts.append(loose.select(*TURN, "node_id", F.lit(2).alias("phase"), F.lit("code").alias("kind"), F.lit("text").alias("language"), F.lit(None).cast("string").alias("label"), "code", F.lit("explicit_monospace_fallback").alias("source")))
+    parts.append(loose.select(*TURN, "node_id", none, F.lit(2).alias("phase"), F.lit("code").alias("kind"), F.lit("text").alias("language"), F.lit(None).cast("string").alias("label"), "code", F.lit("explicit_monospace_fallback").alias("source")))
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     index = F.row_number().over(Window.partitionBy(*TURN).orderBy("phase", "node_id")) - 1
     told = F.when(F.col("source") == "code", F.col("code")).when(F.col("source") == "pre", F.concat_ws("\n", "kind", "language", "code")).otherwise(F.col("code"))

@@ -12,11 +12,13 @@ from html.parser import HTMLParser
 from urllib.parse import unquote, urljoin
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, fnv1a32
 from ..functions.urls import SECRET_KEY
+from ..shared import materialise
 from . import extract as X
 from . import turns as U
 from .dom import ENDED_BY, LIMITS, VOID, attr, has
@@ -316,40 +318,48 @@ def local_urls(pages: DataFrame, html: str = "html", pairs: str = "pairs") -> Da
     return _with_text(pages, [html, pairs], "local", lambda h, p: with_local_urls(h, {x["url"]: x["path"] for x in p or []}))
 
 
-def _lists(rows: DataFrame, name: str) -> DataFrame:
-    """The facts of each turn as one ordered array."""
-    columns = [c for c in rows.columns if c not in (*X.TURN, "index")]
-    got = rows.groupBy(*X.TURN).agg(F.array_sort(F.collect_list(F.struct("index", F.struct(*columns).alias("f")))).alias("l"))
-    return got.select(*X.TURN, F.transform("l", lambda x: x["f"]).alias(name))
+def by_page(nodes: DataFrame) -> DataFrame:
+    """Nodes dealt out by their page, once, and kept so: every window, join and group within pages reads them where they lie."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.repartition(n, "doc_id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def turn_snapshots(nodes: DataFrame, platforms: DataFrame, base: Column, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def turn_facts(parts: dict[str, DataFrame]) -> DataFrame:
+    """The facts of each turn as one ordered array for each kind: all kinds are one stream of tagged rows, and one group per turn gathers them."""
+    stream = None
+    for name, rows in parts.items():
+        columns = [c for c in rows.columns if c not in (*X.TURN, "index")]
+        tagged = rows.select(*X.TURN, F.struct("index", F.struct(*columns).alias("f")).alias(name))
+        stream = tagged if stream is None else stream.unionByName(tagged, allowMissingColumns=True)
+    got = stream.groupBy(*X.TURN).agg(*[F.array_sort(F.collect_list(name)).alias(name) for name in parts])
+    return got.select(*X.TURN, *[F.transform(name, lambda x: x["f"]).alias(name) for name in parts])
+
+
+def turn_snapshots(nodes: DataFrame, platforms: DataFrame, base: Column) -> DataFrame:
     """A record per turn of each page: identity, role, texts, and arrays of its facts.
 
-    Nodes, turns and tool runs are each read many times: `keep` may write them as tables.
+    Pages are scanned once and dealt out once (see `by_page`); what follows stays within a page. Give nodes that `by_page` has kept to share them.
     """
-    nodes = keep(nodes)
-    turns = keep(U.turn_elements(nodes, platforms))
-    named = U.stable_turn_id(U.detect_role(turns, nodes).join(platforms, "doc_id"), nodes, F.col("platform"))
-    named = keep(U.with_material(U.model_slug(named, nodes), nodes).filter("has_material"))
-    placed = keep(U.nearest_turn(nodes, turns))
-    runs = keep(X.tool_executions(placed))
-    parts = {
+    if not nodes.storageLevel.useDisk:
+        nodes = by_page(nodes)
+    turns = materialise(U.turn_elements(nodes, platforms), "turn-elements")
+    named = U.identified(turns, nodes, platforms).filter("has_material")
+    placed = U.nearest_turn(nodes, turns).filter("turn_node IS NOT NULL").persist(StorageLevel.MEMORY_AND_DISK)
+    runs = materialise(X.tool_executions(placed), "tool-executions")
+    facts = turn_facts({
         "code_blocks": X.code_blocks(placed, runs), "tool_executions": runs.drop("command_node", "output_nodes"), "expandables": X.expandables(placed), "activities": X.activities(placed),
-        "links": X.links(placed.filter("turn_node IS NOT NULL"), base), "files": X.linked_files(placed, base), "media": X.media(placed, base), "interactive": X.interactive(placed),
-    }
+        "links": X.links(placed, base), "files": X.linked_files(placed, base), "media": X.media(placed, base), "interactive": X.interactive(placed),
+    })
     text, every = clean_text(F.col("inner_text")), clean_text(F.col("text"))
     out = named.select("doc_id", F.col("node_id").alias("turn_node"), "turn_id", "role", "model", U.order_hint().alias("order_hint"), text.alias("text"), F.when(text != every, every).alias("all_text"), every.alias("_every"), "mounted")
-    for name, rows in parts.items():
-        got = keep(_lists(rows, name))
-        out = out.join(got, list(X.TURN), "left").withColumn(name, F.coalesce(name, F.array().cast(got.schema[name].dataType)))
+    out = out.join(facts, list(X.TURN), "left").withColumns({c: F.coalesce(c, F.array().cast(facts.schema[c].dataType)) for c in facts.columns if c not in X.TURN})
     states = F.array_join(F.transform("expandables", lambda e: F.concat(F.coalesce(e["label"], F.lit("null")), F.lit(":"), e["expanded"].cast("string"))), "|")
     print_ = F.concat_ws("|", "role", "_every", F.array_join(F.transform("code_blocks", lambda b: b["hash"]), ","), states)
     return out.withColumn("dom_fingerprint", fnv1a32(print_)).drop("_every")
 
 
 def page_summary(nodes: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Preview counts per page. Expandables are counted as nodes here, not as distinct ones."""
+    """Preview counts per page. Expandables are counted as nodes here, not as distinct ones. Nodes kept by `by_page` are scanned once for all."""
     total = lambda c: F.sum(F.size(c)).cast("long")
     got = snapshots.groupBy("doc_id").agg(F.count("*").alias("turns"), F.count_if("mounted").alias("mounted_turns"), total("code_blocks").alias("code_blocks"), total("tool_executions").alias("tool_executions"), total("media").alias("media"), total("files").alias("files"))
     shells = U.turn_shells(nodes).groupBy("doc_id").agg(F.count("*").alias("persistent_shells"))

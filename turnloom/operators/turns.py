@@ -90,31 +90,44 @@ def _true(c: Column) -> Column:
     return F.when(c, True)
 
 
-def detect_role(turns: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`role` of each turn by ordered rules: own attributes, the first role below, message classes, words of its name, unknown."""
-    asked = nodes.filter(has("data-message-author-role") | is_("user_message") | is_("assistant_message"))
-    rows = first_below(turns, asked, _nested=_some(F.lower(attr("data-message-author-role"))), _user=_true(is_("user_message")), _assistant=_true(is_("assistant_message")))
+def _role_values() -> dict[str, Column]:
+    return {"_nested": _some(F.lower(attr("data-message-author-role"))), "_user": _true(is_("user_message")), "_assistant": _true(is_("assistant_message"))}
+
+
+def _role() -> Column:
     direct = F.lower(F.coalesce(F.nullif(attr("data-turn"), F.lit("")), F.nullif(attr("data-message-author-role"), F.lit("")), attr("data-role"), F.lit("")))
     nested, name = text_or_empty(F.col("_nested")), F.lower(text_or_empty(attr("aria-label")))
-    role = (
+    return (
         F.when(direct.contains("user") | direct.contains("human"), "user").when(direct.contains("assistant") | direct.contains("ai"), "assistant")
         .when(nested.contains("user"), "user").when(nested.contains("assistant"), "assistant")
         .when(is_("user_message") | F.coalesce("_user", F.lit(False)), "user").when(is_("assistant_message") | F.coalesce("_assistant", F.lit(False)), "assistant")
         .when(name.rlike(USER_WORDS), "user").when(name.rlike(ASSISTANT_WORDS), "assistant").otherwise("unknown")
     )
-    return rows.withColumn("role", role).drop("_nested", "_user", "_assistant")
 
 
-def stable_turn_id(turns: DataFrame, nodes: DataFrame, platform: Column) -> DataFrame:
-    """`turn_id`: own attributes in order, then descendants', then a hash of role and text, then the node's number. Needs `role`."""
-    asked = nodes.filter(has("data-message-id") | has("data-turn-id") | test_id().startswith("conversation-turn-") | has("data-test-render-count"))
+def detect_role(turns: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`role` of each turn by ordered rules: own attributes, the first role below, message classes, words of its name, unknown."""
+    asked = nodes.filter(has("data-message-author-role") | is_("user_message") | is_("assistant_message"))
+    return first_below(turns, asked, **(values := _role_values())).withColumn("role", _role()).drop(*values)
+
+
+def _id_values() -> dict[str, Column]:
     value = {a: attr(a) if a != "data-testid" else F.when(test_id().startswith("conversation-turn-"), test_id()) for a, _ in ID_DESCENDANTS}
-    rows = first_below(turns, asked, **{f"_{label}": _some(value[a]) for a, label in ID_DESCENDANTS})
+    return {f"_{label}": _some(value[a]) for a, label in ID_DESCENDANTS}
+
+
+def _turn_id(platform: Column) -> Column:
     own = [F.when(text_or_empty(attr(a)).isin("", "user", "assistant"), None).otherwise(F.concat(platform, F.lit(f":{a}:"), attr(a))) for a in ID_ATTRIBUTES]
     nested = [F.concat(platform, F.lit(f":{label}:"), F.col(f"_{label}")) for _, label in ID_DESCENDANTS]
     text = clean_text(F.col("text"))
     content = F.when(text != "", F.concat(platform, F.lit(":content:"), "role", F.lit(":"), fnv1a32(F.substring(text, 1, ID_TEXT))))
-    return rows.withColumn("turn_id", F.coalesce(*own, *nested, content, F.concat(platform, F.lit(":node:"), F.col("node_id")))).drop(*[f"_{label}" for _, label in ID_DESCENDANTS])
+    return F.coalesce(*own, *nested, content, F.concat(platform, F.lit(":node:"), F.col("node_id")))
+
+
+def stable_turn_id(turns: DataFrame, nodes: DataFrame, platform: Column) -> DataFrame:
+    """`turn_id`: own attributes in order, then descendants', then a hash of role and text, then the node's number. Needs `role`."""
+    asked = nodes.filter(has("data-message-id") | has("data-turn-id") | test_id().startswith("conversation-turn-") | has("data-test-render-count"))
+    return first_below(turns, asked, **(values := _id_values())).withColumn("turn_id", _turn_id(platform)).drop(*values)
 
 
 def order_hint() -> Column:
@@ -123,18 +136,43 @@ def order_hint() -> Column:
     return F.coalesce(F.nullif(n, F.lit("")), count).try_cast("int")
 
 
+def _model_values() -> dict[str, Column]:
+    return {"_model": _some(attr("data-message-model-slug"))}
+
+
+def _model() -> Column:
+    return F.coalesce(F.nullif(attr("data-message-model-slug"), F.lit("")), "_model")
+
+
 def model_slug(turns: DataFrame, nodes: DataFrame) -> DataFrame:
     """`model`: the turn's own slug or the first below it."""
-    rows = first_below(turns, nodes.filter(has("data-message-model-slug")), _model=_some(attr("data-message-model-slug")))
-    return rows.withColumn("model", F.coalesce(F.nullif(attr("data-message-model-slug"), F.lit("")), "_model")).drop("_model")
+    return first_below(turns, nodes.filter(has("data-message-model-slug")), **_model_values()).withColumn("model", _model()).drop("_model")
 
 
-def with_material(turns: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`has_material`: text, or media, code or a tool below; `mounted`: text, or one of the nodes that show that content has come."""
+def _material_values() -> dict[str, Column]:
     material = F.col("tag").isin(*MATERIAL_TAGS) | test_id().rlike(MATERIAL_TESTS)
     mounted = has("data-message-author-role") | is_("prose") | F.col("tag").isin("pre", "img") | test_id().rlike(MATERIAL_TESTS)
-    rows, text = first_below(turns, nodes.filter(material | mounted), _a=_true(material), _b=_true(mounted)), clean_text(F.col("text")) != ""
-    return rows.withColumn("has_material", text | F.coalesce("_a", F.lit(False))).withColumn("mounted", text | F.coalesce("_b", F.lit(False))).drop("_a", "_b")
+    return {"_material": _true(material), "_mounted": _true(mounted)}
+
+
+def _material() -> dict[str, Column]:
+    text = clean_text(F.col("text")) != ""
+    return {"has_material": text | F.coalesce("_material", F.lit(False)), "mounted": text | F.coalesce("_mounted", F.lit(False))}
+
+
+def with_material(turns: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`has_material`: text, or media, code or a tool below; `mounted`: text, or one of the nodes that show that content has come."""
+    values = _material_values()
+    asked = nodes.filter(F.coalesce(*values.values()).isNotNull())
+    return first_below(turns, asked, **values).withColumns(_material()).drop(*values)
+
+
+def identified(turns: DataFrame, nodes: DataFrame, platforms: DataFrame) -> DataFrame:
+    """`role`, `turn_id`, `model`, `has_material` and `mounted` of each turn, as the functions above give them, from one pass over the pages."""
+    values = _role_values() | _id_values() | _model_values() | _material_values()
+    asked = nodes.filter(F.coalesce(*[v.cast("string") for v in values.values()]).isNotNull())
+    rows = first_below(turns, asked, **values).join(platforms, "doc_id").withColumn("role", _role())
+    return rows.withColumn("turn_id", _turn_id(F.col("platform"))).withColumns({"model": _model(), **_material()}).drop(*values)
 
 
 def nearest_turn(nodes: DataFrame, turns: DataFrame) -> DataFrame:

@@ -19,10 +19,11 @@ BASE = "https://chatgpt.com/c/x"
 
 
 def made(spark, sf_dir) -> DataFrame:
-    """(conv_id, html): a page per conversation. A turn has its text; each third a code block, 1 of 4 a tool panel, each second a link, 2 of 4 a picture, 3 of 4 buttons."""
+    """(conv_id, html): a page per conversation. A turn has its text; each third a code block, the next of three one of editor lines labelled by a div, 1 of 4 a tool panel, each second a link, 2 of 4 a picture, 3 of 4 buttons."""
     rows, t = given(spark, sf_dir, "conversations"), F.col("turn")
     n = t.cast("string")
     code = F.concat(F.lit('<p>Example in</p><pre><code class="language-python">print('), n, F.lit(")\nx = 1</code></pre>"))
+    editor = F.concat(F.lit('<div class="box"><div class="flex">bash</div><pre><div class="cm-scroller"><div class="cm-line">echo '), n, F.lit('</div><div class="cm-line">ls</div></div></pre></div>'))
     tool = F.concat(
         F.lit('<details open><summary>Ran code</summary><div data-tool-execution data-tool-name="Python"><pre data-tool-command><code>python run.py '), n, F.lit("</code></pre><div><pre>out "), n, F.lit("</pre></div></div></details>")
     )
@@ -32,7 +33,7 @@ def made(spark, sf_dir) -> DataFrame:
     when = lambda c, x: F.when(c, x).otherwise("")
     section = F.concat(
         F.lit('<section data-testid="conversation-turn-'), n, F.lit('" data-turn="'), "role", F.lit('" data-message-model-slug="model-'), (t % 2).cast("string"), F.lit('"><div class="text"><p class="said">'), escape_html(F.col("text")), F.lit("</p></div>"),
-        when(t % 3 == 0, code), when(t % 4 == 1, tool), when(t % 2 == 0, link), when(t % 4 == 2, picture), when(t % 4 == 3, buttons), F.lit("</section>"),
+        when(t % 3 == 0, code), when(t % 3 == 1, editor), when(t % 4 == 1, tool), when(t % 2 == 0, link), when(t % 4 == 2, picture), when(t % 4 == 3, buttons), F.lit("</section>"),
     )
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", section.alias("s")))), lambda x: x["s"]), "\n")
     head = F.concat(F.lit("<!doctype html><html><head><title>Talk "), F.col("conv_id").cast("string"), F.lit(" - ChatGPT</title></head><body><main>"))
@@ -63,9 +64,9 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def facts(spark, sf_dir, f, *columns: str) -> DataFrame:
-    """The facts that f finds in nodes under their turns; pages are parsed once, into a table that is read many times."""
-    n = kept(nodes(spark, sf_dir))
-    return keyed(f(kept(U.nearest_turn(n, U.turn_shells(n)))), n, *columns)
+    """The facts that f finds in nodes under their turns; pages are scanned and dealt out once, and read where they lie."""
+    n = K.by_page(nodes(spark, sf_dir))
+    return keyed(f(U.nearest_turn(n, U.turn_shells(n)).persist()), n, *columns)
 
 
 @query("dom_nodes", "SELECT page_id AS doc_id, CAST(len(regexp_extract_all(regexp_replace(html, '<(script|style|title)>[^<]*', '<\\1>', 'g'), '<p>')) AS bigint) AS paragraphs, CAST(len(regexp_extract_all(html, '<a ')) AS bigint) AS anchors, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, array_to_string(list_transform(regexp_extract_all(html, '<a [^>]*>([^<]*)', 1), lambda x: x), '|') AS anchor_texts, array_to_string(regexp_extract_all(html, '<a href=\"([^\"]*)', 1), '|') AS anchor_hrefs FROM pages")
@@ -176,6 +177,7 @@ query("turn_mounted", "SELECT conv_id AS doc_id, turn FROM conversations WHERE t
 
 
 CODE_SQL = """(SELECT conv_id, turn, 0 AS ord, 'code' AS kind, 'python' AS language, 'print(' || turn || ')' || chr(10) || 'x = 1' AS text, 'pre' AS source, 'Example in' AS label FROM conversations WHERE turn % 3 = 0
+    UNION ALL SELECT conv_id, turn, 0, 'shell_code', 'bash', 'echo ' || turn || chr(10) || 'ls', 'pre', 'bash' FROM conversations WHERE turn % 3 = 1
     UNION ALL SELECT conv_id, turn, 1, 'tool_command', 'python', 'python run.py ' || turn, 'pre', 'Python' FROM conversations WHERE turn % 4 = 1 UNION ALL SELECT conv_id, turn, 2, 'tool_output', 'text', 'out ' || turn, 'pre', 'Python · salida visible' FROM conversations WHERE turn % 4 = 1)"""
 
 
@@ -188,12 +190,12 @@ def code_text(spark, sf_dir):
     return facts(spark, sf_dir, lambda n: X.code_texts(n).filter("tag = 'pre'"), "code")
 
 
-@query("leaf_pre", "SELECT conv_id, turn, CAST(CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN turn % 4 = 1 THEN 2 ELSE 0 END AS bigint) AS leaves FROM conversations WHERE turn % 3 = 0 OR turn % 4 = 1")
+@query("leaf_pre", "SELECT conv_id, turn, CAST(CASE WHEN turn % 3 < 2 THEN 1 ELSE 0 END + CASE WHEN turn % 4 = 1 THEN 2 ELSE 0 END AS bigint) AS leaves FROM conversations WHERE turn % 3 < 2 OR turn % 4 = 1")
 def leaf_pre(spark, sf_dir):
     return facts(spark, sf_dir, lambda n: X.leaf_pre(n)).groupBy("conv_id", "turn").agg(F.count("*").alias("leaves"))
 
 
-@query("code_language", "SELECT conv_id, turn, 'python' AS language FROM conversations WHERE turn % 3 = 0")
+@query("code_language", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'python' ELSE 'bash' END AS language FROM conversations WHERE turn % 3 < 2")
 def code_language(spark, sf_dir):
     return facts(spark, sf_dir, lambda n: X.code_language(X.leaf_pre(n).filter("NOT array_contains(marks, 'execution')"), n), "language")
 
@@ -208,14 +210,15 @@ def classify_code(spark, sf_dir):
     return given(spark, sf_dir, "conversations").select("conv_id", "turn", X.classify_code(text, F.when(t == 1, "zsh").otherwise("text"), F.lit("")).alias("kind"))
 
 
-@query("tool_executions", f"SELECT conv_id, turn, 0 AS index, 'Python' AS tool, 'python run.py ' || turn AS command, 'python' AS command_language, 'out ' || turn AS output, 'output_visible' AS status, {FNV_OF.format("concat('Python', chr(10), 'python run.py ', turn, chr(10), 'out ', turn)")} AS hash FROM conversations WHERE turn % 4 = 1")
+@query("tool_executions", f"SELECT conv_id, turn, 0 AS index, 'Python' AS tool, 'python run.py ' || turn AS command, 'python' AS command_language, 'out ' || turn AS output, 'output_visible' AS status, {FNV_OF.format("concat('Python', chr(10), 'python run.py ', turn, chr(10), 'out ', turn)")} AS hash, 'out ' || turn AS outputs, 'combined_visible_output' AS output_kind, CAST(NULL AS int) AS exit_code, 'visible_tool_panel' AS source, CAST(CASE WHEN turn % 3 < 2 THEN 1 ELSE 0 END AS int) AS command_block_index, CAST(CASE WHEN turn % 3 < 2 THEN 2 ELSE 1 END AS varchar) AS output_block_indices FROM conversations WHERE turn % 4 = 1")
 def tool_executions(spark, sf_dir):
-    return facts(spark, sf_dir, ran, "index", "tool", "command", "command_language", "output", "status", "hash")
+    rows = facts(spark, sf_dir, ran, "index", "tool", "command", "command_language", "output", "status", "hash", "outputs", "output_kind", "exit_code", "source", "command_block_index", "output_block_indices")
+    return rows.withColumns({"outputs": F.array_join("outputs", "|"), "output_block_indices": F.array_join(F.col("output_block_indices").cast("array<string>"), "|")})
 
 
-@query("code_blocks", f"SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY ord) - 1 AS int) AS index, kind, language, label, text, source, {FNV_OF.format('concat(kind, chr(10), language, chr(10), text)')} AS hash FROM {CODE_SQL} c")
+@query("code_blocks", f"SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY ord) - 1 AS int) AS index, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY ord) - 1 AS int) AS pre_index, kind, language, label, text, source, {FNV_OF.format('concat(kind, chr(10), language, chr(10), text)')} AS hash FROM {CODE_SQL} c")
 def code_blocks(spark, sf_dir):
-    return facts(spark, sf_dir, lambda n: X.code_blocks(n, kept(ran(n))), "index", "kind", "language", "label", "text", "source", "hash")
+    return facts(spark, sf_dir, lambda n: X.code_blocks(n, kept(ran(n))), "index", "pre_index", "kind", "language", "label", "text", "source", "hash")
 
 
 @query("expandables", "SELECT conv_id, turn, 'Ran code' AS label, true AS expanded FROM conversations WHERE turn % 4 = 1 UNION ALL SELECT conv_id, turn, 'Thought', false FROM conversations WHERE turn % 4 = 3")
@@ -261,16 +264,16 @@ def disclosure_candidates(spark, sf_dir):
     return facts(spark, sf_dir, lambda n: X.disclosure_candidates(n).withColumn("label", F.lower("label")), "label", "likely")
 
 
-def snapshots(spark, sf_dir) -> DataFrame:
+def snapshots(spark, sf_dir, n: DataFrame | None = None) -> DataFrame:
     ids = given(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit("chatgpt").alias("platform")).distinct()
-    return K.turn_snapshots(nodes(spark, sf_dir), ids, F.lit(BASE), kept)
+    return K.turn_snapshots(nodes(spark, sf_dir) if n is None else n, ids, F.lit(BASE))
 
 
 @query(
     "turn_snapshot",
-    """SELECT conv_id AS doc_id, 'chatgpt:data-testid:conversation-turn-' || turn AS turn_id, CASE WHEN role = 'system' THEN 'unknown' ELSE role END AS role, 'model-' || (turn % 2) AS model, CAST(turn AS int) AS order_hint, CAST(CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN turn % 4 = 1 THEN 2 ELSE 0 END AS int) AS code_blocks, CAST(CASE WHEN turn % 4 = 1 THEN 1 ELSE 0 END AS int) AS tool_executions,
+    """SELECT conv_id AS doc_id, 'chatgpt:data-testid:conversation-turn-' || turn AS turn_id, CASE WHEN role = 'system' THEN 'unknown' ELSE role END AS role, 'model-' || (turn % 2) AS model, CAST(turn AS int) AS order_hint, CAST(CASE WHEN turn % 3 < 2 THEN 1 ELSE 0 END + CASE WHEN turn % 4 = 1 THEN 2 ELSE 0 END AS int) AS code_blocks, CAST(CASE WHEN turn % 4 = 1 THEN 1 ELSE 0 END AS int) AS tool_executions,
     CAST(CASE WHEN turn % 4 IN (1, 3) THEN 1 ELSE 0 END AS int) AS expandables, CAST(CASE WHEN turn % 4 IN (1, 3) THEN 1 ELSE 0 END AS int) AS activities, CAST(CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS int) AS links, CAST(CASE WHEN turn % 2 = 0 THEN 2 WHEN turn % 4 = 3 THEN 1 ELSE 0 END AS int) AS files, CAST(CASE WHEN turn % 4 = 2 THEN 2 ELSE 0 END AS int) AS media,
-    concat_ws('|', CASE WHEN turn % 3 = 0 THEN 'code:python:print(' || turn || ')' || chr(10) || 'x = 1' END, CASE WHEN turn % 4 = 1 THEN 'tool_command:python:python run.py ' || turn || '|tool_output:text:out ' || turn END) AS codes, CASE WHEN turn % 4 = 1 THEN 'Python:output_visible:python run.py ' || turn || ':out ' || turn ELSE '' END AS runs,
+    concat_ws('|', CASE WHEN turn % 3 = 0 THEN 'code:python:print(' || turn || ')' || chr(10) || 'x = 1' WHEN turn % 3 = 1 THEN 'shell_code:bash:echo ' || turn || chr(10) || 'ls' END, CASE WHEN turn % 4 = 1 THEN 'tool_command:python:python run.py ' || turn || '|tool_output:text:out ' || turn END) AS codes, CASE WHEN turn % 4 = 1 THEN 'Python:output_visible:python run.py ' || turn || ':out ' || turn ELSE '' END AS runs,
     CASE WHEN turn % 2 = 0 THEN 'Report ' || turn || '=https://chatgpt.com/files/' || turn || '.pdf?token=s' ELSE '' END AS hrefs, CASE WHEN turn % 4 = 2 THEN 'https://img.example.org/' || turn || '.png|https://chatgpt.com/favicon.ico' ELSE '' END AS pictures, CASE turn % 4 WHEN 1 THEN 'Ran code:true' WHEN 3 THEN 'Thought:false' ELSE '' END AS states FROM conversations""",
 )
 def turn_snapshot(spark, sf_dir):
@@ -284,9 +287,9 @@ def turn_snapshot(spark, sf_dir):
 
 
 #: All text of a turn as `made` writes it, and the hashes of its code.
-WHOLE_SQL = """trim(text) || CASE WHEN turn % 3 = 0 THEN 'Example inprint(' || turn || ')' || chr(10) || 'x = 1' ELSE '' END || CASE WHEN turn % 4 = 1 THEN 'Ran codepython run.py ' || turn || 'out ' || turn ELSE '' END ||
+WHOLE_SQL = """trim(text) || CASE turn % 3 WHEN 0 THEN 'Example inprint(' || turn || ')' || chr(10) || 'x = 1' WHEN 1 THEN 'bashecho ' || turn || 'ls' ELSE '' END || CASE WHEN turn % 4 = 1 THEN 'Ran codepython run.py ' || turn || 'out ' || turn ELSE '' END ||
     CASE WHEN turn % 2 = 0 THEN 'Report ' || turn || 'Report ' || turn || 'no' ELSE '' END || CASE WHEN turn % 4 = 3 THEN 'ThoughtCopyGo' ELSE '' END"""
-HASHES_SQL = f"""concat_ws(',', CASE WHEN turn % 3 = 0 THEN {FNV_OF.format("concat('code', chr(10), 'python', chr(10), 'print(', turn, ')', chr(10), 'x = 1')")} END,
+HASHES_SQL = f"""concat_ws(',', CASE WHEN turn % 3 = 0 THEN {FNV_OF.format("concat('code', chr(10), 'python', chr(10), 'print(', turn, ')', chr(10), 'x = 1')")} WHEN turn % 3 = 1 THEN {FNV_OF.format("concat('shell_code', chr(10), 'bash', chr(10), 'echo ', turn, chr(10), 'ls')")} END,
     CASE WHEN turn % 4 = 1 THEN {FNV_OF.format("concat('tool_command', chr(10), 'python', chr(10), 'python run.py ', turn)")} || ',' || {FNV_OF.format("concat('tool_output', chr(10), 'text', chr(10), 'out ', turn)")} END)"""
 PRINT_SQL = f"concat_ws('|', CASE WHEN role = 'system' THEN 'unknown' ELSE role END, {WHOLE_SQL}, {HASHES_SQL}, CASE turn % 4 WHEN 1 THEN 'Ran code:true' WHEN 3 THEN 'Thought:false' ELSE '' END)"
 
@@ -298,12 +301,12 @@ def dom_fingerprint(spark, sf_dir):
 
 @query(
     "page_summary",
-    """SELECT conv_id AS doc_id, count(*) AS turns, count(*) AS mounted_turns, count(*) AS persistent_shells, CAST(sum(CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN turn % 4 = 1 THEN 2 ELSE 0 END) AS bigint) AS code_blocks, count(*) FILTER (turn % 4 = 1) AS tool_executions,
+    """SELECT conv_id AS doc_id, count(*) AS turns, count(*) AS mounted_turns, count(*) AS persistent_shells, CAST(sum(CASE WHEN turn % 3 < 2 THEN 1 ELSE 0 END + CASE WHEN turn % 4 = 1 THEN 2 ELSE 0 END) AS bigint) AS code_blocks, count(*) FILTER (turn % 4 = 1) AS tool_executions,
     CAST(sum(CASE WHEN turn % 4 = 2 THEN 2 ELSE 0 END) AS bigint) AS media, CAST(sum(CASE WHEN turn % 2 = 0 THEN 2 WHEN turn % 4 = 3 THEN 1 ELSE 0 END) AS bigint) AS files, count(*) FILTER (turn % 4 IN (1, 3)) AS expandables FROM conversations GROUP BY conv_id""",
 )
 def page_summary(spark, sf_dir):
-    n = nodes(spark, sf_dir)
-    return K.page_summary(n, snapshots(spark, sf_dir))
+    n = K.by_page(nodes(spark, sf_dir))
+    return K.page_summary(n, snapshots(spark, sf_dir, n))
 
 
 @query("sanitize_html", "SELECT page_id, false AS active, CAST(len(regexp_extract_all(html, '<a ')) AS bigint) AS anchors, CAST(len(regexp_extract_all(html, '<li>')) AS bigint) AS items FROM pages")
