@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import navigation_key
 from ..shared import new_path
 from ..streaming import live as L
+from ..streaming import stateful as S
 from .catalog import given, query
 
 GAP = "30 minutes"
@@ -56,17 +58,45 @@ def live_signature(spark, sf_dir):
     return given(spark, sf_dir, "conversations").select("conv_id", "turn", L.live_signature(pieces).alias("value"))
 
 
+def tabs(rows: DataFrame) -> DataFrame:
+    """Changes with the tab and the page that it shows: a tab goes to another page now and then, and comes back to it."""
+    return rows.select(F.concat(F.lit("tab"), F.col("turn_id").cast("long") % 50).alias("tab"), navigation_key(F.concat(F.lit("HTTPS://Chat.example/c/"), F.floor(F.unix_seconds("ts") / 86_400) % 2, F.lit("?tab="), "event_id")).alias("page"), "turn_id", "event_id", "ts", "signature", "empty")
+
+
 @query(
     "stream_reset_on_navigation",
-    """SELECT turn_id, event_id FROM (SELECT *, lag(signature) OVER (PARTITION BY turn_id ORDER BY ts, event_id) AS before FROM (SELECT 'https://chat.example/c/' || (event_id % 3) || '#' || turn_id AS turn_id, event_id, ts, signature FROM {changes} c) k) d WHERE before IS NULL OR before <> signature""",
+    """SELECT tab, page, turn_id, event_id FROM (SELECT *, lag(signature) OVER (PARTITION BY tab, visit, turn_id ORDER BY ts, event_id) AS before FROM
+    (SELECT *, sum(fresh) OVER (PARTITION BY tab ORDER BY ts, event_id) AS visit FROM (SELECT *, CASE WHEN lag(page) OVER (PARTITION BY tab ORDER BY ts, event_id) = page THEN 0 ELSE 1 END AS fresh FROM
+    (SELECT 'tab' || (user_id % 50) AS tab, 'https://chat.example/c/' || CAST(floor(epoch(ts) / 86400) AS bigint) % 2 AS page, CAST(user_id AS varchar) AS turn_id, event_id, ts, event_type AS signature FROM events) a) b) c) d
+    WHERE (before IS NULL OR before <> signature) AND epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)""",
 )
 def stream_reset_on_navigation(spark, sf_dir):
-    rows = given(spark, sf_dir, "changes").withColumn("url", F.concat(F.lit("HTTPS://Chat.example/c/"), F.col("event_id") % 3, F.lit("?tab="), "event_id"))
-    return L.live_dedupe(L.per_navigation(rows)).select("turn_id", "event_id")
+    """A stream to the end of its input: what the watermark has passed by then has come out."""
+    return _written(S.stream_navigation(tabs(changes_stream(spark, sf_dir)), silent=None), "stream-navigation").select("tab", "page", "turn_id", "event_id")
+
+
+@query("stream_evicted")
+def stream_evicted(spark, sf_dir):
+    """Removed turns of each tab, at most 2 in: the exact queue, as a stream. A test holds it against a sequential reading."""
+    return S.evicted_state(_written(S.stream_evicted(tabs(changes_stream(spark, sf_dir)), "tab", 2), "stream-evicted"))
+
+
+@query("stream_live_chain")
+def stream_live_chain(spark, sf_dir):
+    """Changed signatures of a visit that hold something, the last of each burst: one stream with two stateful operators. A test holds it against the batch chain."""
+    return _written(S.live_chain(tabs(changes_stream(spark, sf_dir)), gap=GAP), "stream-chain")
+
+
+def _written(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream in append mode gives until its input ends, read back under its schema."""
+    to = new_path(stream.sparkSession, name)
+    stream.writeStream.outputMode("append").format("parquet").option("path", f"{to}/rows").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{to}/rows")
 
 
 def changes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events' files as a stream of changes, with a watermark."""
+    S.with_rocksdb(spark)
     path = f"{sf_dir}/events.parquet"
     rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, so that a single file will do
     rows = rows.selectExpr("event_id", "CAST(ts AS timestamp) AS ts", "CAST(user_id AS string) AS turn_id", "event_type AS signature", "event_type = 'view' AS empty", "value AS score")
