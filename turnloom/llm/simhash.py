@@ -205,7 +205,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """
     rows = materialise(fingerprints(docs, key, text), "fingerprints")
     named = rows.filter("doc_id IS NOT NULL").join(_rooted(rows), "fp").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k"))
-    keep = named.select(F.col("k.doc_id").alias("_keep_id"), F.col("k.text_hash").alias("_keep_hash")).distinct()
-    hashed = docs.withColumn("_text_hash", F.xxhash64(text))
-    kept = hashed.join(keep, (F.col(key) == F.col("_keep_id")) & (F.col("_text_hash") == F.col("_keep_hash")), "left_semi")
-    return kept.dropDuplicates([key, "_text_hash"]).drop("_text_hash").unionByName(docs.filter(F.col(key).isNull()))
+    own = "kept"  # a column of its own, whatever the documents' are called
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
+    keep = named.select(F.col("k.doc_id").alias(f"{own}1"), F.col("k.text_hash").alias(f"{own}2")).distinct()
+    hashed = docs.withColumn(f"{own}3", F.xxhash64(text))
+    kept = hashed.join(keep, (F.col(key) == F.col(f"{own}1")) & (F.col(f"{own}3") == F.col(f"{own}2")), "left_semi")
+    return kept.dropDuplicates([key, f"{own}3"]).drop(f"{own}3").unionByName(docs.filter(F.col(key).isNull()))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -35,13 +36,19 @@ def record_uri(page_id: int | None, sha1: str) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, revisit: int | None, is_revisit: bool) -> bytes:
-    """A WARC/1.1 record. A revisit's block is the HTTP head alone, whose Content-Length stays that of the full payload."""
+    """A WARC/1.1 record. A revisit's block is the HTTP head alone, whose Content-Length stays that of the full payload.
+
+    A url that a head line cannot hold as it is (null, or with white space beside or inside it) stands in X-Page-URL, too: base64, or a dash for null.
+    """
+    uri = re.sub(r"\s+", "%20", (url or "").strip())
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = {
         "WARC-Type": "revisit" if is_revisit else "response", "WARC-Record-ID": record_uri(page_id, sha1), "WARC-Date": "1970-01-01T00:00:00Z",
-        "WARC-Target-URI": " ".join((url or "").split()), "WARC-Payload-Digest": f"sha1:{sha1}", "Content-Type": "application/http; msgtype=response",
+        "WARC-Target-URI": uri, "WARC-Payload-Digest": f"sha1:{sha1}", "Content-Type": "application/http; msgtype=response",
         "X-Page-ID": "" if page_id is None else str(page_id),
     }
+    if uri != url:
+        head["X-Page-URL"] = "-" if url is None else "=" + base64.b64encode(url.encode()).decode()
     if is_revisit:
         head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": record_uri(revisit, sha1), "X-Refers-To-Page-ID": "" if revisit is None else str(revisit)}
     block = http if is_revisit else http + payload
@@ -49,6 +56,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, revi
     return f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
 
 
+def url_of(head: dict[str, str]) -> str | None:
+    """The url of a record's page, as it was given."""
+    kept = head.get("x-page-url")
+    return head["warc-target-uri"] if kept is None else None if kept == "-" else base64.b64decode(kept[1:]).decode()
+
+
 def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     """(WARC head, HTTP head, body) of one record; names in lower case."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -179,7 +192,7 @@ def read_warcs(index: DataFrame) -> DataFrame:
                     if head["warc-type"] == "response" and (len(body) != n or digest(body) != sha1):
                         raise ValueError(f"{path}: a payload differs from its digest")
                     to = head.get("x-refers-to-page-id")
-                    rows.append(dict(zip(kept, (int(x) if (x := head["x-page-id"]) else None, head["warc-target-uri"], n, sha1, head["warc-type"], int(to) if to else None), strict=True)))
+                    rows.append(dict(zip(kept, (int(x) if (x := head["x-page-id"]) else None, url_of(head), n, sha1, head["warc-type"], int(to) if to else None), strict=True)))
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     files = index.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "size"))).alias("places"))
