@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, file_id_of, safe_file_name, text_or_empty, visible_name
 from ..functions.urls import percent_decoded, redact_url
+from ..shared import materialise
+from .matching import containing
 
 SANDBOX_LINK = r"\[([^\]]+)\]\(sandbox:\/mnt\/data\/((?:[^()]|\([^()]*\))+)\)"
 
@@ -21,23 +22,31 @@ SANDBOX_LINK = r"\[([^\]]+)\]\(sandbox:\/mnt\/data\/((?:[^()]|\([^()]*\))+)\)"
 def active_branch(nodes: DataFrame) -> DataFrame:
     """(conv_id, node_id, position): from current_node up the parents to the root, in reading order.
 
-    `nodes` has conv_id, node_id, parent_id, current_node. Without a pointer that exists, all nodes
-    by id. A node met again ends the walk. One shuffle of narrow rows; a conversation is one group.
+    `nodes` has conv_id, node_id, parent_id, current_node. Without a pointer that exists, all nodes by id. A node met again ends
+    the walk. Of rows that repeat a node the greatest parent counts, of several pointers the greatest. Pointer doubling: at each
+    step what has been reached jumps twice as far, so a chain of n nodes takes log2(n) joins on (conversation, node), whatever
+    conversation holds it; no conversation is one group until its path is numbered.
     """
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        parent = dict(zip(rows["node_id"], rows["parent_id"], strict=True))
-        at = next((c for c in rows["current_node"] if isinstance(c, str)), None)
-        path: list[str] = []
-        seen: set[str] = set()
-        while isinstance(at, str) and at in parent and at not in seen:
-            seen.add(at)
-            path.append(at)
-            at = parent[at]
-        path = path[::-1] if path else sorted(parent)
-        return pd.DataFrame({"conv_id": rows["conv_id"].iloc[0], "node_id": path, "position": range(len(path))})
-
-    return nodes.select("conv_id", "node_id", "parent_id", "current_node").groupBy("conv_id").applyInPandas(walk, "conv_id long, node_id string, position long")
+    every = nodes.groupBy("conv_id", "node_id").agg(F.max("parent_id").alias("parent_id"), F.max("current_node").alias("current_node"))
+    every = materialise(every, "graph")
+    ids = every.select("conv_id", F.col("node_id").alias("to"))
+    jump = materialise(every.select("conv_id", "node_id", F.col("parent_id").alias("to")).join(ids, ["conv_id", "to"], "left_semi").select("conv_id", "node_id", "to"), "jump")
+    pointed = every.groupBy("conv_id").agg(F.max("current_node").alias("to")).join(ids, ["conv_id", "to"], "left_semi")
+    reached = materialise(pointed.select("conv_id", F.col("to").alias("node_id"), F.lit(0).cast("long").alias("up")), "reached")
+    n, far = reached.count(), 1
+    while n:
+        further = reached.join(jump, ["conv_id", "node_id"]).select("conv_id", F.col("to").alias("node_id"), (F.col("up") + far).alias("up"))
+        reached = materialise(reached.unionByName(further).groupBy("conv_id", "node_id").agg(F.min("up").alias("up")), "reached")
+        before, n = n, reached.count()
+        if n == before:
+            break
+        jump = materialise(jump.join(jump.select("conv_id", F.col("node_id").alias("to"), F.col("to").alias("then")), ["conv_id", "to"]).select("conv_id", "node_id", F.col("then").alias("to")), "jump")
+        far *= 2
+    last = F.max("up").over(Window.partitionBy("conv_id"))
+    path = reached.select("conv_id", "node_id", (last - F.col("up")).alias("position"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("node_id")) - 1
+    loose = every.join(reached.select("conv_id").distinct(), "conv_id", "left_anti").select("conv_id", "node_id", place.cast("long").alias("position"))
+    return path.unionByName(loose)
 
 
 def safe_sandbox_path(path: Column) -> Column:
@@ -129,8 +138,9 @@ def apply_refs_to_files(files: DataFrame, resolved: DataFrame, links: DataFrame,
     seen = files.select("conv_id", visible_name(F.col("name")).alias("_key")).distinct()
     boxes = links.select("conv_id", visible_name(F.col("filename")).alias("_key"), "role", "label", "filename").dropDuplicates(["conv_id", "_key"])
     loose = good.join(seen, ["conv_id", "_key"], "left_anti").join(boxes, ["conv_id", "_key"])
-    # The label is searched for within one conversation and role only.
-    placed = loose.join(turns.select("conv_id", "ordinal", "role", "text"), ["conv_id", "role"]).filter(F.contains("text", "label"))
+    # The labels are searched for within one conversation and role only, all of them at once.
+    placed = containing(loose.select("conv_id", "role", "label", F.col("conv_id").alias("_c"), "file_id", "filename", "_url"), turns.select("conv_id", "role", "text", "ordinal"), ["conv_id", "role"], "label", "text")
+    placed = placed.select(F.col("p._c").alias("conv_id"), "p.file_id", "p.filename", "p._url", "t.ordinal")
     first = placed.groupBy("conv_id", "file_id").agg(F.min_by(F.struct("ordinal", "filename", "_url"), "ordinal").alias("p"))
     added = first.select("conv_id", "p.ordinal", F.col("p.filename").alias("name"), F.col("p._url").alias("href"), F.lit("sandbox_attachment").alias("kind"), "file_id", F.lit("visible_sandbox_link+resolved").alias("source"))
     return enriched.unionByName(added)
@@ -143,7 +153,9 @@ def match_generated_links(links: DataFrame, turns: DataFrame, files: DataFrame,
     """
     keyed = links.withColumn("_k", F.struct("seq", "pos"))
     of = turns.select("conv_id", "turn_id", "role", "raw_html")
-    by_id = keyed.join(of, ["conv_id", "role"]).filter(F.contains("turn_id", "message_id") | F.contains(text_or_empty(F.col("raw_html")), F.col("message_id")))
+    asked = keyed.select("conv_id", "role", "message_id", F.col("conv_id").alias("_c"), "_k")
+    told = of.select("conv_id", "role", F.concat_ws("\0", "turn_id", "raw_html").alias("_told"), "turn_id")
+    by_id = containing(asked, told, ["conv_id", "role"], "message_id", "_told").select(F.col("p._c").alias("conv_id"), "p._k", "t.turn_id")
     by_id = by_id.groupBy("conv_id", "_k").agg(F.count_distinct("turn_id").alias("_ni"), F.min("turn_id").alias("_ti"))
     named = files.join(of.select("conv_id", "turn_id", "role"), ["conv_id", "turn_id"]).select("conv_id", "role", "turn_id", F.explode(F.array_distinct(F.array(F.struct(F.lit("l").alias("w"), F.col("text").alias("v")), F.struct(F.lit("n").alias("w"), F.col("name").alias("v"))))).alias("f"))
     wanted = keyed.select("conv_id", "role", "_k", F.explode(F.array(F.struct(F.lit("l").alias("w"), F.col("label").alias("v")), F.struct(F.lit("n").alias("w"), F.col("filename").alias("v")))).alias("f"))

@@ -11,7 +11,7 @@ from ..operators import extract as X
 from ..operators import markup as K
 from ..operators import turns as U
 from ..shared import materialise, new_path
-from ..sources import read_packed, write_packed
+from ..sources.bundles import register
 from .catalog import given, query
 
 FNV_OF = "printf('%08x', CAST(list_reduce(list_transform(string_split({0}, ''), lambda x: CAST(unicode(x) AS bigint)), lambda h, c: (xor(h, c) * 16777619) & 4294967295, CAST(2166136261 AS bigint)) AS bigint))"
@@ -336,28 +336,34 @@ def rewrite_local_urls(spark, sf_dir):
     return K.local_urls(rows.select("conv_id", "turn", html.alias("html"), pairs.alias("pairs"))).select("conv_id", "turn", F.col("local").alias("html"))
 
 
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Entries (conv_id, name, bytes) written as bundles and read back."""
+    register(spark := rows.sparkSession)
+    rows.repartition("conv_id").write.format("turnloom_bundles").mode("append").save(to := new_path(spark, name))
+    return spark.read.format("turnloom_bundles").load(to)
+
+
 @query("read_turn_html", "SELECT conv_id, CAST(count(*) AS bigint) AS turns, min(turn) AS first FROM conversations GROUP BY conv_id")
 def read_turn_html(spark, sf_dir):
-    """Stored pages, packed many to a file with their ids as a column, and read back."""
-    write_packed(made(spark, sf_dir), to := new_path(spark, "turn-html"), "conv_id")
-    shells = U.turn_shells(D.dom_nodes(read_packed(spark, to, "conv_id long, html string"), "conv_id"))
+    """Stored pages, as bytes of HTML in bundles."""
+    got = stored(made(spark, sf_dir).select("conv_id", F.lit("page.html").alias("name"), F.encode("html", "UTF-8").alias("bytes")), "turn-html")
+    shells = U.turn_shells(D.dom_nodes(got.select("conv_id", F.decode("bytes", "UTF-8").alias("html")), "conv_id"))
     return shells.groupBy(F.col("doc_id").alias("conv_id")).agg(F.count("*").alias("turns"), F.min(U.order_hint()).cast("long").alias("first"))
 
 
 @query("read_conversation_json", "SELECT conv_id, turn + 1 AS ordinal, role, text FROM conversations")
 def read_conversation_json(spark, sf_dir):
-    """Exported documents, packed many to a file, and read back under a schema."""
+    """Exported documents, as bytes of JSON in bundles, read under a schema."""
     from ..sources import read_conversation_documents
     from .files import documents
 
-    write_packed(documents(spark, sf_dir), to := new_path(spark, "conversation-json"), "conv_id")
-    got = read_conversation_documents(read_packed(spark, to, "conv_id long, document string"), "document", "conversation_id long, turns array<struct<ordinal: long, role: string, text: string>>")
-    return got.select(F.col("conversation_id").alias("conv_id"), F.explode("turns").alias("t")).select("conv_id", "t.*")
+    got = stored(documents(spark, sf_dir).select("conv_id", F.lit("conversation.json").alias("name"), F.encode("document", "UTF-8").alias("bytes")), "conversation-json")
+    rows = read_conversation_documents(got.select(F.decode("bytes", "UTF-8").alias("document")), "document", "conversation_id long, turns array<struct<ordinal: long, role: string, text: string>>")
+    return rows.select(F.col("conversation_id").alias("conv_id"), F.explode("turns").alias("t")).select("conv_id", "t.*")
 
 
 @query("read_resource_blobs", "SELECT conv_id, url, CAST(octet_length(encode(body)) AS bigint) AS size, sha256(body) AS sha256 FROM {blobs} b")
 def read_resource_blobs(spark, sf_dir):
-    """Resources packed as bytes under their addresses, and read back."""
-    rows = given(spark, sf_dir, "blobs").select("conv_id", "url", F.encode("body", "UTF-8").alias("bytes"))
-    write_packed(rows, to := new_path(spark, "blobs"), "conv_id", "url")
-    return read_packed(spark, to, "conv_id long, url string, bytes binary").select("conv_id", "url", F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"))
+    """Resources as bytes under their addresses; size and hash are those of the bytes that come back."""
+    got = stored(given(spark, sf_dir, "blobs").select("conv_id", F.col("url").alias("name"), F.encode("body", "UTF-8").alias("bytes")), "blobs")
+    return got.select("conv_id", F.col("name").alias("url"), F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"))
