@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import archive as A
 from ..operators import bundle as Bu
 from ..operators import merge as M
+from ..shared import new_path
 from . import render as R
-from .catalog import given, query
+from .catalog import ORACLE, given, query
 from .merging import HINTS_SQL, MISSING_SQL, hinted, populated
 from .scalars import HTML_SQL, ROLE_SQL
 
@@ -26,11 +27,12 @@ def shown(spark, sf_dir) -> DataFrame:
     """Turns with one file each; every fourth has a local copy, the second of four no address."""
     rows = given(spark, sf_dir, "files").join(given(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
     local = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("files/001-"), "name"))
-    return rows.select("conv_id", (F.col("turn") + 1).alias("ordinal"), "role", "text", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("**md** "), "text")).alias("markdown"), F.array(F.struct("href", "name", local.alias("local_path"))).alias("files"))
+    return rows.select("conv_id", (F.col("turn") + 1).alias("ordinal"), "role", "text", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("**md** "), "text")).alias("markdown"), F.array(F.struct("href", "name", local.alias("local_path"), (F.col("turn") * 7001 + 5).alias("size"))).alias("files"))
 
 
 TURN_SQL = """'## ' || (turn + 1) || '. ' || {role} || chr(10) || chr(10) || CASE WHEN turn % 2 = 0 THEN '**md** ' ELSE '' END || text || chr(10) || chr(10) || '### Archivos' || chr(10) || chr(10) ||
     CASE WHEN turn % 4 = 0 THEN '[' || name || '](files/001-' || replace(name, ' ', '%20') || ')' WHEN turn % 4 = 1 THEN name || ' — referencia sin copia local' ELSE '[' || name || '](' || href || ') — sin copia local' END || chr(10) || chr(10) || '---' || chr(10)""".format(role=ROLE_SQL)
+SIZE_SQL = "CASE WHEN {0} < 10000 THEN CAST({0} AS varchar) ELSE replace(format('{{:,}}', {0}), ',', '.') END"
 SHOWN_SQL = "(SELECT f.conv_id, f.turn, f.role, f.href, f.name, c.text FROM {files} f JOIN conversations c ON c.conv_id = f.conv_id AND c.turn = f.turn)"
 
 
@@ -46,16 +48,41 @@ def render_markdown(spark, sf_dir):
 PAGE_SQL = f"""'<!doctype html><html lang="es"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="{R.POLICY.replace("'", "''")}"><title>Conversation ' || conv_id || '</title><style>{R.STYLE}</style></head><body><main class="wrap"><h1>Conversation ' || conv_id || '</h1>'"""
 
 
+def page_sql(linked: str) -> str:
+    """SQL of a page whose files are list items by an expression."""
+    return f"""SELECT conv_id, {PAGE_SQL} || string_agg('<section class="turn ' || role || '" id="turn-' || (turn + 1) || '"><h2>' || (turn + 1) || '. ' || {ROLE_SQL} || '</h2><pre>' || {HTML_SQL.format("text")} || '</pre><ul>' ||
+    {linked} || '</ul></section>', chr(10) ORDER BY turn) || '</main></body></html>' AS html"""
+
+
+NO_COPY_SQL = "'<li>' || name || ' — <strong>sin copia local</strong></li>'"
+BUDGET = 60  # bytes that a single page may hold in the query
+
+
 @query(
     "render_html",
-    f"""SELECT conv_id, {PAGE_SQL} || string_agg('<section class="turn ' || role || '" id="turn-' || (turn + 1) || '"><h2>' || (turn + 1) || '. ' || {ROLE_SQL} || '</h2><pre>' || {HTML_SQL.format("text")} || '</pre><ul>' ||
-    CASE WHEN turn % 4 = 0 THEN '<li><a download="' || name || '" href="files/001-' || name || '">' || name || '</a></li>' ELSE '<li>' || name || ' — <strong>sin copia local</strong></li>' END || '</ul></section>', chr(10) ORDER BY turn) || '</main></body></html>' AS html
-    FROM {SHOWN_SQL} s GROUP BY conv_id""",
+    f"""{page_sql(f"""CASE WHEN turn % 4 = 0 THEN '<li><a download="' || name || '" href="files/001-' || name || '">' || name || '</a> — ' || {SIZE_SQL.format("(turn * 7001 + 5)")} || ' bytes</li>' ELSE {NO_COPY_SQL} END""")} FROM {SHOWN_SQL} s GROUP BY conv_id""",
 )
 def render_html(spark, sf_dir):
     return R.render_html(shown(spark, sf_dir), conversations(spark, sf_dir))
 
 
+COPY_SQL = "'body ' || conv_id || '/' || name || repeat('.', CAST(conv_id % 40 AS int))"
+
+
+@query(
+    "render_html_single",
+    f"""{page_sql(f"""CASE WHEN total <= {BUDGET} THEN '<li><a download="' || name || '" href="data:text/plain;base64,' || base64(encode(copy)) || '">' || name || '</a> — ' || {SIZE_SQL.format("(turn * 7001 + 5)")} || ' bytes</li>' ELSE {NO_COPY_SQL} END""")}
+    FROM (SELECT *, CASE WHEN turn % 4 = 0 THEN sum(CASE WHEN turn % 4 = 0 THEN octet_length(encode(copy)) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) END AS total FROM (SELECT *, {COPY_SQL} AS copy FROM {SHOWN_SQL} s) c) t GROUP BY conv_id""",
+)
+def render_html_single(spark, sf_dir):
+    """Pages with the bytes of their files inside, as far as each page's budget goes."""
+    rows = shown(spark, sf_dir)
+    files = rows.filter((F.col("ordinal") - 1) % 4 == 0).select("conv_id", F.explode("files").alias("f")).select("conv_id", "f.*").dropDuplicates(["conv_id", "local_path"])
+    copy = F.encode(F.concat(F.lit("body "), "conv_id", F.lit("/"), "name", F.repeat(F.lit("."), (F.col("conv_id") % 40).cast("int"))), "UTF-8")
+    resources = files.select("conv_id", "local_path", F.lit("text/plain").alias("mime"), copy.alias("bytes")).withColumn("size", F.octet_length("bytes"))
+    return R.render_html(R.inlined(rows, resources, BUDGET), conversations(spark, sf_dir), single=True)
+
+
 def coded(spark, sf_dir) -> DataFrame:
     rows = given(spark, sf_dir, "conversations")
     runs = F.when(F.col("turn") % 2 == 1, F.array(F.struct(F.lit("Python").alias("tool"), F.concat(F.lit("print("), "turn", F.lit(")")).alias("command"), F.lit("python").alias("command_language"), F.col("role").alias("output"), F.lit("output_visible").alias("status"))))
@@ -171,13 +198,62 @@ def bundle_entries(spark, sf_dir):
     return Bu.manifest(Bu.bundle_entries([entries(spark, sf_dir), document, coverage]))
 
 
-@query("export_format", "SELECT conv_id, 'zip' AS format, path, CAST(length(data) AS int) AS n FROM {entries} e UNION ALL SELECT conv_id, 'json', 'conversation.json', CAST(length(document) AS int) FROM (" + DOCUMENT_SQL + ") d")
+FULL_SQL = f"""SELECT c.conv_id, '{{"schema":"conversation-export","schemaVersion":"1.3","conversation_id":' || c.conv_id || ',"exporter":{{"name":"turnloom","version":"1"}},"metadata":{{"platformLabel":"ChatGPT","title":"Conversation ' || c.conv_id || '","sourceUrl":"https://chatgpt.com/c/' || c.conv_id ||
+    '","exportedAt":"2026-01-01T00:00:00.000Z","options":' || CASE WHEN c.conv_id % 2 = 0 THEN '{{"eventLog":true,"limit":' || c.conv_id || '}}' ELSE '["raw",null]' END || '}},"summary":{{"user_turns":' || count(*) FILTER (c.role = 'user') || ',"turns":' || count(*) || '}},"completeness":{{"certifiedComplete":false,"unresolvedFiles":' ||
+    count(*) FILTER (c.turn % 4 <> 0) || '}},"turnCoverage":{{"missing":[' || coalesce(max(h.missing), '') || ']}},"archivedResources":[' || coalesce(string_agg('{{"localPath":"files/' || c.turn || '.txt","size":' || octet_length(encode(c.text)) || ',"sha256":"' || sha256(c.text) || '"}}', ',' ORDER BY c.turn) FILTER (c.turn % 4 = 0), '') ||
+    '],"sessionEvents":[' || coalesce(string_agg('{{"turnId":"t' || c.turn || '","signature":"' || c.role || '"}}', ',' ORDER BY c.turn DESC) FILTER (c.turn % 3 = 1), '') || '],"diagnostics":[{{"detectedTurns":' || count(*) || ',"kind":"export-start"}},{{"kind":"turn-continuity","missing":' || coalesce(max(h.n), 0) || '}}],"warnings":[' ||
+    CASE WHEN c.conv_id % 3 = 0 THEN '"first","second"' ELSE '' END || '],"turns":[' || string_agg('{{"ordinal":' || (c.turn + 1) || ',"role":"' || c.role || '","text":' || to_json(c.text) || ',"markdown":' || to_json('**md** ' || c.text) || '}}', ',' ORDER BY c.turn) || ']}}' AS document
+    FROM conversations c LEFT JOIN (SELECT conv_id, array_to_string({MISSING_SQL}, ',') AS missing, len({MISSING_SQL}) AS n FROM {HINTS_SQL} h) h ON h.conv_id = c.conv_id GROUP BY c.conv_id"""
+
+
+@query("conversation_document_full", FULL_SQL)
+def conversation_document_full(spark, sf_dir):
+    """All sections of an exported document; the options, which differ by producer, as a VARIANT."""
+    rows = given(spark, sf_dir, "conversations")
+    ids = conversations(spark, sf_dir)
+    per = rows.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("user_turns"), F.count("*").alias("turns"), F.count_if(F.col("turn") % 4 != 0).alias("unresolvedFiles"))
+    options = F.parse_json(F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit('{"limit": '), "conv_id", F.lit(', "eventLog": true}'))).otherwise('["raw", null]'))
+    gaps = M.turn_continuity(hinted(spark, sf_dir)).select("conv_id", "missing")
+    frames = {
+        "exporter": ids.select("conv_id", F.lit("turnloom").alias("name"), F.lit("1").alias("version")),
+        "metadata": ids.select("conv_id", F.col("platform_label").alias("platformLabel"), "title", F.col("source_url").alias("sourceUrl"), F.col("exported_at").alias("exportedAt"), options.alias("options")),
+        "summary": per.select("conv_id", "user_turns", "turns"), "completeness": per.select("conv_id", F.lit(False).alias("certifiedComplete"), "unresolvedFiles"),
+        "turnCoverage": ids.select("conv_id").join(gaps, "conv_id", "left").select("conv_id", F.coalesce("missing", F.array().cast(gaps.schema["missing"].dataType)).alias("missing")),
+    }
+    text = F.encode("text", "UTF-8")
+    start = per.select("conv_id", F.lit(0).alias("at"), F.to_json(F.struct(F.lit("export-start").alias("kind"), F.col("turns").alias("detectedTurns"))).alias("r"))
+    continuity = frames["turnCoverage"].select("conv_id", F.lit(1).alias("at"), F.to_json(F.struct(F.lit("turn-continuity").alias("kind"), F.size("missing").alias("missing"))).alias("r"))
+    lists = {
+        "archivedResources": rows.filter("turn % 4 = 0").select("conv_id", F.col("turn").alias("at"), F.concat(F.lit("files/"), "turn", F.lit(".txt")).alias("localPath"), F.octet_length(text).alias("size"), F.sha2(text, 256).alias("sha256")),
+        "sessionEvents": rows.filter("turn % 3 = 1").select("conv_id", (-F.col("turn")).alias("at"), F.concat(F.lit("t"), "turn").alias("turnId"), F.col("role").alias("signature")),
+        "diagnostics": start.unionByName(continuity).select("conv_id", "at", F.col("r").alias("json")),
+        "warnings": ids.select("conv_id", F.posexplode("warnings").alias("at", "value")),
+    }
+    turns = rows.select("conv_id", (F.col("turn") + 1).alias("ordinal"), "role", "text", F.concat(F.lit("**md** "), "text").alias("markdown"))
+    return R.conversation_document(turns, frames, lists=lists)
+
+
+FORMATS = ("zip", "json", "html", "markdown")
+
+
+@query(
+    "export_format",
+    "SELECT conv_id, 'zip' AS format, path, CAST(octet_length(encode(data)) AS bigint) AS size, sha256(data) AS sha256 FROM {entries} e UNION ALL SELECT conv_id, 'json', 'conversation.json', octet_length(encode(document)), sha256(document) FROM (" + DOCUMENT_SQL + ") d UNION ALL SELECT conv_id, 'html', 'conversation.html', octet_length(encode(html)), sha256(html) FROM ("
+    + ORACLE["render_html"] + ") h UNION ALL SELECT conv_id, 'markdown', 'conversation.md', octet_length(encode(markdown)), sha256(markdown) FROM (" + ORACLE["render_markdown"] + ") m",
+)
 def export_format(spark, sf_dir):
-    nothing = spark.createDataFrame([], "conv_id long, markdown string, html string")
-    every = given(spark, sf_dir, "entries")
-    of = {f: R.export(f, nothing, nothing, documents(spark, sf_dir), every) for f in ("zip", "json")}
-    out = [df.select("conv_id", F.lit(f).alias("format"), "path", F.length("data").alias("n")) for f, df in of.items()]
-    return out[0].unionByName(out[1])
+    """Four formats, each written as bundles and read back."""
+    from ..sources.bundles import register
+
+    register(spark)
+    every, markdown, html = given(spark, sf_dir, "entries"), render_markdown(spark, sf_dir), render_html(spark, sf_dir)
+    out = None
+    for f in FORMATS:
+        rows = R.export(f, markdown, html, documents(spark, sf_dir), every).select("conv_id", F.col("path").alias("name"), F.encode("data", "UTF-8").alias("bytes"))
+        rows.write.format("turnloom_bundles").mode("append").save(to := new_path(spark, f"export-{f}"))
+        back = spark.read.format("turnloom_bundles").load(to).select("conv_id", F.lit(f).alias("format"), F.col("name").alias("path"), F.octet_length("bytes").cast("long").alias("size"), F.sha2("bytes", 256).alias("sha256"))
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
 def broken(spark, sf_dir) -> DataFrame:

@@ -7,9 +7,10 @@ platform_label, exported_at, and warnings (array) where there are any.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.binary import encode_data_url
 from ..functions.text import escape_html, fence_code, role_label, text_or_empty
 
 #: The policy that keeps a written page from running or loading anything.
@@ -50,10 +51,17 @@ def render_markdown(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.concat(head, "body", warnings).alias("markdown"))
 
 
-def turn_html() -> Column:
+def shown_size(n: Column) -> Column:
+    """A number of bytes as Spanish writes it: groups of three from five digits on."""
+    return F.when(n < 10_000, n.cast("string")).otherwise(F.replace(F.format_number(n, 0), F.lit(","), F.lit(".")))
+
+
+def turn_html(single: bool = False) -> Column:
+    """A turn's section. Files with a copy link to it (`local_path`, or `data_url` in a single page) and tell its `size`."""
     o, role = F.col("ordinal").cast("string"), F.col("role")
     file = lambda f: F.when(
-        f["local_path"].isNotNull(), F.concat(F.lit('<li><a download="'), escape_html(f["name"]), F.lit('" href="'), escape_html(f["local_path"]), F.lit('">'), escape_html(f["name"]), F.lit("</a></li>"))
+        (f["data_url"] if single else f["local_path"]).isNotNull(),
+        F.concat(F.lit('<li><a download="'), escape_html(f["name"]), F.lit('" href="'), escape_html(f["data_url"] if single else f["local_path"]), F.lit('">'), escape_html(f["name"]), F.lit("</a> — "), shown_size(f["size"]), F.lit(" bytes</li>")),
     ).otherwise(F.concat(F.lit("<li>"), escape_html(f["name"]), F.lit(" — <strong>sin copia local</strong></li>")))
     files = F.when(F.size("files") > 0, F.concat(F.lit("<ul>"), F.array_join(F.transform("files", file), ""), F.lit("</ul>"))).otherwise("")
     return F.concat(
@@ -61,9 +69,25 @@ def turn_html() -> Column:
     )
 
 
-def render_html(turns: DataFrame, conversations: DataFrame) -> DataFrame:
-    """(conv_id, html): one escaped page without scripts, under a policy that allows none."""
-    rows = joined(turns, turn_html(), "body").join(conversations, "conv_id")
+def inlined(turns: DataFrame, resources: DataFrame, budget: int) -> DataFrame:
+    """Turns whose files bear `data_url`, the bytes of their copy, as far as the page's budget of bytes goes.
+
+    `resources`: conv_id, local_path, mime, size, bytes. What fits is settled on sizes alone, each copy once, in reading order; a copy
+    that does not fit leaves room for smaller ones after it only if they fit as the sum stands. Only bytes that fit move.
+    """
+    files = turns.select("conv_id", "ordinal", F.posexplode("files").alias("pos", "f")).select("conv_id", "ordinal", "pos", "f.*")
+    wanted = files.filter("local_path IS NOT NULL").groupBy("conv_id", "local_path").agg(F.min(F.struct("ordinal", "pos")).alias("at"))
+    sized = wanted.join(resources.select("conv_id", "local_path", F.col("size").alias("_n")), ["conv_id", "local_path"])
+    total = F.sum("_n").over(Window.partitionBy("conv_id").orderBy("at", "local_path").rowsBetween(Window.unboundedPreceding, 0))
+    fits = sized.withColumn("_sum", total).filter(F.col("_sum") <= budget).select("conv_id", "local_path")
+    urls = resources.join(fits, ["conv_id", "local_path"], "left_semi").select("conv_id", "local_path", encode_data_url(F.col("bytes"), F.col("mime")).alias("data_url"))
+    got = files.join(urls, ["conv_id", "local_path"], "left").groupBy("conv_id", "ordinal").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("href", "name", "local_path", "size", "data_url").alias("f")))).alias("l"))
+    return turns.drop("files").join(got.select("conv_id", "ordinal", F.col("l.f").alias("files")), ["conv_id", "ordinal"], "left").withColumn("files", F.coalesce("files", F.array()))
+
+
+def render_html(turns: DataFrame, conversations: DataFrame, single: bool = False) -> DataFrame:
+    """(conv_id, html): one escaped page without scripts, under a policy that allows none; `single`: with its files inside (see `inlined`)."""
+    rows = joined(turns, turn_html(single), "body").join(conversations, "conv_id")
     title = escape_html(F.col("title"))
     head = F.concat(F.lit(f'<!doctype html><html lang="es"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="{POLICY}"><title>'), title, F.lit(f"</title><style>{STYLE}</style></head><body><main class=\"wrap\"><h1>"), title, F.lit("</h1>"))
     return rows.select("conv_id", F.concat(head, "body", F.lit("</main></body></html>")).alias("html"))
@@ -143,15 +167,26 @@ def rewrite_markdown_urls(body: Column, pairs: Column) -> Column:
     return F.aggregate(F.coalesce(pairs, F.array()), text_or_empty(body), lambda b, p: F.replace(b, p["url"], p["path"]))
 
 
-def conversation_document(turns: DataFrame, frames: dict[str, DataFrame], schema: str = "conversation-export", version: str = "1.3") -> DataFrame:
-    """(conv_id, document): a JSON document per conversation with its turns in order; `frames` (a row per conv_id) add their columns as objects under their names."""
+def conversation_document(turns: DataFrame, frames: dict[str, DataFrame], schema: str = "conversation-export", version: str = "1.3", lists: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(conv_id, document): a JSON document per conversation with its turns in order.
+
+    `frames` (a row per conv_id) add their columns as objects under their names; `lists` (rows with `at`, their place) as arrays of objects, or of
+    values if they have one column `value`, or of records of any keys if it is `json`; a conversation without rows has an empty array.
+    Such records, and columns of frames, are of type VARIANT: what only some producers write needs no column of its own.
+    """
     columns = [c for c in turns.columns if c not in ("conv_id", "ordinal")]
     out = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*columns).alias("t")))).alias("_t"))
     out = out.withColumn("turns", F.transform("_t", lambda x: F.struct(x["ordinal"].alias("ordinal"), *[x["t"][c].alias(c) for c in columns]))).drop("_t")
     for name, df in frames.items():
         of = [c for c in df.columns if c != "conv_id"]
         out = out.join(df.select("conv_id", F.struct(*of).alias(name)), "conv_id", "left")
-    return out.select("conv_id", F.to_json(F.struct(F.lit(schema).alias("schema"), F.lit(version).alias("schemaVersion"), F.col("conv_id").alias("conversation_id"), *frames, "turns")).alias("document"))
+    for name, df in (lists or {}).items():
+        of = [c for c in df.columns if c not in ("conv_id", "at")]
+        value = F.col(of[0]) if of in (["value"], ["json"]) else F.struct(*of)
+        got = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", value.alias("v")))).alias("_l"))
+        got = got.select("conv_id", (F.transform("_l.v", F.parse_json) if of == ["json"] else F.col("_l.v")).alias(name))
+        out = out.join(got, "conv_id", "left").withColumn(name, F.coalesce(name, F.array().cast(got.schema[name].dataType)))
+    return out.select("conv_id", F.to_json(F.struct(F.lit(schema).alias("schema"), F.lit(version).alias("schemaVersion"), F.col("conv_id").alias("conversation_id"), *frames, *(lists or {}), "turns")).alias("document"))
 
 
 def export(format_: str, markdown: DataFrame, html: DataFrame, documents: DataFrame, entries: DataFrame) -> DataFrame:
