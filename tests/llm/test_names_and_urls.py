@@ -32,3 +32,17 @@ def test_urls_come_back_as_they_were_given(spark):
     got = warc.read_warcs(warc.write_warcs(pages))
     assert {r.page_id: r.url for r in got.collect()} == dict(enumerate(urls))
     assert got.filter("record_type = 'response'").agg(F.count("*")).first()[0] == 3
+
+
+def test_pages_are_read_in_time_proportional_to_their_length():
+    import time
+
+    from turnloom.llm.html_text import main_text
+
+    for head, unit in (("", "<form>"), ("<i><div>" + "<b>" * 20_000, "</i>"), ("<p><button>" + "<b>" * 20_000, "<div></div>"), ("", "<div class=search>words "), ("", "<form>x<h2>")):
+        took = []
+        for n in (5_000, 20_000):
+            began = time.process_time()
+            main_text(head + unit * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 1, unit

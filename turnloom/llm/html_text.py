@@ -14,6 +14,7 @@ is outside it. Reading a page takes time in proportion to its length, closed or
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import math
 import re
@@ -131,23 +132,27 @@ class Page:
         self.tag, self.parent, self.mark = ["html"], [0], [KEPT]
         self.parts: list[tuple[int, str | None]] = []  # (node, text); None for the edge of a block
         stack, at, open_tags = [0], 0, Counter()
+        scopes = [Counter()]  # what is open in each scope; only the innermost one's can be closed by another tag than a scope's
+        blocks = [0]  # of each element of the stack, the depth of the nearest that is not inline
 
         def text(end: int) -> None:
             if end > at:
                 self.parts.append((stack[-1], entities.unescape(html[at:end])))
 
         def close(tag: str) -> None:
-            for depth in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
-                name = self.tag[stack[depth]]
-                if name == tag:
-                    while len(stack) > depth:
-                        last = self.tag[stack.pop()]
-                        open_tags[last] -= 1
-                        if last not in INLINE:
-                            self.parts.append((stack[-1], None))
-                    return
-                if name in SCOPES and tag not in SCOPES:
-                    return
+            if not (open_tags if tag in SCOPES else scopes[-1])[tag]:
+                return
+            last = None
+            while last != tag:
+                last = self.tag[stack.pop()]
+                blocks.pop()
+                open_tags[last] -= 1
+                if last in SCOPES:
+                    scopes.pop()
+                else:
+                    scopes[-1][last] -= 1
+                if last not in INLINE:
+                    self.parts.append((stack[-1], None))
 
         scanner = Scanner(html)
         for begin, end, name, attributes in scanner.tags():
@@ -161,10 +166,7 @@ class Page:
             while len(stack) > 1 and name in CLOSED_BY.get(self.tag[stack[-1]], ()):
                 close(self.tag[stack[-1]])
             if name in CLOSED_BY["p"] and open_tags["p"]:  # inline elements left open inside a paragraph end with it
-                depth = len(stack) - 1
-                while depth and self.tag[stack[depth]] in INLINE:
-                    depth -= 1
-                if self.tag[stack[depth]] == "p":
+                if self.tag[stack[blocks[-1]]] == "p":
                     close("p")
             if name not in INLINE:
                 self.parts.append((stack[-1], None))
@@ -178,28 +180,35 @@ class Page:
                     scanner.skip_raw(name)
                     at = scanner.at
             elif name not in VOID and not (attributes.endswith("/") and name not in CLOSED_BY["p"]):
+                blocks.append(blocks[-1] if name in INLINE else len(stack))
                 stack.append(len(self.tag) - 1)
                 open_tags[name] += 1
+                if name in SCOPES:
+                    scopes.append(Counter())
+                else:
+                    scopes[-1][name] += 1
         text(len(html))
 
-        self.out = self._outs()
+        n = len(self.tag)
+        self.out, self.boxed, self.inside = [False] * n, [False] * n, [False] * n  # inside: below what is left out and is no header
+        for i in range(1, n):
+            self._settle(i)
         if MARKED in self.mark:
             self._keep_wrappers()
 
-    def _outs(self) -> list[bool]:
-        """Which nodes are left out. A heading in the header of an article, the article's own title, is not."""
-        n = len(self.tag)
-        out, boxed, inside = [False] * n, [False] * n, [False] * n  # inside: below what is left out and is no header
-        for i in range(1, n):
-            p = self.parent[i]
-            title = self.tag[i] in HEADINGS and self.tag[p] == "header" and boxed[p] and not inside[p]
-            out[i] = out[p] and not title or self.mark[i] != KEPT
-            boxed[i] = boxed[p] or self.tag[i] in CONTAINERS
-            inside[i] = inside[p] or out[i] and self.tag[i] != "header"
-        return out
+    def _settle(self, i: int) -> None:
+        """Whether a node is left out, from its parent. A heading in the header of an article, the article's own title, is not."""
+        p = self.parent[i]
+        title = self.tag[i] in HEADINGS and self.tag[p] == "header" and self.boxed[p] and not self.inside[p]
+        self.out[i] = self.out[p] and not title or self.mark[i] != KEPT
+        self.boxed[i] = self.boxed[p] or self.tag[i] in CONTAINERS
+        self.inside[i] = self.inside[p] or self.out[i] and self.tag[i] != "header"
 
     def _keep_wrappers(self) -> None:
-        """Keep a marked box that holds most of the page's text outside links, if what is outside it has no heading and no article."""
+        """Keep a marked box that holds most of the page's text outside links, if what is outside it has no heading and no article; then one within it, and so on.
+
+        A node is looked at again only when it is kept after all.
+        """
         n = len(self.tag)
         gone, own, text = [False] * n, [0] * n, [0] * n
         for i in range(1, n):
@@ -210,15 +219,31 @@ class Page:
         text[:] = own
         for i in range(n - 1, 0, -1):
             text[self.parent[i]] += text[i]
-        while True:
-            if any(text[i] and not self.out[i] and (self.tag[i] in HEADINGS or self.tag[i] in CONTAINERS) for i in range(n)):
-                return
-            boxes = [i for i in range(1, n) if self.mark[i] == MARKED and not self.out[self.parent[i]]]
-            best = max(boxes, key=text.__getitem__, default=0)
-            if not best or text[best] <= sum(x for x, out in zip(own, self.out, strict=True) if not out):
-                return
+        children: list[list[int]] = [[] for _ in range(n)]
+        for i in range(1, n):
+            children[self.parent[i]].append(i)
+        told = lambda i: text[i] and not self.out[i] and (self.tag[i] in HEADINGS or self.tag[i] in CONTAINERS)
+        if any(told(i) for i in range(n)):
+            return
+        kept = sum(x for x, out in zip(own, self.out, strict=True) if not out)
+        boxes = [(-text[i], i) for i in range(1, n) if self.mark[i] == MARKED and not self.out[self.parent[i]]]
+        heapq.heapify(boxes)
+        while boxes and -boxes[0][0] > kept:
+            _, best = heapq.heappop(boxes)
             self.mark[best] = KEPT
-            self.out = self._outs()
+            todo, found = [best], False
+            while todo:
+                i = todo.pop()
+                self._settle(i)
+                if not self.out[i]:
+                    kept += own[i]
+                    found = found or bool(told(i))
+                elif self.mark[i] == MARKED and not self.out[self.parent[i]]:
+                    heapq.heappush(boxes, (-text[i], i))
+                if not self.out[i] or self.tag[i] == "header" and not self.inside[i]:
+                    todo += children[i]
+            if found:
+                return
 
     def densities(self) -> tuple[list[int], list[float], list[float]]:
         """(characters, link-adjusted density, sum of the children's densities) of each node, of what is not left out."""
