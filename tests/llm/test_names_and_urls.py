@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from turnloom.llm import simhash, warc
+from turnloom.llm import decontaminate, simhash, warc
 
 TEXT = "the cat sat on the mat and the dog ran over the hill with a red ball"
 
@@ -26,6 +26,14 @@ def test_the_pipeline_keeps_columns_of_any_name(spark):
         assert stage(spark, docs, at).columns == docs.columns
 
 
+def test_blocks_of_items_leave_what_all_items_leave(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"once {w} sees {w} and {w} then {w} again and more") for i, w in enumerate("alpha beta gamma delta epsilon".split())], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{w} sees {w} and {w} then {w} again") for i, w in enumerate("alpha gamma delta".split())], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    got = decontaminate.decontaminate(docs, items)
+    assert sorted(r.doc_id for r in got.collect()) == [1, 4] and got._jdf.queryExecution().toString().count("MapInArrow") <= 4
+
+
 def test_urls_come_back_as_they_were_given(spark):
     urls = [None, "", " ", "http://x/a  b ", "http://x/%20b", "http://x/é\r\nX-Page-ID: 9", "\thttp://x", "http://x/plain?a=1:2"]
     pages = spark.createDataFrame([(i, u, f"<p>{i % 3}</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")

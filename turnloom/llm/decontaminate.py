@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, small_batches
+from .common import by_batch, materialise, small_batches
 
 SIMILARITY, SAMPLED, REPEATS, WIDTH = 0.8, 3, 48, 3
 BLOCK_BYTES = 32 << 20  # items are taken in blocks of about this size, a pass over the texts for each
@@ -238,9 +238,11 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` without the rows that hold an item; no row moves."""
+    """`docs` without the rows that hold an item; no row moves. What one block of items leaves is written before the next, so a task holds one block's index."""
     small_batches(docs.sparkSession, 500)
-    for block in blocks(items, item_key, item_text):
+    for nth, block in enumerate(blocks(items, item_key, item_text)):
+        if nth:
+            docs = materialise(docs, "clean")
         shared = docs.sparkSession.sparkContext.broadcast(block)
         ready: list[Items] = []
         at = docs.columns.index(text)
