@@ -34,7 +34,8 @@ ENDS_P = BLOCKS - {"summary", "td", "th", "tr", "li", "dd", "dt"}
 ENDED_BY = {"p": ENDS_P, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 ENDS = {tag: {name for name, by in ENDED_BY.items() if tag in by} for tag in set().union(*ENDED_BY.values())}  # what a tag may end
 LIMITS = frozenset("ul ol table div section article main body html details nav form blockquote".split())
-TEXT_TAGS = frozenset("a article button code figcaption h1 h2 h3 h4 h5 h6 label option p pre summary textarea title".split())  # others, which nest, are told by their span
+TEXT_TAGS = frozenset("a article button code figcaption h1 h2 h3 h4 h5 h6 label li option p pre summary td textarea th title".split())
+NESTING, LEVELS = ("li", "td", "th"), 8  # of these, those that hold others this deep bring no text; they are told by their span
 #: Attributes, or their beginnings, that make an element one that questions ask about, whatever its tag.
 ASKED = ("data-", "aria-", "role")
 CLIMB = 14
@@ -147,6 +148,7 @@ class Scanner(HTMLParser):
         self._index()
         for n in self.nodes:
             asked = n["tag"] in TEXT_TAGS or n["own_marks"] or "markdown" in n["attrs"].get("class", "") or any(k.startswith(ASKED) for k in n["attrs"])
+            asked = asked and not (n["tag"] in NESTING and n["node_id"] in self.outer and not n["own_marks"])
             if n["tag"] == "pre" and not n["own_marks"][1:] and n["node_id"] not in self.wanted_pre:
                 asked = False
             n["text"], n["inner_text"] = (self._text(n), self._inner(n)) if asked else (None, None)
@@ -173,6 +175,15 @@ class Scanner(HTMLParser):
             own.append(n["node_id"])
         self.codes = [n["node_id"] for n in self.nodes if n["tag"] == "code"]
         self.lines = [n["node_id"] for n in self.nodes if "cm-line" in n["attrs"].get("class", "").split()]
+        self.outer, right = set(), {t: [] for t in NESTING}  # list items and cells that hold others LEVELS deep
+        for n in reversed(self.nodes):
+            if n["tag"] in NESTING:
+                later, levels = right[n["tag"]], 0  # (node, levels in it) of those after this one that no other holds, the next on top
+                while later and later[-1][0] <= n["subtree_end"]:
+                    levels = max(levels, later.pop()[1])
+                later.append((n["node_id"], levels + 1))
+                if levels >= LEVELS:
+                    self.outer.add(n["node_id"])
         pre = [n["node_id"] for n in self.nodes if n["tag"] == "pre"]
         self.leaves = {i for i, after in zip(pre, [*pre[1:], len(self.nodes)]) if after > self.nodes[i]["subtree_end"]}
         self.wanted_pre, outer = set(self.leaves), []  # also the nearest pre around each innermost one
