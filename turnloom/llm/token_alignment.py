@@ -106,9 +106,9 @@ class Pair:
                     self.now[p] = x
         for at in range(0, len(new), 5_000):
             some = new[at : at + 5_000]
-            for p, first, second in zip(some, self.a.of(some), self._second(some), strict=True):
-                spelt = b"".join([self.a_bytes[i] for i in np.frombuffer(first, "<u4").tolist()]) == p == b"".join([self.b_bytes[i] for i in second.tolist()])
-                self.now[p] = (first, second.tobytes(), spelt)
+            firsts, seconds = self.a.of(some), [x.tobytes() for x in self._second(some)]
+            spelt = [x and y for x, y in zip(_spelt(some, firsts, self.a_bytes), _spelt(some, seconds, self.b_bytes), strict=True)]
+            self.now.update(zip(some, zip(firsts, seconds, spelt, strict=True), strict=True))
         return [self.now[p] for p in parts]
 
     def encode(self, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
@@ -137,6 +137,16 @@ class Pair:
         return out[0], out[1], ok.tolist()
 
 
+def _spelt(parts: list[bytes], ids: list[bytes], spelling: list[bytes]) -> list[bool]:
+    """Whether the ids of each part spell it: all parts at once, and one by one only if some do not."""
+    every = [spelling[i] for i in np.frombuffer(b"".join(ids), "<u4").tolist()]
+    end = np.cumsum([0, *(len(x) // 4 for x in ids)])
+    size = np.r_[0, np.cumsum([len(x) for x in every])]
+    if b"".join(every) == b"".join(parts) and (np.diff(size[end]) == [len(p) for p in parts]).all():
+        return [True] * len(parts)
+    return [b"".join(every[i:j]) == p for p, i, j in zip(parts, end[:-1].tolist(), end[1:].tolist(), strict=True)]
+
+
 @lru_cache(maxsize=2)
 def _pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
