@@ -260,19 +260,27 @@ def test_a_report_without_archive_and_source_layer(spark):
     assert "Bytes archivados: 0" in report and "Enriquecimiento ChatGPT: no aplicable" in report and "Índices de turno omitidos dentro del tramo observado: 2, 3" in report and report[-2:] == ["- w", ""]
 
 
-def test_the_shared_folder_must_be_named_on_a_cluster():
+@pytest.mark.parametrize(("at", "refused"), [("spark://host:7077", True), ("yarn", True), ("local-cluster[3,2,1024]", True), ("local", False), ("local[8]", False)])
+def test_the_shared_folder_must_be_named_on_a_cluster(at, refused):
     class Conf:
         def get(self, key):
             return None
 
     class Context:
-        master = "spark://host:7077"
+        master, found = at, None
 
         def getConf(self):
             return Conf()
 
         def getCheckpointDir(self):
-            return None
+            return self.found
+
+        def setCheckpointDir(self, path):
+            self.found = path
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared.shared_dir(type("Session", (), {"sparkContext": Context()})())
+    session = type("Session", (), {"sparkContext": Context()})()
+    if refused:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared.shared_dir(session)
+    else:
+        assert shared.shared_dir(session).startswith("file:///")

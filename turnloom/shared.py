@@ -12,7 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only where it is unset in a local run, a new temporary folder."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-')}")
         found = spark.sparkContext.getCheckpointDir()
