@@ -114,3 +114,22 @@ def test_large_groups_are_counted_by_distinct_ids(monkeypatch):
     want = A._links(a, b, na, nb, doc)
     monkeypatch.setattr(A, "LARGE", 10)
     assert all((x == y).all() for x, y in zip(A._links(a, b, na, nb, doc), want, strict=True))
+
+
+def test_links_by_one_sort_are_those_of_every_group(monkeypatch):
+    """Ids that fit one number with their document are sorted once, and never made unique twice; wider ones give the same."""
+    rng = np.random.default_rng(3)
+    for most, groups in ((9, 0), (9, 200), (50_000, 300), (1 << 31, 300)):
+        na, nb, doc = rng.integers(1, 5, groups), rng.integers(1, 5, groups), np.sort(rng.integers(0, 7, groups))
+        a, b = rng.integers(0, most, na.sum()), rng.integers(0, most, nb.sum())
+        want, i, j = {}, 0, 0
+        for d, m, n in zip(doc.tolist(), na.tolist(), nb.tolist(), strict=True):
+            for x in a[i : i + m].tolist():
+                for y in b[j : j + n].tolist():
+                    want[d, x << 32 | y] = want.get((d, x << 32 | y), 0) + 1
+            i, j = i + m, j + n
+        with monkeypatch.context() as m:
+            if most < 1 << 31:
+                m.setattr(A.np, "unique", lambda *a, **b: pytest.fail("not sorted once"))
+            got = list(zip(*(x.tolist() for x in A._links(a, b, na, nb, doc)), strict=True))
+        assert got == [(*k, n) for k, n in sorted(want.items())]

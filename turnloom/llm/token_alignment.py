@@ -337,6 +337,9 @@ def _links(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, doc: np
     """(document, pair, links): the distinct pairs of each document and how often they are linked. A pair is a << 32 | b; `doc` is each group's document."""
     sa, sb, n = np.cumsum(na) - na, np.cumsum(nb) - nb, na * nb
     large = np.flatnonzero(n > LARGE)
+    of_a, of_b = (int(x.max(initial=0)).bit_length() for x in (a, b))
+    if not len(large) and int(doc.max(initial=0)).bit_length() + of_a + of_b < 64:  # document, a and b in one number: one sort
+        return _sorted_links(a, b, na, nb, doc, of_a, of_b)
     n[large] = 0
     g = np.repeat(np.arange(len(n)), n)
     r = np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)
@@ -352,6 +355,19 @@ def _links(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, doc: np
     return both // max(len(ids), 1), ids[both % max(len(ids), 1)], np.bincount(at, c, len(both)).astype(np.int64)
 
 
+def _sorted_links(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, doc: np.ndarray, of_a: int, of_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What _links gives, for ids of so many bits that document, a and b fit in 63."""
+    each = np.repeat(nb, na)  # links of each a
+    first = np.repeat(np.cumsum(nb) - nb, na)
+    at = np.arange(each.sum()) + np.repeat(first - (np.cumsum(each) - each), each)
+    every = np.repeat(np.repeat(doc, na) << (of_a + of_b) | a << of_b, each) | b[at]
+    every.sort()
+    begins = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+    some = every[begins]
+    rest = some & ((1 << of_a + of_b) - 1)
+    return some >> (of_a + of_b), rest >> of_b << 32 | rest & ((1 << of_b) - 1), np.diff(np.append(begins, len(every)))
+
+
 def _of_batch(batch: pa.RecordBatch):
     (a, a_each), (b, b_each), (na, groups), (nb, _) = (_joined(batch, k) for k in SHORT)
     return a, b, na, nb, a_each, b_each, groups, _links(a, b, na, nb, np.repeat(np.arange(batch.num_rows), groups))
