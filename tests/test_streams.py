@@ -169,3 +169,14 @@ def test_rows_are_taken_in_steps_across_sorted_runs(monkeypatch, silent_ms):
     want = [(r[0], r[1], r[2], r[3], r[6] // 1000, r[6] % 1000, r[4], r[5]) for part in parts for r in one_by_one(part)]
     out = pd.concat(got)
     assert len(got) > 20 and [(r.tab, r.page, r.turn_id, r.event_id, r.ts.value // 10**6, r.ts.value // 1000 % 1000, r.signature, r.empty) for r in out.itertuples()] == want
+
+
+def test_removed_turns_go_by_time_whatever_their_event_ids(spark):
+    rows, kept = backwards(2000), {}
+    log, q = at_once(spark, rows, lambda s: S.stream_evicted(s, "tab", 4))
+    for _, _, turn, event, _, signature, _ in rows:
+        kept[turn] = (event, signature)
+        if len(kept) > 4:
+            del kept[next(iter(kept))]
+    assert [(r.turn_id, r.event_id, r.signature) for r in S.evicted_state(log).orderBy("place").collect()] == [(t, *v) for t, v in kept.items()]
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) < 100

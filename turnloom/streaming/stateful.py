@@ -285,8 +285,11 @@ def stream_evicted(changes: DataFrame, page: str = "page", most: int = MAX_EVICT
 
 def evicted_state(log: DataFrame) -> DataFrame:
     """(page, turn_id, place, event_id, signature) of the turns that are in, from the log. A turn's last stay has its largest place, and ends when it is gone."""
-    latest = log.groupBy("page", "turn_id").agg(F.max_by(F.struct("place", "event_id", "signature", "gone"), F.struct("place", "gone", "us", "event_id")).alias("l"))
-    return latest.filter("NOT l.gone").select("page", "turn_id", "l.place", "l.event_id", "l.signature")
+    ends = log.groupBy("page", "turn_id").agg(F.max(2 * F.col("place") + F.col("gone").cast("long")).alias("end")).filter("end % 2 = 0")  # numbers only: most of the log is of stays that ended
+    stays = ends.select(F.col("page").alias("p"), F.col("turn_id").alias("t"), F.expr("end div 2").alias("place"))
+    rows = log.join(stays, (log["page"].eqNullSafe(stays["p"])) & (log["turn_id"].eqNullSafe(stays["t"])) & (log["place"] == stays["place"]), "left_semi")
+    latest = rows.groupBy("page", "turn_id").agg(F.max_by(F.struct("place", "event_id", "signature"), F.struct("us", "event_id")).alias("l"))
+    return latest.select("page", "turn_id", "l.*")
 
 
 class Navigation(InOrder):
