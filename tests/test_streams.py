@@ -180,3 +180,13 @@ def test_removed_turns_go_by_time_whatever_their_event_ids(spark):
             del kept[next(iter(kept))]
     assert [(r.turn_id, r.event_id, r.signature) for r in S.evicted_state(log).orderBy("place").collect()] == [(t, *v) for t, v in kept.items()]
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) < 100
+
+
+def test_the_chain_keeps_microseconds(spark):
+    rows = [r for r in backwards(1200) if int(r[2][1:]) < 5]
+    got, q = at_once(spark, rows, lambda s: S.live_chain(s, gap="2 milliseconds"))
+    table = spark.createDataFrame([(r[0], r[1], r[2], r[3], r[6], r[4], r[5]) for r in one_by_one(rows)], "tab string, page string, turn_id string, event_id long, us long, signature string, empty boolean")
+    table = table.withColumn("ts", F.timestamp_micros("us")).withColumn("turn_id", F.concat_ws("#", "tab", "page", "turn_id"))
+    key = lambda df: sorted((r.turn_id, r.event_id, r.ts, r.signature, r.changes) for r in df.collect())
+    assert key(got) == key(live.live_debounce(table, "2 milliseconds")) and got.count() > 100
+    assert max(p["stateOperators"][-1]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) < 100
